@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm import seen, spans, split, terms
+from strandloom.llm import garble, leaks, packing, seen, spans, split, terms
 from strandloom.session import cut_lineage, read_table
 
 
@@ -60,7 +60,47 @@ def p5_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_terms, p3_found, p3_share, p4_found, p4_pieces, p5_found, p5_rates)}
+def _capacity(spark: SparkSession, sf_dir: str, pack_id: int) -> int:
+    return read_table(spark, sf_dir, "packs").where(F.col("pack_id") == pack_id).first()["capacity"]
+
+
+def p6_packing(spark: SparkSession, sf_dir: str, pack_id: int = 4) -> DataFrame:
+    """Every mail's container; pack 4 holds 2,048 tokens."""
+    sizes = packing.counted(read_table(spark, sf_dir, "documents"))
+    out = packing.pack(sizes, _capacity(spark, sf_dir, pack_id))
+    return out.select(F.col("id").alias("doc_id"), "piece", F.col("size").alias("n_tokens"), F.col("container").alias("container_id"))
+
+
+def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers used, and room left over, for each capacity of packs."""
+    sizes, out = packing.counted(read_table(spark, sf_dir, "documents")), None
+    for r in read_table(spark, sf_dir, "packs").select("pack_id", "capacity").collect():
+        used = packing.pack(sizes, r["capacity"]).where("size > 0")
+        one = used.groupBy("container").agg(F.sum("size").alias("held")).agg(
+            F.count("*").alias("containers"), F.sum("held").alias("tokens"), F.max("held").alias("fullest")
+        )
+        one = one.select(F.lit(r["pack_id"]).alias("pack_id"), F.lit(r["capacity"]).alias("capacity"), "*", (F.col("tokens") / (F.col("containers") * r["capacity"])).alias("fill"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "eval_items"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p7_leaks(spark, sf_dir).where("edits = 0").select("doc_id", "item_id")
+
+
+def p8_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return garble.garbled_parts(read_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8_repaired(spark, sf_dir).select("doc_id").distinct()
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_terms, p3_found, p3_share, p4_found, p4_pieces, p5_found, p5_rates, p6_packing, p6_fill, p7_found, p7_leaks, p8_found, p8_repaired)}
 
 _LETTERS = "replace(regexp_replace(upper(seq), '[^A-Z]', '', 'g'), 'U', 'T')"
 
