@@ -100,9 +100,12 @@ def garbling_cost(text: str) -> float:
     return sum(weight * len(pattern.findall(text)) for pattern, weight in _COST)
 
 
-def _run_as_utf8(run: str) -> str | None:
-    """A run of non-ASCII characters, re-encoded and strictly decoded as UTF-8, or with its outer quotes left out."""
-    if _ORDINARY.fullmatch(run):
+def _run_as_utf8(run: str, in_word: bool = False) -> str | None:
+    """A run of non-ASCII characters, re-encoded and strictly decoded as UTF-8, or with its outer quotes left out.
+
+    Greek or Cyrillic letters are tried only if they touch Latin ones.
+    """
+    if _ORDINARY.fullmatch(run) and not (in_word and "Ͱ" <= run[0] <= "ӿ"):
         return None
     for encoding in READ_AS:
         raw = _encode(run, encoding)
@@ -117,13 +120,17 @@ def _run_as_utf8(run: str) -> str | None:
                 continue
             if (asian := _ASIAN.findall(out)) and (b - a < len(raw) or len(asian) < 2):
                 continue  # three single-byte letters in a row can be one such character by chance
-            if all(c in run or c < "\u0100" or _PLAIN.fullmatch(c) for c in out):
+            if all(c in run or ord(c) in _TABLES["cp1252"] or _PLAIN.fullmatch(c) for c in out):
                 return out
     return None
 
 
 def _as_utf8(text: str) -> str:
-    return _RUN.sub(lambda m: _run_as_utf8(m[0]) or m[0], text)
+    def read(m: re.Match) -> str:
+        in_word = text[m.start() - 1 : m.start()].isalpha() or text[m.end() : m.end() + 1].isalpha()
+        return _run_as_utf8(m[0], in_word) or m[0]
+
+    return _RUN.sub(read, text)
 
 
 def _utf7(m: re.Match) -> str:

@@ -84,14 +84,11 @@ def _walk(fields: dict[str, str], body: str, out: list[str], depth: int) -> None
     if main.startswith("multipart/") and depth < DEPTH:
         boundary = _params(kind).get("boundary")
         if boundary:
-            pieces = ("\n" + body).split("\n--" + boundary)
-            for piece in pieces[1:]:
-                if piece.startswith("--"):
+            pieces = re.split(rf"\n--{re.escape(boundary)}(--)?[ \t]*(?=\n|\Z)", "\n" + body)
+            for end, piece in zip(pieces[1::2], pieces[2::2]):
+                if end:
                     break
-                line, _, rest = piece.partition("\n")
-                if line.strip():
-                    continue  # a longer boundary that begins alike
-                _walk(*_head(rest), out, depth + 1)
+                _walk(*_head(piece[1:]), out, depth + 1)
             return
     way = fields.get("content-transfer-encoding", "").strip().lower()
     if main == "message/rfc822" and depth < DEPTH:

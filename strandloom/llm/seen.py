@@ -126,14 +126,20 @@ def _stream(batch_keys: int, bits: int):
                 continue
             rows = pa.Table.from_batches(held).combine_chunks()
             at = rows.column("at").to_numpy()
-            edge = int(np.searchsorted(at, at[-1]))  # rows of one moment stay in one batch
-            if not edge:
-                continue
-            out, new = decide(rows.slice(0, edge), sealed)
-            yield out
-            if len(new):
-                sealed.append(Filter(np.unique(new), bits))
-            held = rows.slice(edge).combine_chunks().to_batches()
+            done = 0
+            while len(at) - done >= batch_keys:
+                # rows of one moment stay in one batch
+                edge = int(np.searchsorted(at, at[done + batch_keys - 1]))
+                if edge <= done:
+                    edge = int(np.searchsorted(at, at[done], side="right"))
+                if edge == len(at):
+                    break
+                out, new = decide(rows.slice(done, edge - done), sealed)
+                yield out
+                if len(new):
+                    sealed.append(Filter(np.unique(new), bits))
+                done = edge
+            held = rows.slice(done).combine_chunks().to_batches()
         if held:
             yield decide(pa.Table.from_batches(held).combine_chunks(), sealed)[0]
 
