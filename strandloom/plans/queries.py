@@ -3,17 +3,237 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from strandloom.operators import intervals
-from strandloom.session import read_table
+from strandloom.functions.letters import IUPAC, IUPAC_COMPLEMENT, is_circular, letters, reverse_complement
+from strandloom.operators import fragments as fr
+from strandloom.operators import graph, intervals, kmers, overlaps, regions
+from strandloom.session import cut_lineage, read_table, shared_folder
+from strandloom.sources import manifest as mf
+from strandloom.sources import sequence_files as sf
+from strandloom.sources import writers
+
+K, THRESHOLD, EVEN_K = 15, 60, 12
+
+
+def _sequences(spark: SparkSession, sf_dir: str, role: str | None = None) -> DataFrame:
+    rows = read_table(spark, sf_dir, "sequences")
+    return rows if role is None else rows.where(F.col("role") == role)
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranges = intervals.homology_free_ranges(read_table(spark, sf_dir, "sequences"))
-    return intervals.periods(ranges, ["rec_id"], "start", "end")
+    return intervals.periods(intervals.homology_free_ranges(_sequences(spark, sf_dir)), ["rec_id"], "start", "end")
+
+
+def seq_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = letters(F.col("seq"))
+    return _sequences(spark, sf_dir).select(
+        "rec_id", F.coalesce(F.length(text), F.lit(0)).cast("long").alias("n_letters"), is_circular(F.col("topology")).alias("circular"),
+        F.coalesce(F.col("seq").rlike(r"^[ATCGatcg\s]*$"), F.lit(False)).alias("plain_dna"), F.coalesce(F.size("features"), F.lit(0)).alias("n_features"),
+    )
+
+
+def revcomp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sequences(spark, sf_dir).where("seq is not null").select("rec_id", F.md5(reverse_complement(letters(F.col("seq")))).alias("digest"))
+
+
+def kmer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct k-mers of each record on both strands, and those repeated within it."""
+    rows = kmers.record_kmers(_sequences(spark, sf_dir), EVEN_K)
+    return rows.groupBy("rec_id").agg(F.count("*").alias("kmers"), F.sum("times").alias("occurrences"), F.count_if(F.col("times") >= 2).alias("repeated"))
+
+
+def circular_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _sequences(spark, sf_dir).where(is_circular(F.col("topology")))
+    return kmers.kmer_windows(rows, K).groupBy("rec_id").agg(F.count("*").alias("windows"), F.max("pos").alias("last_pos"))
+
+
+def background_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = kmers.background_set(_sequences(spark, sf_dir, "background"), K)
+    return rows.where("kmer >= 0").select(kmers.kmer_text(F.col("kmer"), K).alias("kmer"))
+
+
+def repeated_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = kmers.record_kmers(_sequences(spark, sf_dir), EVEN_K).where("times >= 2 and kmer >= 0")
+    return rows.select("rec_id", kmers.kmer_text(F.col("kmer"), EVEN_K).alias("kmer"), "times")
+
+
+def _free(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = kmers.background_set(_sequences(spark, sf_dir, "background"), K)
+    return kmers.free_in_record(_sequences(spark, sf_dir, "query"), K).join(known, "kmer", "left_anti")
+
+
+def anti_background(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _free(spark, sf_dir).groupBy("rec_id").agg(F.count("*").alias("free_positions"))
+
+
+def region_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return regions.runs(_free(spark, sf_dir), K, THRESHOLD)
+
+
+def homology_free_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship: regions of the query records free of the background records and of repeats."""
+    known = kmers.background_set(_sequences(spark, sf_dir, "background"), K)
+    return regions.homology_free_regions(_sequences(spark, sf_dir, "query"), known, K, THRESHOLD)
+
+
+def indexed_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same through a stored index."""
+    path = shared_folder(spark, "index")
+    kmers.save_index(kmers.background_set(_sequences(spark, sf_dir, "background"), K), path, "all", K)
+    known, k = kmers.load_index(spark, path, ["all", "unknown"])
+    return regions.homology_free_regions(_sequences(spark, sf_dir, "query"), known, k, THRESHOLD)
+
+
+def numbered_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return regions.numbered(homology_free_regions(spark, sf_dir)).withColumn("region_no", F.col("region_no").cast("long"))
+
+
+def annotated_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = homology_free_regions(spark, sf_dir)
+    out = fr.annotate_regions(_sequences(spark, sf_dir, "query"), found)
+    last = F.try_element_at("features", F.lit(-1))
+    return out.select("rec_id", "seq_id", F.size("features").cast("long").alias("n_features"), last["type"].alias("last_type"), last["end"].alias("last_end"))
+
+
+def feature_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = regions.feature_regions(_sequences(spark, sf_dir))
+    return rows.select("rec_id", F.posexplode("regions").alias("n", "r")).select("rec_id", F.col("n").cast("long").alias("n"), F.col("r.start").alias("start"), F.col("r.end").alias("end"))
+
+
+def probes_by_background(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probes of known backgrounds, with the k-mer size each background asks for."""
+    known = read_table(spark, sf_dir, "manifest").dropDuplicates(["id"])
+    rows = read_table(spark, sf_dir, "probes").join(known, F.col("background_id") == F.col("id"))
+    return rows.groupBy("background_id").agg(F.count("*").alias("probes"), F.max("kmer_size").alias("k"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found,)}
+def _work(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    work = overlaps.jobs(read_table(spark, sf_dir, "requests"), read_table(spark, sf_dir, "config"))
+    texts = _sequences(spark, sf_dir).where("seq is not null").select("rec_id", letters(F.col("seq")).alias("text"))
+    return work, read_table(spark, sf_dir, "regions"), texts
+
+
+def free_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    work, found, _ = _work(spark, sf_dir)
+    return overlaps.free_overlaps(work, found)
+
+
+def motif_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlaps.motif_overlaps(overlaps.motif_hits(*_work(spark, sf_dir)))
+
+
+def candidate_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlaps.candidates(*_work(spark, sf_dir)).withColumn("ord", F.col("ord").cast("long"))
+
+
+def overlap_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    work, found, texts = _work(spark, sf_dir)
+    return graph.overlap_edges(overlaps.candidates(work, found, texts), work)
+
+
+def _components(spark: SparkSession, sf_dir: str):
+    work, found, texts = _work(spark, sf_dir)
+    nodes = cut_lineage(overlaps.candidates(work, found, texts))
+    return work, found, texts, nodes, graph.components(graph.overlap_edges(nodes, work), nodes)
+
+
+def components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = _components(spark, sf_dir)[-1]
+    return parts.groupBy("rec_id", "config_id").agg(F.countDistinct("component").alias("components"), F.count("*").alias("nodes"))
+
+
+def gap_region_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    work, found, texts, nodes, parts = _components(spark, sf_dir)
+    gaps = graph.component_gaps(parts, nodes, work, texts.select("rec_id", F.length("text").cast("long").alias("L")))
+    return graph.gap_regions(gaps, found)
+
+
+def tilings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    work, found, texts = _work(spark, sf_dir)
+    return graph.tilings(overlaps.candidates(work, found, texts), found, work)
+
+
+def fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fr.fragments(tilings(spark, sf_dir))
+
+
+def fragment_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = _sequences(spark, sf_dir).where("seq is not null").select("rec_id", "seq_id", letters(F.col("seq")).alias("text"))
+    return fr.fragment_records(fragments(spark, sf_dir), texts)
+
+
+def fasta_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records written as FASTA text and read again."""
+    rows = _sequences(spark, sf_dir).where("seq is not null")
+    text = writers.fasta_text(F.concat(F.lit("r"), F.col("rec_id").cast("string")), F.col("description"), letters(F.col("seq")))
+    back = sf.parse(rows.select("source_path", F.col("rec_id").alias("ord"), text.alias("block")), "fasta")
+    return back.select(F.expr("cast(substring(seq_id, 2) as bigint)").alias("rec_id"), "length", F.md5("seq").alias("digest"))
+
+
+def genbank_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records written as GenBank text and read again; features without a range are lost."""
+    rows = _sequences(spark, sf_dir).where("seq is not null").withColumn("seq", letters(F.col("seq"))).withColumn("seq_id", F.concat(F.lit("r"), F.col("rec_id").cast("string")))
+    back = sf.parse(rows.select("source_path", F.col("rec_id").alias("ord"), writers.genbank_text(rows).alias("block")), "genbank")
+    marked = F.filter("features", lambda f: F.coalesce(F.try_element_at(f["qualifiers"], F.lit("label")) == F.array(F.lit("homology_free")), F.lit(False)))
+    return back.select(
+        F.expr("cast(substring(seq_id, 2) as bigint)").alias("rec_id"), "length", F.md5("seq").alias("digest"), (F.col("topology") == "circular").alias("circular"),
+        F.size("features").cast("long").alias("n_features"), F.coalesce(F.aggregate("features", F.lit(0).cast("long"), lambda a, f: a + f["start"] * 3 + f["end"]), F.lit(0)).alias("places"), F.size(marked).cast("long").alias("labelled"),
+    )
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        p2_found, seq_catalog, revcomp, kmer_counts, circular_kmers, background_kmers, repeated_kmers, anti_background, region_runs, homology_free_regions, indexed_regions,
+        numbered_regions, annotated_records, feature_regions, probes_by_background, free_overlaps, motif_overlaps, candidate_list, overlap_edges, components, gap_region_clip,
+        tilings, fragments, fragment_records, fasta_round_trip, genbank_round_trip,
+    )
+}
+
+_LETTERS = "replace(regexp_replace(upper(seq), '[^A-Z]', '', 'g'), 'U', 'T')"
+_CIRCULAR = "coalesce(lower(trim(topology)) = 'circular', false)"
+_RC = f"translate(reverse({{}}), '{IUPAC}', '{IUPAC_COMPLEMENT}')"
+
+
+def _windows(k: int) -> str:
+    """Every window with its strand-neutral form and weight."""
+    return f"""
+with s as (select rec_id, role, {_CIRCULAR} circular, case when {_CIRCULAR} then {_LETTERS} || left({_LETTERS}, {k - 1}) else {_LETTERS} end t from sequences where seq is not null),
+x as (select rec_id, role, circular, cast(i as bigint) pos, substr(t, cast(i as bigint) + 1, {k}) w from s, unnest(range(0, greatest(length(t) - {k - 1}, 0))) u(i)),
+y as (select *, {_RC.format('w')} r from x),
+z as (select rec_id, role, circular, pos, least(w, r) c, case when w = r then 2 else 1 end n from y)
+"""
+
+
+_FREE = _windows(K) + """,
+o as (select *, sum(n) over (partition by rec_id, c) times from z where role = 'query'),
+f as (select rec_id, pos from o where times = 1 and c not in (select c from z where role = 'background'))
+"""
+_REGIONS = _FREE + f""",
+g as (select *, pos - row_number() over (partition by rec_id order by pos) grp from f),
+h as (select rec_id, min(pos) "start", max(pos) + {K} "end" from g group by rec_id, grp having max(pos) + {K} - min(pos) >= {THRESHOLD})
+"""
+_WORK = f"""
+with w as (select distinct r.rec_id, r.config_id, min_size, max_size, min_overlap, max_overlap, nullif(upper(motif), '') motif, min_step
+           from requests r join config c using (config_id)
+           where r.rec_id is not null and min_size <= max_size and min_overlap <= max_overlap and min_overlap >= 0 and min_step >= 1 and max_size - min_overlap >= 5),
+g as (select distinct rec_id, "start" s, "end" e from regions where rec_id is not null and "start" >= 0 and "end" > "start"),
+t as (select rec_id, {_LETTERS} t from sequences where seq is not null),
+fo as (select distinct rec_id, config_id, cast(p as bigint) "start", cast(p + min_overlap as bigint) "end"
+       from w join g using (rec_id), unnest(range(s, e - min_overlap + 1, min_step)) u(p) where motif is null and e - s >= min_overlap),
+sp as (select rec_id, config_id, s, e, min_overlap, max_overlap, length(motif) m, string_split(substr(t, s + 1, e - s), motif) parts
+       from w join g using (rec_id) join t using (rec_id) where motif is not null),
+hi as (select rec_id, config_id, s, e, min_overlap, max_overlap, m, s + (i - 1) * m + list_sum(list_transform(parts[1:i], lambda x: length(x))) pos
+       from sp, unnest(range(1, len(parts))) u(i)),
+mo as (select distinct a.rec_id, a.config_id, cast(a.pos as bigint) "start", cast(min(b.pos) + any_value(a.m) as bigint) "end"
+       from hi a join hi b on a.rec_id = b.rec_id and a.config_id = b.config_id and a.s = b.s and a.e = b.e
+            and b.pos - a.pos + a.m between a.min_overlap and a.max_overlap group by a.rec_id, a.config_id, a.s, a.e, a.pos),
+l as (select w.rec_id, w.config_id, length(t) n from w join t using (rec_id)),
+al as (select rec_id, config_id, 0 kind, cast(0 as bigint) "start", cast(0 as bigint) "end" from l union all select rec_id, config_id, 2, n, n from l
+       union all select rec_id, config_id, 1, "start", "end" from (select * from fo union all select * from mo) semi join l using (rec_id, config_id)),
+ca as (select rec_id, config_id, "start", "end", row_number() over (partition by rec_id, config_id order by kind, "start", "end") - 1 ord from al)
+"""
 
 ORACLES = {
     "p2_found": """
@@ -26,4 +246,35 @@ q as (select *, lead(s) over (partition by rec_id order by grp) nx from p)
 select rec_id, 'covered' kind, s seg_start, t seg_end from q
 union all select rec_id, 'gap', t, nx from q where nx is not null
 """,
+    "seq_catalog": f"select rec_id, coalesce(length({_LETTERS}), 0) n_letters, {_CIRCULAR} circular, coalesce(regexp_full_match(seq, '[ATCGatcg\\s]*'), false) plain_dna, cast(coalesce(len(features), 0) as int) n_features from sequences",
+    "revcomp": f"select rec_id, md5({_RC.format(_LETTERS)}) digest from sequences where seq is not null",
+    "kmer_counts": _windows(EVEN_K) + ", d as (select rec_id, c, sum(n) times from z group by rec_id, c) select rec_id, count(*) kmers, cast(sum(times) as bigint) occurrences, count(*) filter (times >= 2) repeated from d group by rec_id",
+    "circular_kmers": _windows(K) + "select rec_id, count(*) windows, max(pos) last_pos from z where circular group by rec_id",
+    "background_kmers": _windows(K) + "select distinct c kmer from z where role = 'background' and not regexp_matches(c, '[^ACGT]')",
+    "repeated_kmers": _windows(EVEN_K) + "select rec_id, c kmer, cast(sum(n) as bigint) times from z where not regexp_matches(c, '[^ACGT]') group by rec_id, c having sum(n) >= 2",
+    "anti_background": _FREE + "select rec_id, count(*) free_positions from f group by rec_id",
+    "region_runs": _REGIONS + 'select rec_id, "start", "end" from h',
+    "homology_free_regions": _REGIONS + 'select rec_id, "start", "end" from h',
+    "indexed_regions": _REGIONS + 'select rec_id, "start", "end" from h',
+    "numbered_regions": _REGIONS + """select rec_id, "start", "end", row_number() over w region_no, 'Non-homologous region ' || (row_number() over w) note from h window w as (partition by rec_id order by "start", "end")""",
+    "annotated_records": _REGIONS + """, c as (select rec_id, count(*) n, max_by("end", "start") e from h group by rec_id)
+select rec_id, seq_id || '_annotated' seq_id, coalesce(len(features), 0) + coalesce(n, 0) n_features, case when n > 0 then 'misc_feature' else features[-1].type end last_type,
+       case when n > 0 then e else features[-1]."end" end last_end from sequences left join c using (rec_id) where role = 'query'""",
+    "feature_regions": """
+with e as (select rec_id, unnest(features) f from sequences)
+select rec_id, row_number() over (partition by rec_id order by f."start" nulls first, f."end" nulls first) - 1 n, f."start" as "start", f."end" as "end"
+from e where f.type = 'misc_feature' and element_at(f.qualifiers, 'label')[1] = ['homology_free']
+""",
+    "probes_by_background": "select background_id, count(*) probes, max(kmer_size) k from probes join (select distinct on (id) * from manifest) m on background_id = m.id group by background_id",
+    "free_overlaps": _WORK + "select * from fo",
+    "motif_overlaps": _WORK + "select * from mo",
+    "candidate_list": _WORK + "select * from ca",
+    "overlap_edges": _WORK + """select rec_id, config_id, u."start" u_start, u."end" u_end, v."start" v_start, v."end" v_end, cast(1 as bigint) weight, 'all' constraints
+from ca u join ca v using (rec_id, config_id) join w using (rec_id, config_id) where v.ord > u.ord and v."end" - u."start" between min_size and max_size""",
+    "fasta_round_trip": f"select rec_id, length({_LETTERS}) length, md5({_LETTERS}) digest from sequences where seq is not null",
+    "genbank_round_trip": f"""
+with e as (select rec_id, unnest(features) f from sequences), c as (select rec_id, count(*) n, sum(f."start" * 3 + f."end") p,
+  count(*) filter (element_at(f.qualifiers, 'label')[1] = ['homology_free']) q from e where f."start" is not null and f."end" is not null group by rec_id)
+select rec_id, length({_LETTERS}) length, md5({_LETTERS}) digest, {_CIRCULAR} circular, coalesce(n, 0) n_features, cast(coalesce(p, 0) as bigint) places, coalesce(q, 0) labelled
+from sequences left join c using (rec_id) where seq is not null""",
 }
