@@ -9,37 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandloom.functions.kmers import window_codes
 from strandloom.functions.letters import letter_blocks
 
 DENSE = 12  # up to this width a task keeps its partial counts in an array of 4**width cells
 FLUSH = 4_000_000  # wider terms: distinct terms held by a task before it hands them on
 
-_CODE = np.full(256, 4, dtype=np.uint8)
-_CODE[np.frombuffer(b"ACGT", dtype=np.uint8)] = np.arange(4)
-
-
-def window_codes(text: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(base-4 code of every window, whether it is all A, C, G or T), by doubling."""
-    n = len(text) - width + 1
-    if n <= 0:
-        return np.empty(0, dtype=np.int64), np.empty(0, dtype=bool)
-    code = _CODE[text]
-    bad = np.concatenate(([0], np.cumsum(code == 4)))
-    clean = bad[width:] == bad[:-width]
-    kind = np.int32 if width <= 15 else np.int64
-    part, length, out, done, rest = (code & 3).astype(kind), 1, None, 0, width
-    while True:
-        if rest & 1:
-            piece = part[done : done + n]
-            out = piece if out is None else (out << (2 * length)) | piece
-            done += length
-        rest >>= 1
-        if not rest:
-            return out, clean
-        part = (part[:-length] << (2 * length)) | part[length:]
-        length *= 2
-
-
 def _partial_counts(width: int):
     schema = pa.schema([("code", pa.int64()), ("occurrences", pa.int64()), ("records", pa.int64())])
 
