@@ -136,24 +136,34 @@ def _genbank(blocks: DataFrame) -> DataFrame:
     kind = F.regexp_extract("locus", r"^\S+ +\d+ +bp +(\S+)", 1)
     topology = F.nullif(F.lower(F.regexp_extract("locus", r"(?i)\b(circular|linear)\b", 1)), F.lit(""))
     entries = F.filter(F.split("table", r"\n(?= {5}\S)"), lambda x: F.trim(x) != "")
+    # one column a step, so that each is worked out once
+    rows = rows.withColumn("entries", F.transform(entries, _split_entry)).withColumn("entries", F.transform("entries", _named))
     return rows.select(
         F.regexp_extract(F.coalesce(version, accession, name), r"^(\S+)", 1).alias("seq_id"), "ord", name.alias("name"), F.coalesce(_entry(F.col("t"), "DEFINITION"), F.lit("")).alias("description"),
         "seq", F.length("seq").cast("long").alias("length"), topology.alias("topology"), F.nullif(kind, F.lit("")).alias("molecule_type"), "source_path",
-        F.transform(entries, _feature).cast(FEATURES).alias("features"),
+        F.transform("entries", _feature).cast(FEATURES).alias("features"),
     )
 
 
-def _feature(entry: Column) -> Column:
+def _split_entry(entry: Column) -> Column:
     parts = F.split(entry, r"\n {10,}/(?=[A-Za-z_])")
-    head = F.trim(F.element_at(parts, 1))
-    location = F.regexp_replace(F.regexp_replace(head, r"^\S+", ""), r"\s", "")
-    numbers = F.transform(F.regexp_extract_all(location, F.lit(r"(?<![\w.:])[<>]?(\d+)(?![\d.:]*:)"), F.lit(1)), lambda x: x.cast("long"))
+    return F.struct(F.trim(F.element_at(parts, 1)).alias("head"), F.slice(parts, 2, 100_000).alias("marks"))
+
+
+def _named(entry: Column) -> Column:
+    location = F.regexp_replace(F.regexp_replace(entry["head"], r"^\S+", ""), r"\s", "")
+    here = F.regexp_replace(location, r"[A-Za-z_][\w.]*:[^,)]*", "")  # parts on other records are not counted
+    numbers = F.transform(F.regexp_extract_all(here, F.lit(r"(\d+)"), F.lit(1)), lambda x: x.cast("long"))
+    return F.struct(F.regexp_extract(entry["head"], r"^(\S+)", 1).alias("type"), location.alias("location"), numbers.alias("numbers"), F.transform(entry["marks"], _qualifier).alias("marks"))
+
+
+def _feature(entry: Column) -> Column:
+    location, numbers, marks = entry["location"], entry["numbers"], entry["marks"]
     joined = location.rlike("join|order|bond")  # else the range as written, even in reverse
-    marks = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), _qualifier)
-    names = F.array_distinct(F.transform(marks, lambda q: q["name"]))
+    names = F.array_distinct(marks["name"])
     grouped = F.map_from_arrays(names, F.transform(names, lambda n: F.transform(F.filter(marks, lambda q: q["name"] == n), lambda q: q["value"])))
     return F.struct(
-        F.regexp_extract(head, r"^(\S+)", 1).alias("type"), (F.when(joined, F.array_min(numbers)).otherwise(F.try_element_at(numbers, F.lit(1))) - 1).alias("start"),
+        entry["type"].alias("type"), (F.when(joined, F.array_min(numbers)).otherwise(F.try_element_at(numbers, F.lit(1))) - 1).alias("start"),
         F.when(joined, F.array_max(numbers)).otherwise(F.try_element_at(numbers, F.lit(-1))).alias("end"),
         F.when(location.startswith("complement("), -1).otherwise(1).alias("strand"), location.contains("<").alias("start_fuzzy"), location.contains(">").alias("end_fuzzy"), grouped.alias("qualifiers"),
     )
