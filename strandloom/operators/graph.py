@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.operators.overlaps import JOB, clean_regions
-from strandloom.session import cut_lineage
 
 
 def overlap_edges(nodes: DataFrame, work: DataFrame) -> DataFrame:
@@ -28,33 +27,32 @@ def overlap_edges(nodes: DataFrame, work: DataFrame) -> DataFrame:
     return pairs.select(*JOB, "u_start", "u_end", "v_start", "v_end", F.lit(1).cast("long").alias("weight"), F.lit("all").alias("constraints"))
 
 
-def components(edges: DataFrame, nodes: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(nodes: DataFrame, work: DataFrame) -> DataFrame:
     """(rec_id, config_id, ord, component): weakly connected components by smallest order of a member.
 
-    Labels spread to the neighbours and jump to their label's label until
-    nothing changes; every round is written, so a lost executor does not undo
-    it. Nodes without an edge are left out, but for the sentinels.
+    Nodes without an edge are left out, but for the sentinels. A job's nodes
+    are gathered into one row; they are bounded by its record.
     """
-    by_place = nodes.select(*JOB, "start", "end", "ord")
-
-    def place(side: str) -> DataFrame:
-        return by_place.select(*JOB, F.col("start").alias(f"{side}_start"), F.col("end").alias(f"{side}_end"), F.col("ord").alias(side))
-
-    links = edges.join(place("u"), [*JOB, "u_start", "u_end"]).join(place("v"), [*JOB, "v_start", "v_end"]).select(*JOB, "u", "v")
-    links = cut_lineage(links.unionByName(links.select(*JOB, F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    last = Window.partitionBy(*JOB)
-    ends = by_place.withColumn("_last", F.max("ord").over(last)).where("ord = 0 or ord = _last").select(*JOB, F.col("ord").alias("u"))
-    labels = cut_lineage(links.select(*JOB, "u").unionByName(ends).distinct().withColumn("label", F.col("u")))
-    for _ in range(most_rounds):
-        near = links.join(labels.select(*JOB, F.col("u").alias("v"), "label"), [*JOB, "v"]).select(*JOB, "u", "label")
-        least = near.unionByName(labels).groupBy(*JOB, "u").agg(F.min("label").alias("label"))
-        jump = least.select(*JOB, F.col("u").alias("label"), F.col("label").alias("next"))
-        new = cut_lineage(least.join(jump, [*JOB, "label"], "left").select(*JOB, "u", F.least("label", F.coalesce("next", "label")).alias("label")))
-        moved = new.join(labels.withColumnRenamed("label", "old"), [*JOB, "u"]).where("label <> old").limit(1).count()
-        labels = new
-        if not moved:
-            return labels.select(*JOB, F.col("u").alias("ord"), F.col("label").alias("component"))
-    raise RuntimeError("components did not settle")
+    rows = _by_job(nodes).join(work.select(*JOB, "min_size", "max_size"), JOB).mapInArrow(_component_batches, "rec_id long, config_id int, parts array<struct<ord: int, component: int>>")
+    return rows.select(*JOB, F.inline("parts"))
+
+
+def _by_job(nodes: DataFrame) -> DataFrame:
+    return nodes.groupBy(*JOB).agg(F.sort_array(F.collect_list(F.struct("ord", "start", "end"))).alias("nodes"))
+
+
+def _component_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    part = pa.struct([("ord", pa.int32()), ("component", pa.int32())])
+    schema = pa.schema([("rec_id", pa.int64()), ("config_id", pa.int32()), ("parts", pa.list_(part))])
+    for batch in batches:
+        rows = []
+        for job in batch.to_pylist():
+            g = _first_graph([(n["start"], n["end"]) for n in job["nodes"]], job)
+            least = {}
+            for group in g.parts():
+                least |= dict.fromkeys(g.order[group].tolist(), int(g.order[group].min()))
+            rows.append((job["rec_id"], job["config_id"], [{"ord": o, "component": c} for o, c in sorted(least.items())]))
+        yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows) if rows else [[]] * 3, schema)], schema=schema)
 
 
 def component_gaps(parts: DataFrame, nodes: DataFrame, work: DataFrame, lengths: DataFrame) -> DataFrame:
@@ -84,117 +82,166 @@ def gap_regions(gaps: DataFrame, regions: DataFrame) -> DataFrame:
 # --- one job's graph, inside a task ---------------------------------------
 
 
+WEIGHTS = np.array([1, 10, 100, 0])  # by round; the last is for no edge
+CONSTRAINTS = ("all", "homology", "none")
+_NONE, _FAR, _STEP = 3, 2**60, 2**24
+
+
 class _Graph:
-    """Nodes in order of insertion and edges with the attributes of the last round that set them."""
-
-    def __init__(self, places: list[tuple[int, int]], low: int, high: int):
-        self.low, self.high = low, high
-        self.node: dict[tuple[int, int], int] = {places[0]: 0, places[-1]: 0}
-        self.edge: dict[tuple[tuple[int, int], tuple[int, int]], tuple[int, str]] = {}
-        ends = np.array([p[1] for p in places])
-        for i, u in enumerate(places):
-            size = ends[i + 1 :] - u[0]
-            for j in (np.flatnonzero((size >= low) & (size <= high)) + i + 1).tolist():
-                self.node.setdefault(u, 0)
-                self.node.setdefault(places[j], 0)
-                self.edge[u, places[j]] = (1, "all")
-
-    def add(self, extras: list[tuple[int, int]], weight: int, constraints: str) -> None:
-        """Join each extra node with all nodes strictly before or after it at an allowed size."""
-        for v in extras:
-            self.node.setdefault(v, 0)
-            for u in self.node:
-                first, second = (u, v) if u[1] < v[0] else (v, u)
-                if first[1] < second[0] and self.low <= second[1] - first[0] <= self.high:
-                    self.edge[first, second] = (weight, constraints)
-
-    def parts(self) -> list[list[tuple[int, int]]]:
-        """Weakly connected components, in order of their first inserted node."""
-        top = {n: n for n in self.node}
-
-        def root(n):
-            while top[n] != n:
-                top[n] = top[top[n]]
-                n = top[n]
-            return n
-
-        for u, v in self.edge:
-            top[root(u)] = root(v)
-        out: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        for n in self.node:
-            out.setdefault(root(n), []).append(n)
-        return list(out.values())
-
-    def cheapest(self, goal: tuple[int, int]) -> list[tuple[int, int]] | None:
-        """The path from (0, 0) of least weight, then fewest edges, then first in order; None if there is none.
-
-        No edge leads back to a smaller start, so nodes are settled by start.
+    """Nodes by start, each with the stretch of nodes that can stand before it.
+
+    What can come before a node starts between its end less max_size and its
+    end less min_size, a stretch of neighbours in this order; so edges are
+    never listed. ``order`` is a candidate's place (extra nodes come after
+    all), ``round`` the last repair that named the node (0: none).
+    """
+
+    def __init__(self, start: np.ndarray, end: np.ndarray, order: np.ndarray, rounds: np.ndarray, candidates: int, low: int, high: int):
+        by = np.lexsort((order, start))
+        self.start, self.end, self.order, self.round = start[by], end[by], order[by], rounds[by]
+        self.candidates, self.repaired = candidates, bool(rounds.any())
+        own = np.arange(len(by))
+        self.first = np.searchsorted(self.start, self.end - high, side="left").tolist()
+        self.last = np.minimum(np.searchsorted(self.start, self.end - low, side="right"), own).tolist()
+        self._solve()
+
+    def _kinds(self, v: int, u: slice) -> np.ndarray:
+        """The round that made each edge from ``u`` into ``v``: 0 for the first graph's, 3 for none.
+
+        The first graph joins candidates in their order; a repair joins what
+        it names with everything strictly before or after it, anew if an edge
+        was there.
         """
-        after: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        for u, v in self.edge:
-            after.setdefault(u, []).append(v)
-        best: dict[tuple[int, int], tuple[int, int, tuple[int, int] | None]] = {(0, 0): (0, 0, None)}
-        for u in sorted(self.node, key=lambda n: (n[0], n != (0, 0), n[1])):
-            if u not in best:
+        kinds = np.where(self.order[u] < self.order[v], 0, _NONE)
+        if self.repaired:
+            kinds[(self.order[u] >= self.candidates) | (self.order[v] >= self.candidates)] = _NONE
+            rounds = np.maximum(self.round[u], self.round[v])
+            renewed = (rounds > 0) & (self.end[u] < self.start[v])
+            kinds[renewed] = rounds[renewed]
+        return kinds
+
+    def _solve(self) -> None:
+        """In one pass: labels of components, when each node came in, and the cheapest way to it."""
+        n = len(self.start)
+        self.label, self.active = np.arange(n), self.order >= self.candidates
+        self.came = np.where(self.order >= self.candidates, 2**50 + self.order, self.order << 25)
+        self.cost, self.before, self.kind = np.full(n, _FAR), np.full(n, -1), np.full(n, _NONE)
+        ends = (self.order == 0) | (self.order == self.candidates - 1)
+        self.active |= ends
+        self.came[ends] = np.where(self.order[ends] == 0, -2, -1)
+        self.cost[self.order == 0] = 0
+        for v in range(n):
+            lo, hi = self.first[v], self.last[v]
+            if hi <= lo:
                 continue
-            cost, steps, _ = best[u]
-            for v in after.get(u, ()):
-                new = (cost + self.edge[u, v][0], steps + 1, u)
-                if v not in best or new < best[v]:
-                    best[v] = new
-        if goal not in best:
+            u = slice(lo, hi)
+            kinds = self._kinds(v, u)
+            joined = kinds < _NONE
+            if not joined.any():
+                continue
+            self.active[v] = True
+            self.active[u] |= joined
+            if self.came[v] >= 0 and self.order[v] < self.candidates:
+                self.came[v] = (self.order[u][joined].min() << 25) + self.order[v] + 1
+            labels = self.label[u][joined]
+            least = labels.min()
+            if labels.max() != least:
+                merged = np.unique(labels)
+                self.label[:v][np.isin(self.label[:v], merged)] = least
+            self.label[v] = least
+            cost = np.where(joined, self.cost[u] + WEIGHTS[kinds] * _STEP + 1, _FAR)
+            i = int(cost.argmin())  # the first of the cheapest
+            if cost[i] < self.cost[v]:
+                self.cost[v], self.before[v], self.kind[v] = cost[i], lo + i, kinds[i]
+
+    def parts(self) -> list[np.ndarray]:
+        """Nodes of each component, components in order of the node that came in first."""
+        nodes = np.flatnonzero(self.active)
+        groups = [nodes[self.label[nodes] == x] for x in np.unique(self.label[nodes])]
+        return sorted(groups, key=lambda g: self.came[g].min())
+
+    def last_ending(self, part: np.ndarray) -> int:
+        return int(part[np.lexsort((self.start[part], -self.end[part]))[0]])
+
+    def repair(self, extras: list[tuple[int, int]], number: int, low: int, high: int) -> _Graph:
+        """The graph with the extra nodes joined; candidates without an edge are no longer part of it."""
+        keep = np.flatnonzero(self.active)
+        start, end, order, rounds = (list(x[keep].tolist()) for x in (self.start, self.end, self.order, self.round))
+        at = {p: i for i, p in reversed(list(enumerate(zip(start, end))))}
+        following = max(self.candidates - 1, max(order)) + 1
+        for p in extras:
+            if p in at:
+                rounds[at[p]] = number
+                continue
+            at[p] = len(start)
+            start.append(p[0]), end.append(p[1]), order.append(following), rounds.append(number)
+            following += 1
+        arrays = (np.array(x, dtype=np.int64) for x in (start, end, order, rounds))
+        return _Graph(*arrays, self.candidates, low, high)
+
+    def path(self) -> list[tuple[int, int, int, int, str, int]] | None:
+        """Steps (start and end of both nodes, constraints, weight) of the cheapest way from one sentinel to the other."""
+        goal = int(np.flatnonzero(self.order == self.candidates - 1)[0])
+        if self.cost[goal] >= _FAR:
             return None
-        path = [goal]
-        while path[-1] != (0, 0):
-            path.append(best[path[-1]][2])
-        return path[::-1]
+        out = []
+        while self.before[goal] >= 0:
+            u, kind = int(self.before[goal]), int(self.kind[goal])
+            out.append((int(self.start[u]), int(self.end[u]), int(self.start[goal]), int(self.end[goal]), CONSTRAINTS[kind], int(WEIGHTS[kind])))
+            goal = u
+        return out[::-1]
 
 
-def _homology_extras(parts, regions, job, length: int) -> list[tuple[int, int]]:
-    parts = sorted(parts, key=lambda p: min(p)[0])
+def _homology_extras(graph: _Graph, regions, job, length: int) -> list[tuple[int, int]]:
+    parts = sorted(graph.parts(), key=lambda p: int(p[0]))
     out = []
     for a, b in zip(parts, parts[1:]):
-        low = max(max(a, key=lambda n: (n[1], -n[0]))[0] - job["min_size"], 0)
-        high = min(min(b)[1] + job["min_size"], length)
+        low = max(int(graph.start[graph.last_ending(a)]) - job["min_size"], 0)
+        high = min(int(graph.end[b[0]]) + job["min_size"], length)
         for s, e in regions:
             if s < high and e > low:
                 out += [(p, p + job["min_overlap"]) for p in range(max(low, s), min(e, high) - job["min_overlap"] + 1, job["min_step"])]
     return out
 
 
-def _free_extras(parts, job, length: int) -> list[tuple[int, int]]:
-    out, step = [], (job["max_size"] - job["min_overlap"]) // 5
+def _free_extras(graph: _Graph, job, length: int) -> list[tuple[int, int]]:
+    out, step, parts = [], (job["max_size"] - job["min_overlap"]) // 5, graph.parts()
     for a, b in zip(parts, parts[1:]):
-        low, high = max(a, key=lambda n: (n[1], -n[0]))[0], min(b)[1]
+        low, high = int(graph.start[graph.last_ending(a)]), int(graph.end[b[0]])
         if high - low < job["min_size"]:
             low, high = max(low - job["min_size"], 0), min(high + job["min_size"], length)
         out += [(p, p + job["min_overlap"]) for p in range(low, high - job["min_overlap"] + 1, step)]
     return out
 
 
-def tile(places: list[tuple[int, int]], regions: list[tuple[int, int]], job: dict) -> tuple[str, int, list[tuple[tuple[int, int], tuple[int, int], str, int]]]:
+def _first_graph(places: list[tuple[int, int]], job: dict) -> _Graph:
+    both, n = np.array(places, dtype=np.int64), len(places)
+    return _Graph(both[:, 0], both[:, 1], np.arange(n), np.zeros(n, dtype=np.int64), n, job["min_size"], job["max_size"])
+
+
+def tile(places: list[tuple[int, int]], regions: list[tuple[int, int]], job: dict) -> tuple[str, int, list[tuple[int, int, int, int, str, int]]]:
     """(status, components before repair, steps of the cheapest path) of one job.
 
     A graph in several components is repaired: with a motif, by overlaps
     without the motif inside the regions around the gaps (weight 10,
     'homology'); if it still falls apart, by overlaps anywhere in the gaps
-    (weight 100, 'none'). status: 'ok', 'repaired' or 'infeasible'.
+    (weight 100, 'none'). status: 'ok', 'repaired' or 'infeasible'. A record
+    without letters is covered by nothing at no cost.
     """
     length = places[-1][1]
-    graph = _Graph(places, job["min_size"], job["max_size"])
-    parts = graph.parts()
-    status, before = "ok", len(parts)
-    if before > 1:
-        status = "repaired"
+    if length == 0:
+        return "ok", 1, []
+    sizes = job["min_size"], job["max_size"]
+    graph = _first_graph(places, job)
+    before = count = len(graph.parts())
+    if count > 1:
         if job["motif"]:
-            graph.add(_homology_extras(parts, regions, job, length), 10, "homology")
-            parts = graph.parts()
-        if len(parts) > 1:
-            graph.add(_free_extras(parts, job, length), 100, "none")
-    path = graph.cheapest((length, length))
-    if path is None:
-        return "infeasible", before, []
-    return status, before, [(u, v, graph.edge[u, v][1], graph.edge[u, v][0]) for u, v in zip(path, path[1:])]
+            graph = graph.repair(_homology_extras(graph, regions, job, length), 1, *sizes)
+            count = len(graph.parts())
+        if count > 1:
+            graph = graph.repair(_free_extras(graph, job, length), 2, *sizes)
+    path = graph.path()
+    return ("infeasible" if path is None else "ok" if before == 1 else "repaired"), before, path or []
 
 
 TILING = (
@@ -214,9 +261,8 @@ def tilings(nodes: DataFrame, regions: DataFrame, work: DataFrame) -> DataFrame:
     A job's nodes and regions are gathered into one row; they are bounded by
     its record.
     """
-    by_job = nodes.groupBy(*JOB).agg(F.sort_array(F.collect_list(F.struct("ord", "start", "end"))).alias("nodes"))
     by_record = clean_regions(regions).groupBy("rec_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("regions"))
-    rows = by_job.join(work, JOB).join(by_record, "rec_id", "left")
+    rows = _by_job(nodes).join(work, JOB).join(by_record, "rec_id", "left")
     return rows.mapInArrow(_tile_batches, TILING)
 
 
@@ -228,6 +274,6 @@ def _tile_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for job in batch.to_pylist():
             places = [(n["start"], n["end"]) for n in job["nodes"]]
             status, parts, path = tile(places, [(r["start"], r["end"]) for r in job["regions"] or []], job)
-            steps = [dict(frag_start=u[0], frag_end=v[1], overlap_start=v[0], overlap_end=v[1], constraints=c) for u, v, c, _ in path]
-            rows.append((job["rec_id"], job["config_id"], status, parts, sum(w for *_, w in path) if path else None, steps))
+            steps = [dict(frag_start=a, frag_end=e, overlap_start=s, overlap_end=e, constraints=c) for a, _, s, e, c, _ in path]
+            rows.append((job["rec_id"], job["config_id"], status, parts, None if status == "infeasible" else sum(x[-1] for x in path), steps))
         yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows) if rows else [[]] * 6, schema)], schema=schema)

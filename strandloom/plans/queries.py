@@ -135,7 +135,7 @@ def overlap_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _components(spark: SparkSession, sf_dir: str):
     work, found, texts = _work(spark, sf_dir)
     nodes = cut_lineage(overlaps.candidates(work, found, texts))
-    return work, found, texts, nodes, graph.components(graph.overlap_edges(nodes, work), nodes)
+    return work, found, texts, nodes, graph.components(nodes, work)
 
 
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:

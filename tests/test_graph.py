@@ -89,7 +89,7 @@ def test_edges_and_components(spark):
             for i, j in want:
                 label[i] = label[j] = min(label[i], label[j])
         kept = {x for e in want for x in e} | {0, len(places) - 1}
-        got = {r["ord"]: r["component"] for r in graph.components(edges, df).collect()}
+        got = {r["ord"]: r["component"] for r in graph.components(df, work).collect()}
         assert got == {i: label[i] for i in kept}
 
 
@@ -126,37 +126,93 @@ def test_repair_keeps_to_the_regions_first(spark):
     check_tiling(steps, len(seq), 100, 250)
 
 
-def test_cheapest_path_against_enumeration():
+def model(places, regions, job):
+    """The same graph with all its nodes and edges in plain dicts: (components before repair, cost, has a path)."""
+    length, low, high = places[-1][1], job["min_size"], job["max_size"]
+    nodes, edges = {places[0]: 0, places[-1]: 0}, {}
+    for i, u in enumerate(places):
+        for v in places[i + 1 :]:
+            if low <= v[1] - u[0] <= high:
+                nodes.setdefault(u), nodes.setdefault(v)
+                edges[u, v] = 1
+
+    def parts():
+        label = {n: i for i, n in enumerate(nodes)}
+        for _ in nodes:
+            for u, v in edges:
+                label[u] = label[v] = min(label[u], label[v])
+        out = {}
+        for n in nodes:
+            out.setdefault(label[n], []).append(n)
+        return list(out.values())
+
+    def add(extras, weight):
+        for v in extras:
+            nodes.setdefault(v)
+            for u in list(nodes):
+                for a, b in ((u, v), (v, u)):
+                    if a[1] < b[0] and low <= b[1] - a[0] <= high:
+                        edges[a, b] = weight
+
+    before = len(parts())
+    if before > 1 and job["motif"]:
+        extras = []
+        comps = sorted(parts(), key=lambda p: min(p))
+        for a, b in zip(comps, comps[1:]):
+            lo = max(max(a, key=lambda n: (n[1], -n[0]))[0] - low, 0)
+            hi = min(min(b)[1] + low, length)
+            for s, e in regions:
+                if s < hi and e > lo:
+                    x = max(lo, s)
+                    while x + job["min_overlap"] <= min(e, hi):
+                        extras.append((x, x + job["min_overlap"]))
+                        x += job["min_step"]
+        add(extras, 10)
+    comps = parts()
+    if len(comps) > 1:
+        extras = []
+        for a, b in zip(comps, comps[1:]):
+            lo, hi = max(a, key=lambda n: (n[1], -n[0]))[0], min(b)[1]
+            if hi - lo < low:
+                lo, hi = max(lo - low, 0), min(hi + low, length)
+            while lo + job["min_overlap"] <= hi:
+                extras.append((lo, lo + job["min_overlap"]))
+                lo += (high - job["min_overlap"]) // 5
+        add(extras, 100)
+    cost = {(0, 0): 0}
+    for _ in nodes:
+        for (u, v), w in edges.items():
+            if u in cost:
+                cost[v] = min(cost.get(v, 10**9), cost[u] + w)
+    return before, cost.get((length, length)), edges
+
+
+def test_tilings_against_a_plain_model():
     rng = random.Random(9)
-    for _ in range(200):
-        length = rng.randrange(60, 140)
-        places = sorted({(s, s + rng.randrange(5, 15)) for s in (rng.randrange(length - 15) for _ in range(rng.randrange(0, 9)))})
+    seen = set()
+    for _ in range(1500):
+        length = rng.randrange(15, 160)
+        late = 20 if rng.random() < 0.2 else -15
+        places = sorted({(s, s + rng.randrange(5, 15)) for s in (rng.randrange(max(1, length + late)) for _ in range(rng.randrange(0, 11)))})
         places = [(0, 0), *places, (length, length)]
         job = {"min_size": 20, "max_size": rng.randrange(30, 60), "min_overlap": 8, "min_step": 5, "motif": rng.choice([None, "GC"])}
-        regions = [(5, 30), (50, 90)]
+        regions = [(5, 30), (50, 90), (95, 120)]
         status, parts, path = tile(places, regions, job)
-        g = graph._Graph(places, job["min_size"], job["max_size"])
-        if len(g.parts()) > 1:
-            if job["motif"]:
-                g.add(graph._homology_extras(g.parts(), regions, job, length), 10, "homology")
-            if len(g.parts()) > 1:
-                g.add(graph._free_extras(g.parts(), job, length), 100, "none")
-        cost = {(0, 0): 0}
-        for _ in g.node:
-            for (u, v), (w, _c) in g.edge.items():
-                if u in cost:
-                    cost[v] = min(cost.get(v, 10**9), cost[u] + w)
-        assert (status == "infeasible") == ((length, length) not in cost)
-        if path:
-            assert sum(w for *_, w in path) == cost[length, length]
-            assert path[0][0] == (0, 0) and path[-1][1] == (length, length)
+        before, cost, edges = model(places, regions, job)
+        assert parts == before and (status == "infeasible") == (cost is None)
+        seen.add((status, job["motif"]))
+        if cost is not None:
+            assert sum(x[-1] for x in path) == cost
+            assert path[0][:2] == (0, 0) and path[-1][2:4] == (length, length)
+            assert all(a[2:4] == b[:2] for a, b in zip(path, path[1:]))
+            assert all(edges[x[:2], x[2:4]] == x[-1] for x in path)
+    assert len(seen) == 6
 
 
 def test_gaps(spark):
     c = Case(spark, "A" * 1000, [(50, 100), (800, 850)], 100, 200, 20, 50, step=30)
     nodes = c.nodes()
-    edges = graph.overlap_edges(nodes, c.work)
-    gaps = graph.component_gaps(graph.components(edges, nodes), nodes, c.work, spark.createDataFrame([(1, 1000)], "rec_id long, L long"))
+    gaps = graph.component_gaps(graph.components(nodes, c.work), nodes, c.work, spark.createDataFrame([(1, 1000)], "rec_id long, L long"))
     rows = graph.gap_regions(gaps, c.regions).collect()
     assert rows and all(r["clip_start"] < r["clip_end"] and (50 <= r["clip_start"] and r["clip_end"] <= 100 or 800 <= r["clip_start"] and r["clip_end"] <= 850) for r in rows)
 
