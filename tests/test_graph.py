@@ -3,7 +3,6 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from strandloom.operators import fragments as fr
 from strandloom.operators import graph, overlaps
 from strandloom.operators.graph import tile
 from strandloom.operators.overlaps import CONFIG_SCHEMA, FragmentConfig
@@ -11,74 +10,86 @@ from strandloom.operators.overlaps import CONFIG_SCHEMA, FragmentConfig
 G = "GAATTC"
 
 
-class Case:
-    def __init__(self, spark, seq, regions, *sizes, step=10, motif=None):
-        self.config = FragmentConfig(*sizes, motif, step)
-        self.work = overlaps.jobs(spark.createDataFrame([(1, 0)], "rec_id long, config_id int"), spark.createDataFrame([self.config.row()], CONFIG_SCHEMA))
-        end = len(seq)
-        self.regions = spark.createDataFrame([(1, a, end if b is None else b) for a, b in regions], "rec_id long, start long, end long")
-        self.texts = spark.createDataFrame([(1, seq)], "rec_id long, text string")
+def case(seq, regions, *sizes, step=10, motif=None):
+    return seq, regions, FragmentConfig(*sizes, motif, step)
+
+
+class Cases:
+    """Several jobs at once: record i under configuration i."""
+
+    def __init__(self, spark, *cases):
+        self.n = len(cases)
+        rows = range(self.n)
+        config = spark.createDataFrame([c.row(i) for i, (_, _, c) in enumerate(cases)], CONFIG_SCHEMA)
+        self.work = overlaps.jobs(spark.createDataFrame([(i, i) for i in rows], "rec_id long, config_id int"), config)
+        spans = [(i, a, len(seq) if b is None else b) for i, (seq, regions, _) in enumerate(cases) for a, b in regions]
+        self.regions = spark.createDataFrame(spans, "rec_id long, start long, end long")
+        self.texts = spark.createDataFrame([(i, seq) for i, (seq, _, _) in enumerate(cases)], "rec_id long, text string")
+
+    def _by_case(self, df):
+        out = [[] for _ in range(self.n)]
+        for r in df.collect():
+            out[r["rec_id"]].append((r["start"], r["end"]))
+        return [sorted(x) for x in out]
 
     def free(self):
-        return sorted((r["start"], r["end"]) for r in overlaps.free_overlaps(self.work, self.regions).collect())
+        return self._by_case(overlaps.free_overlaps(self.work, self.regions))
 
     def motif(self):
-        return sorted((r["start"], r["end"]) for r in overlaps.motif_overlaps(overlaps.motif_hits(self.work, self.regions, self.texts)).collect())
+        return self._by_case(overlaps.motif_overlaps(overlaps.motif_hits(self.work, self.regions, self.texts)))
 
     def nodes(self):
         return overlaps.candidates(self.work, self.regions, self.texts)
 
-    def places(self):
-        return [(r["start"], r["end"]) for r in self.nodes().orderBy("ord").collect()]
-
     def tile(self):
-        row = graph.tilings(self.nodes(), self.regions, self.work).first()
-        return row["status"], row["cost"], [tuple(s) for s in row["steps"]]
+        rows = graph.tilings(self.nodes(), self.regions, self.work).collect()
+        return [(r["status"], r["cost"], [tuple(s) for s in r["steps"]]) for r in sorted(rows, key=lambda r: r["rec_id"])]
 
 
 def test_free_overlaps(spark):
-    assert Case(spark, "A" * 200, [(50, 100)], 100, 500, 20, 50).free() == [(50, 70), (60, 80), (70, 90), (80, 100)]
-    assert Case(spark, "A" * 300, [(50, 80), (150, 180)], 100, 500, 21, 50).free() == [(50, 71), (150, 171)]
-    assert Case(spark, "A" * 200, [(50, 65)], 100, 500, 20, 50).free() == []
-    assert Case(spark, "A" * 200, [(50, 75)], 100, 500, 20, 50).free() == [(50, 70)]
+    cases = [
+        case("A" * 200, [(50, 100)], 100, 500, 20, 50), case("A" * 300, [(50, 80), (150, 180)], 100, 500, 21, 50),
+        case("A" * 200, [(50, 65)], 100, 500, 20, 50), case("A" * 200, [(50, 75)], 100, 500, 20, 50),
+    ]
+    assert Cases(spark, *cases).free() == [[(50, 70), (60, 80), (70, 90), (80, 100)], [(50, 71), (150, 171)], [], [(50, 70)]]
 
 
 def test_motif_overlaps(spark):
-    def got(seq, regions, high=40):
-        return Case(spark, seq, regions, 100, 500, 20, high, motif=G.lower()).motif()
-
-    whole = [(0, None)]
-    assert len(got("ATGC" + G + "ATGC" * 5 + G + "ATGC" * 5 + G + "ATGC", whole)) == 2
-    assert got("ATGC" * 4, whole) == []
-    assert got("ATGC" + G + "ATGC" + G + "ATGC", whole) == []
-    assert got("ATGC" + G + "A" * 60 + G + "ATGC", whole) == []
-    assert got(G + "A" * 20 + G + "T" * 20 + G + "A" * 20 + G, [(0, 40), (50, None)]) == [(0, 32), (52, 84)]
-    spans = got(G + "A" * 8 + G + "A" * 7 + G + "A" * 28 + G + "A" * 29 + G, whole)
-    assert {(0, 20), (27, 67)} <= set(spans) and all(20 <= b - a <= 40 for a, b in spans)
+    whole, sizes = [(0, None)], (100, 500, 20, 40)
+    seqs = ["ATGC" + G + "ATGC" * 5 + G + "ATGC" * 5 + G + "ATGC", "ATGC" * 4, "ATGC" + G + "ATGC" + G + "ATGC", "ATGC" + G + "A" * 60 + G + "ATGC"]
+    cases = [case(s, whole, *sizes, motif=G.lower()) for s in seqs]
+    cases.append(case(G + "A" * 20 + G + "T" * 20 + G + "A" * 20 + G, [(0, 40), (50, None)], *sizes, motif=G))
+    cases.append(case(G + "A" * 8 + G + "A" * 7 + G + "A" * 28 + G + "A" * 29 + G, whole, *sizes, motif=G))
+    got = Cases(spark, *cases).motif()
+    assert len(got[0]) == 2 and got[1:4] == [[], [], []] and got[4] == [(0, 32), (52, 84)]
+    assert {(0, 20), (27, 67)} <= set(got[5]) and all(20 <= b - a <= 40 for a, b in got[5])
 
 
 def test_hits_do_not_overlap(spark):
-    hits = overlaps.motif_hits(*(lambda c: (c.work, c.regions, c.texts))(Case(spark, "AAAAAAA.", [(0, 8)], 100, 500, 1, 9, motif="aaa")))
-    assert sorted(r["pos"] for r in hits.collect()) == [0, 3]
+    c = Cases(spark, case("AAAAAAA.", [(0, 8)], 100, 500, 1, 9, motif="aaa"))
+    assert sorted(r["pos"] for r in overlaps.motif_hits(c.work, c.regions, c.texts).collect()) == [0, 3]
 
 
 def test_candidates_stand_between_sentinels(spark):
-    assert Case(spark, "A" * 200, [(50, 100), (50, 100), (60, 100)], 100, 500, 20, 50).places() == [(0, 0), (50, 70), (60, 80), (70, 90), (80, 100), (200, 200)]
-    assert len(Case(spark, "ATGC" + G + "ATGC" * 8 + G + "ATGC", [(0, None)], 100, 500, 20, 50, motif=G).places()) == 3
+    seq = "ATGC" + G + "ATGC" * 8 + G + "ATGC"
+    c = Cases(spark, case("A" * 200, [(50, 100), (50, 100), (60, 100)], 100, 500, 20, 50), case(seq, [(0, None)], 100, 500, 20, 50, motif=G))
+    rows = sorted((r["rec_id"], r["ord"], r["start"], r["end"]) for r in c.nodes().collect())
+    assert [r[2:] for r in rows if r[0] == 0] == [(0, 0), (50, 70), (60, 80), (70, 90), (80, 100), (200, 200)]
+    assert [r[1] for r in rows if r[0] == 1] == [0, 1, 2]
 
 
 def test_edges_and_components(spark):
     rng = random.Random(4)
     spans = [(50, 110), (99, 130), (159, 250), (200, 300)]
-    c = Case(spark, "A" * 500, spans, 100, 300, 20, 50)
+    c = Cases(spark, case("A" * 500, spans, 100, 300, 20, 50))
     nodes = c.nodes()
     edges = graph.overlap_edges(nodes, c.work)
     pairs = {((e["u_start"], e["u_end"]), (e["v_start"], e["v_end"])) for e in edges.collect()}
     assert ((0, 0), (80, 100)) in pairs and ((200, 220), (500, 500)) in pairs
-    for _ in range(3):
+    for _ in range(2):
         places = sorted({(s, s + rng.randrange(1, 40)) for s in (rng.randrange(2000) for _ in range(60))})
         places = [(0, 0), *places, (2000, 2000)]
-        df = spark.createDataFrame([(1, 0, a, b, i) for i, (a, b) in enumerate(places)], "rec_id long, config_id int, start long, end long, ord int")
+        df = spark.createDataFrame([(0, 0, a, b, i) for i, (a, b) in enumerate(places)], "rec_id long, config_id int, start long, end long, ord int")
         work = c.work.withColumn("min_size", F.lit(90)).withColumn("max_size", F.lit(150))
         edges = graph.overlap_edges(df, work)
         want = {(i, j) for i in range(len(places)) for j in range(i + 1, len(places)) if 90 <= places[j][1] - places[i][0] <= 150}
@@ -101,29 +112,31 @@ def check_tiling(steps, length, low, high):
 
 
 def test_paths(spark):
-    status, cost, steps = Case(spark, "A" * 500, [(50, 150), (250, 350)], 100, 300, 20, 50, step=30).tile()
-    assert (status, cost, len(steps)) == ("ok", 2, 2)
-    status, cost, steps = Case(spark, "A" * 1000, [(50, 100), (800, 850)], 100, 500, 20, 50).tile()
-    assert status == "repaired" and sorted(s[4] for s in steps) == ["all", "none", "none"] or len(steps) == 3
-    check_tiling(steps, 1000, 100, 500)
-    status, cost, steps = Case(spark, "A" * 300, [], 100, 250, 20, 50).tile()
-    assert (status, len(steps)) == ("repaired", 2)
-    assert Case(spark, "A" * 150, [(30, 120)], 100, 200, 20, 50).tile() == ("ok", 1, [(0, 150, 150, 150, "all")])
-    assert Case(spark, "A" * 80, [(10, 60)], 100, 200, 20, 50).tile()[0] == "infeasible"
-    seq = "ATGC" + G + "ATGC" * 30 + G + "ATGC" * 30 + G + "ATGC"
-    status, cost, steps = Case(spark, seq, [(0, None)], 100, 300, 20, 50, step=20, motif=G).tile()
-    assert steps
-    check_tiling(steps, len(seq), 100, 300)
-
-
-def test_repair_keeps_to_the_regions_first(spark):
-    seq = "A" * 100 + G + "A" * 20 + G + "A" * 400 + G + "A" * 20 + G + "A" * 100
-    status, cost, steps = Case(spark, seq, [(90, 150), (200, 400), (500, None)], 100, 250, 20, 50, step=20, motif=G).tile()
-    assert status == "repaired" and {s[4] for s in steps} <= {"all", "homology"}
-    check_tiling(steps, len(seq), 100, 250)
-    status, cost, steps = Case(spark, seq, [(90, 150), (500, None)], 100, 250, 20, 50, step=20, motif=G).tile()
-    assert status == "repaired" and "none" in {s[4] for s in steps}
-    check_tiling(steps, len(seq), 100, 250)
+    motifs = "ATGC" + G + "ATGC" * 30 + G + "ATGC" * 30 + G + "ATGC"
+    gapped = "A" * 100 + G + "A" * 20 + G + "A" * 400 + G + "A" * 20 + G + "A" * 100
+    got = Cases(
+        spark,
+        case("A" * 500, [(50, 150), (250, 350)], 100, 300, 20, 50, step=30),
+        case("A" * 1000, [(50, 100), (800, 850)], 100, 500, 20, 50),
+        case("A" * 300, [], 100, 250, 20, 50),
+        case("A" * 150, [(30, 120)], 100, 200, 20, 50),
+        case("A" * 80, [(10, 60)], 100, 200, 20, 50),
+        case(motifs, [(0, None)], 100, 300, 20, 50, step=20, motif=G),
+        case(gapped, [(90, 150), (200, 400), (500, None)], 100, 250, 20, 50, step=20, motif=G),
+        case(gapped, [(90, 150), (500, None)], 100, 250, 20, 50, step=20, motif=G),
+    ).tile()
+    assert got[0][:2] == ("ok", 2) and len(got[0][2]) == 2
+    assert got[1][0] == "repaired" and len(got[1][2]) == 3 and [s[4] for s in got[1][2]].count("none") == 2
+    check_tiling(got[1][2], 1000, 100, 500)
+    assert got[2][0] == "repaired" and len(got[2][2]) == 2
+    assert got[3] == ("ok", 1, [(0, 150, 150, 150, "all")])
+    assert got[4][0] == "infeasible" and got[4][2] == []
+    check_tiling(got[5][2], len(motifs), 100, 300)
+    # a repair keeps to the regions where it can
+    assert got[6][0] == got[7][0] == "repaired"
+    assert {s[4] for s in got[6][2]} <= {"all", "homology"} and "none" in {s[4] for s in got[7][2]}
+    for i in (6, 7):
+        check_tiling(got[i][2], len(gapped), 100, 250)
 
 
 def model(places, regions, job):
@@ -210,9 +223,9 @@ def test_tilings_against_a_plain_model():
 
 
 def test_gaps(spark):
-    c = Case(spark, "A" * 1000, [(50, 100), (800, 850)], 100, 200, 20, 50, step=30)
+    c = Cases(spark, case("A" * 1000, [(50, 100), (800, 850)], 100, 200, 20, 50, step=30))
     nodes = c.nodes()
-    gaps = graph.component_gaps(graph.components(nodes, c.work), nodes, c.work, spark.createDataFrame([(1, 1000)], "rec_id long, L long"))
+    gaps = graph.component_gaps(graph.components(nodes, c.work), nodes, c.work, spark.createDataFrame([(0, 1000)], "rec_id long, L long"))
     rows = graph.gap_regions(gaps, c.regions).collect()
     assert rows and all(r["clip_start"] < r["clip_end"] and (50 <= r["clip_start"] and r["clip_end"] <= 100 or 800 <= r["clip_start"] and r["clip_end"] <= 850) for r in rows)
 
