@@ -67,6 +67,8 @@ _COST = [
     # these only decide between readings that are equally good otherwise
     (re.compile("(?<![^\\W\\d_])[А-ЯЁ]{3,}(?![^\\W\\d_])|(?<![^\\W\\d_])[Α-ΩΆ-Ώ]{3,}(?![^\\W\\d_])"), 0.01),
     (re.compile("[бвгджзклмнпрстфхцчшщБВГДЖЗКЛМНПРСТФХЦЧШЩ]{5,}|[ъыьЪЬ]{2}|(?<![^\\W\\d_])[ъыьЪЬ]|[ЪЫЬ][а-я]"), 0.02),
+    (re.compile("[άέήίόύώ][α-ωά-ώ]*[άέήίόύώ]"), 0.02),
+    (re.compile("ё"), 0.005),
     (re.compile("[^\x00-\x7fäöüÄÖÜßéèàùâêîôûçñáíóúãõąćęłńśźżœА-яёЁΑ-ώ぀-ヿ一-鿿’“”–€°\xa0]"), 0.01),
 ]
 _PLAIN = re.compile("[\x00-\x7f¡-ſˆ˜΄-ώЀ-ёђ-џҐґẞ‐-•…‰-›‾€№™←-⇿∀-⋿①-⑳─-◿☀-➿、-ヿ一-鿿！-￮]*")
@@ -85,12 +87,12 @@ _SUSPECT = re.compile(
     rf"|(?<!\S)[¸¹³¯¬¶](?={_LETTER})"
     rf"|[{_LATIN}][Ͱ-ϿЀ-ӿ]|[Ͱ-ϿЀ-ӿ][{_LATIN}]"
     "|[а-яё][А-ЯЁ]"
-    r"|&#\d{2,4};|&#x[0-9a-fA-F]{2,4};|\+[A-Za-z0-9+/]{2,}-"
+    r"|&#\d{2,4};|&#x[0-9a-fA-F]{2,4};|\+[A-Za-z0-9+/]{2,}-|\+[A-Za-z0-9/]{3,}(?![A-Za-z0-9+/-])"
 )
 _RUN = re.compile("[^\x00-\x7f]+")
 _UTF8 = re.compile(rb"[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}")
 _REFERENCES = re.compile(r"(?:&#(?:x[0-9a-fA-F]{2,4}|\d{2,4});)+")
-_UTF7 = re.compile(r"\+([A-Za-z0-9+/]{2,})-")
+_UTF7 = re.compile(r"\+([A-Za-z0-9+/]{2,})(-|(?![A-Za-z0-9+/-]))")
 
 
 _ASIAN = re.compile("[⺀-鿿가-힣豈-﫿！-￮]")
@@ -146,7 +148,9 @@ def _utf7(m: re.Match) -> str:
         out = raw.decode("utf-16-be")
     except UnicodeDecodeError:
         return m[0]
-    return out if re.fullmatch("[¡-ſ΄-ώЀ-ё‐-…€−№。-ヿ一-鿿！-￮]+", out) else m[0]
+    # without its end mark only what Latin text has is taken for UTF-7
+    letters = "[¡-ſ΄-ώЀ-ё‐-…€−№。-ヿ一-鿿！-￮]+" if m[2] else "[¡-ſ‐-…€−]+"
+    return out if re.fullmatch(letters, out) else m[0]
 
 
 def _references(m: re.Match) -> str:

@@ -57,6 +57,9 @@ def test_correct_text_is_left_alone(text):
 
 def test_references_utf7_and_lost_letters():
     assert repair("m&#195;&#161;s r&#195;&#161;pida") == ("más rápida", 1, False)
+    assert repair("the +IBw-blue+IB0 folder") == ("the “blue” folder", 1, False)
+    assert repair("Sent 10:03 +0530, +49 30 A+B+CD")[1] == 0
+    assert repair("ÐáñáëáâÞ 1869") == ("Παραλαβή 1869", 1, False)
     assert repair("Pr+APw-fung") == ("Prüfung", 1, False)
     assert repair("Pr��fung") == ("Pr��fung", 0, True)
 
