@@ -39,15 +39,17 @@ def homology_free_regions(queries: DataFrame, background: DataFrame | None, k: i
     have no regions. Without a background only repeats count.
 
     Repeats are found record by record, in the task that reads it. The k-mers
-    left are shuffled once to meet the background; only the hits come back,
+    left are shuffled once, as pairs (k-mer, key), to meet the background; only the hits come back,
     gathered per record, so nothing larger than a record is collected.
     """
     df = prepared(queries, key, fold)
     if background is None:
         joined = df.withColumn("hits", F.array().cast("array<bigint>"))
     else:
-        hits = free_in_record(queries, k, key, fold).join(background.select("kmer"), "kmer", "left_semi")
-        hits = hits.groupBy(F.col(key).alias("_key")).agg(F.collect_list("pos").alias("hits"))
+        # positions stay behind: the task that reads the record again finds them by the k-mer
+        own = free_in_record(queries, k, key, fold).select(key, "kmer")
+        hits = own.join(background.select("kmer"), "kmer", "left_semi")
+        hits = hits.groupBy(F.col(key).alias("_key")).agg(F.collect_list("kmer").alias("hits"))
         joined = df.join(hits, F.col(key) == F.col("_key"), "left").select(key, "text", "circular", "hits")
     schema = T.StructType([df.schema[key], T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
     return joined.mapInArrow(_regions(k, threshold, key), schema)
@@ -62,7 +64,8 @@ def _regions(k: int, threshold: int, key: str):
                 if not len(keys):
                     continue
                 free = own_weight(keys, both) == 1
-                free[hits or []] = False
+                if hits:
+                    free &= ~np.isin(keys, np.array(hits, dtype=np.int64))
                 edge = np.diff(np.concatenate(([0], free.view(np.int8), [0])))
                 start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1 + k
                 long = end - start >= threshold
