@@ -29,3 +29,9 @@ def kmer_size(selected: DataFrame, default: int = 15) -> int:
 def display(manifest: DataFrame) -> DataFrame:
     """What a front page lists: one line per background."""
     return manifest.dropDuplicates(["id"]).select("id", F.concat_ws(" ", "species", "assembly").alias("label"), "kmer_size")
+
+
+def available(manifest: DataFrame, index_path: str) -> DataFrame:
+    """The manifest rows whose k-mer set is in the index store; the others are skipped without a word."""
+    stored = manifest.sparkSession.read.schema("kmer long, background_id string, k int").parquet(index_path)
+    return manifest.join(stored.select(F.col("background_id").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id"])

@@ -176,3 +176,17 @@ def _qualifier(text: Column) -> Column:
     quoted = value.startswith('"')
     inner = F.regexp_replace(F.regexp_replace(F.regexp_replace(value, '^"', ""), '"$', ""), '""', '"')
     return F.struct(name.alias("name"), F.when(quoted, inner).otherwise(value).alias("value"))
+
+
+def check_total_size(spark: SparkSession, paths: list[str], most: int = 3 * 1024 * 1024) -> int:
+    """Total bytes of the files; more than ``most`` are refused. Only the file listing is read."""
+    size = spark.read.format("binaryFile").load(paths).agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    if size > most:
+        raise ValueError(f"the files have {size / 2**20:.2f} MB, at most {most / 2**20:.2f} MB are allowed")
+    return size
+
+
+def first_records(records: DataFrame) -> DataFrame:
+    """The first record of each file."""
+    least = records.groupBy("source_path").agg(F.min("ord").alias("ord"))
+    return records.join(least, ["source_path", "ord"], "left_semi")

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandloom import cli
+from strandloom.operators import kmers
 from strandloom.operators.overlaps import FragmentConfig
 from strandloom.operators.regions import feature_regions
 from strandloom.plans import pipeline
@@ -89,6 +90,14 @@ def test_refused_files(spark, files):
     assert sf.pasted(spark, "AC\nGT").first()["seq"] == "ACGT"
 
 
+def test_size_guard_and_first_records(spark, files):
+    paths = [str(files / "b.fa"), str(files / "a.GBK")]
+    assert sf.check_total_size(spark, paths) == sum((files / p).stat().st_size for p in ("b.fa", "a.GBK"))
+    with pytest.raises(ValueError):
+        sf.check_total_size(spark, paths, most=10)
+    assert sorted(r["seq_id"] for r in sf.first_records(sf.read_sequences(spark, paths)).collect()) == ["ACC1.2", "s1"]
+
+
 def test_uploads_by_suffix_or_default(spark):
     df = spark.createDataFrame([("q.txt", ">x\nACGT"), ("y.gb", GB), ("z.fa", None), ("e", "")], "source_path string, text string")
     assert sorted(r["seq_id"] for r in sf.from_texts(df).collect()) == ["ACC1.2", "two", "x"]
@@ -118,6 +127,8 @@ def test_manifest(spark, tmp_path):
     with pytest.raises(ValueError):
         mf.kmer_size(mf.chosen(table, "one,two"))
     assert mf.display(table).count() == 2
+    kmers.save_index(spark.createDataFrame([(5,)], "kmer long"), str(tmp_path / "index"), "two", 20)
+    assert [r["id"] for r in mf.available(table, str(tmp_path / "index")).collect()] == ["two"]
 
 
 def test_command_line(spark, tmp_path):
