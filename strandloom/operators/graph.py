@@ -232,6 +232,11 @@ def tile(places: list[tuple[int, int]], regions: list[tuple[int, int]], job: dic
     if length == 0:
         return "ok", 1, []
     sizes = job["min_size"], job["max_size"]
+    reach = max(e for _, e in places)
+    if reach < sizes[0]:  # too short for any fragment, repaired or not
+        return "infeasible", 2, []
+    if sizes[0] <= length and reach <= sizes[1]:  # one fragment; whatever has an edge has one from the start or to what has
+        return "ok", 1, [(0, 0, length, length, CONSTRAINTS[0], int(WEIGHTS[0]))]
     graph = _first_graph(places, job)
     before = count = len(graph.parts())
     if count > 1:
