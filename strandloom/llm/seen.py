@@ -79,12 +79,20 @@ class Filter:
 _OUT = pa.schema([("id", pa.int64()), ("at", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("seen", pa.bool_()), ("how", pa.string()), ("filters", pa.int32())])
 
 
-def _repeats_of_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Marks rows whose key has come earlier within the same block of rows; these need no probe and no common task."""
+def _repeats_of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Marks rows, sorted by key and arrival, whose key has come earlier within the same task; these need no probe and no common task."""
+    last, since = None, 0  # the key before this batch, and its first arrival
     for batch in batches:
+        if not batch.num_rows:
+            continue
         h1, h2, at = (batch.column(c).to_numpy() for c in ("h1", "h2", "at"))
-        _, repeat = _groups(h1, h2, at)
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(repeat)], names=[*batch.schema.names, "repeat"])
+        new = np.concatenate(([True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])))
+        first = at[np.flatnonzero(new)]
+        if last == (h1[0], h2[0]):
+            first[0] = since
+        first = first[np.cumsum(new) - 1]
+        last, since = (h1[-1], h2[-1]), first[-1]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at > first)], names=[*batch.schema.names, "repeat"])
 
 
 def _groups(h1: np.ndarray, h2: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -161,9 +169,9 @@ def seen_before(df: DataFrame, key: list[Column], ident: str, order: str, batch_
     Other columns are ignored, whatever their names. An empty input gives an
     empty result.
 
-    Rows are shuffled once, by key; of a key repeated within a block of rows
-    only the earliest goes to the key's task, the others anywhere, so a key
-    held by a third of all rows loads no task. A task holds the batch being
+    Rows are shuffled once, by key; of a key repeated within a task only the
+    earliest goes to the key's task, the others anywhere, so a key held by a
+    third of all rows loads no task. A task holds the batch being
     filled and 1.23 * bits bits for each earlier distinct key.
     """
     whole = F.lit(True)
@@ -175,7 +183,8 @@ def seen_before(df: DataFrame, key: list[Column], ident: str, order: str, batch_
         F.when(whole, F.xxhash64(*key)).alias("h1"),
         F.when(whole, F.xxhash64(F.lit("second"), *key)).alias("h2"),
     ).where("h1 is not null")
-    rows = rows.mapInArrow(_repeats_of_block, "id long, at long, h1 long, h2 long, repeat boolean")
+    rows = rows.sortWithinPartitions("h1", "h2", "at", "id")  # also the same marks if a lost task is run again
+    rows = rows.mapInArrow(_repeats_of_task, "id long, at long, h1 long, h2 long, repeat boolean")
     rows = rows.repartition(F.when(F.col("repeat"), F.xxhash64("id", "at")).otherwise(F.col("h1"))).sortWithinPartitions("at")
     return rows.mapInArrow(_stream(batch_keys, bits), "id long, at long, h1 long, h2 long, seen boolean, how string, filters int")
 

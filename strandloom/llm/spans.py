@@ -291,7 +291,9 @@ def shared_spans(df: DataFrame, key: str = "rec_id", text: str = "seq", span: in
     letters once at two bits each, and the surroundings of shared anchors.
     Anchors held by many records of a task go past the comparison, and from
     ``HOT`` occurrences on an anchor's runs are joined one by one by their own
-    hashes, so no task needs to hold a hot group.
+    hashes, so no task needs to hold a hot group. The records are read twice
+    and must come in the same order each time, as from a table; cut the
+    lineage of anything else.
     """
     if span < 2:
         raise ValueError("span must be at least 2")
