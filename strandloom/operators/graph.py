@@ -100,6 +100,7 @@ class _Graph:
         by = np.lexsort((order, start))
         self.start, self.end, self.order, self.round = start[by], end[by], order[by], rounds[by]
         self.candidates, self.repaired = candidates, bool(rounds.any())
+        self.in_order = not self.repaired and bool((self.order[1:] > self.order[:-1]).all())
         own = np.arange(len(by))
         self.first = np.searchsorted(self.start, self.end - high, side="left").tolist()
         self.last = np.minimum(np.searchsorted(self.start, self.end - low, side="right"), own).tolist()
@@ -135,24 +136,30 @@ class _Graph:
             if hi <= lo:
                 continue
             u = slice(lo, hi)
-            kinds = self._kinds(v, u)
-            joined = kinds < _NONE
-            if not joined.any():
-                continue
-            self.active[v] = True
-            self.active[u] |= joined
-            if self.came[v] >= 0 and self.order[v] < self.candidates:
-                self.came[v] = (self.order[u][joined].min() << 25) + self.order[v] + 1
-            labels = self.label[u][joined]
+            if self.in_order:  # all that can stand before it does, at weight 1
+                kinds = None
+                self.active[lo:hi] = self.active[v] = True
+                if self.came[v] >= 0:
+                    self.came[v] = (self.order[lo] << 25) + self.order[v] + 1
+                labels, cost = self.label[u], self.cost[u] + (_STEP + 1)
+            else:
+                kinds = self._kinds(v, u)
+                joined = kinds < _NONE
+                if not joined.any():
+                    continue
+                self.active[v] = True
+                self.active[u] |= joined
+                if self.came[v] >= 0 and self.order[v] < self.candidates:
+                    self.came[v] = (self.order[u][joined].min() << 25) + self.order[v] + 1
+                labels, cost = self.label[u][joined], np.where(joined, self.cost[u] + WEIGHTS[kinds] * _STEP + 1, _FAR)
             least = labels.min()
             if labels.max() != least:
                 merged = np.unique(labels)
                 self.label[:v][np.isin(self.label[:v], merged)] = least
             self.label[v] = least
-            cost = np.where(joined, self.cost[u] + WEIGHTS[kinds] * _STEP + 1, _FAR)
             i = int(cost.argmin())  # the first of the cheapest
-            if cost[i] < self.cost[v]:
-                self.cost[v], self.before[v], self.kind[v] = cost[i], lo + i, kinds[i]
+            if cost[i] < self.cost[v] and cost[i] < _FAR:
+                self.cost[v], self.before[v], self.kind[v] = cost[i], lo + i, 0 if kinds is None else kinds[i]
 
     def parts(self) -> list[np.ndarray]:
         """Nodes of each component, components in order of the node that came in first."""
@@ -219,6 +226,17 @@ def _first_graph(places: list[tuple[int, int]], job: dict) -> _Graph:
     return _Graph(both[:, 0], both[:, 1], np.arange(n), np.zeros(n, dtype=np.int64), n, job["min_size"], job["max_size"])
 
 
+def without_graph(length: int, reach: int, low: int, high: int) -> tuple[str, int, list] | None:
+    """What can be said of a job from its length and the furthest end of a candidate."""
+    if length == 0:
+        return "ok", 1, []
+    if reach < low:  # too short for any fragment, repaired or not
+        return "infeasible", 2, []
+    if low <= length and reach <= high:  # one fragment; whatever has an edge has one from the start or to what has
+        return "ok", 1, [(0, 0, length, length, CONSTRAINTS[0], int(WEIGHTS[0]))]
+    return None
+
+
 def tile(places: list[tuple[int, int]], regions: list[tuple[int, int]], job: dict) -> tuple[str, int, list[tuple[int, int, int, int, str, int]]]:
     """(status, components before repair, steps of the cheapest path) of one job.
 
@@ -228,15 +246,9 @@ def tile(places: list[tuple[int, int]], regions: list[tuple[int, int]], job: dic
     (weight 100, 'none'). status: 'ok', 'repaired' or 'infeasible'. A record
     without letters is covered by nothing at no cost.
     """
-    length = places[-1][1]
-    if length == 0:
-        return "ok", 1, []
-    sizes = job["min_size"], job["max_size"]
-    reach = max(e for _, e in places)
-    if reach < sizes[0]:  # too short for any fragment, repaired or not
-        return "infeasible", 2, []
-    if sizes[0] <= length and reach <= sizes[1]:  # one fragment; whatever has an edge has one from the start or to what has
-        return "ok", 1, [(0, 0, length, length, CONSTRAINTS[0], int(WEIGHTS[0]))]
+    length, sizes = places[-1][1], (job["min_size"], job["max_size"])
+    if plain := without_graph(length, max(e for _, e in places), *sizes):
+        return plain
     graph = _first_graph(places, job)
     before = count = len(graph.parts())
     if count > 1:
@@ -267,7 +279,11 @@ def tilings(nodes: DataFrame, regions: DataFrame, work: DataFrame) -> DataFrame:
     its record.
     """
     by_record = clean_regions(regions).groupBy("rec_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("regions"))
-    rows = _by_job(nodes).join(work, JOB).join(by_record, "rec_id", "left")
+    rows = _by_job(nodes).withColumn("length", F.element_at("nodes", -1)["end"]).withColumn("reach", F.array_max(F.col("nodes")["end"]))
+    rows = rows.join(work, JOB).join(by_record, "rec_id", "left")
+    # jobs that need no graph send none to Python
+    needed = (F.col("reach") >= F.col("min_size")) & ((F.col("length") < F.col("min_size")) | (F.col("reach") > F.col("max_size"))) & (F.col("length") > 0)
+    rows = rows.withColumn("nodes", F.when(needed, F.col("nodes"))).withColumn("regions", F.when(needed & F.col("motif").isNotNull(), F.col("regions")))
     return rows.mapInArrow(_tile_batches, TILING)
 
 
@@ -277,8 +293,11 @@ def _tile_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         rows = []
         for job in batch.to_pylist():
-            places = [(n["start"], n["end"]) for n in job["nodes"]]
-            status, parts, path = tile(places, [(r["start"], r["end"]) for r in job["regions"] or []], job)
+            if job["nodes"] is None:
+                status, parts, path = without_graph(job["length"], job["reach"], job["min_size"], job["max_size"])
+            else:
+                places = [(n["start"], n["end"]) for n in job["nodes"]]
+                status, parts, path = tile(places, [(r["start"], r["end"]) for r in job["regions"] or []], job)
             steps = [dict(frag_start=a, frag_end=e, overlap_start=s, overlap_end=e, constraints=c) for a, _, s, e, c, _ in path]
             rows.append((job["rec_id"], job["config_id"], status, parts, None if status == "infeasible" else sum(x[-1] for x in path), steps))
         yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows) if rows else [[]] * 6, schema)], schema=schema)
