@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandloom.functions.kmers import canonical_kmers
+from strandloom.functions.kmers import canonical_kmers, reverse_complement_bytes
 from strandloom.functions.letters import is_circular, letters
 
 MAX_K = 31
@@ -38,18 +38,33 @@ def own_weight(keys: np.ndarray, both: np.ndarray) -> np.ndarray:
     return times[at] * np.where(both, 2, 1)
 
 
-def _rows(k: int, key: str, pick: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, ...]], names: list[str]):
-    """A task that turns every record into rows (key, columns picked from its canonical k-mers)."""
+def _words(text: bytes, keys: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    """The strand-neutral letters of the windows at ``at`` that have a digest as key; null for all others."""
+    out = np.full(len(at), None, dtype=object)
+    for i in np.flatnonzero(keys[at] < 0).tolist():
+        w = text[at[i] : at[i] + k]
+        out[i] = min(w, reverse_complement_bytes(w)).decode("ascii")
+    return out
+
+
+def _rows(k: int, key: str, pick: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, ...]], names: list[str], spelled: bool = False):
+    """A task that turns every record into rows (key, columns picked from its canonical k-mers).
+
+    ``spelled``: the last column picked is a window of the row, and gives ``word``.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             owners, columns, held = [], [[] for _ in names], 0
             ids = batch.column(key)
             for i, (text, circular) in enumerate(zip(batch.column("text").to_pylist(), batch.column("circular").to_pylist())):
-                keys, both = canonical_kmers(_extended(text, circular, k), k)
+                extended = _extended(text, circular, k)
+                keys, both = canonical_kmers(extended, k)
                 if not len(keys):
                     continue
                 picked = pick(keys, both)
+                if spelled:
+                    picked = (*picked[:-1], _words(extended, keys, picked[-1], k))
                 owners.append(np.full(len(picked[0]), i))
                 for column, values in zip(columns, picked):
                     column.append(values)
@@ -66,13 +81,13 @@ def _rows(k: int, key: str, pick: Callable[[np.ndarray, np.ndarray], tuple[np.nd
         arrays = [np.concatenate(c) for c in columns]
         for a in range(0, len(owner), 50_000):
             part = slice(a, a + 50_000)
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(owner[part])), *(pa.array(x[part].astype(np.int64)) for x in arrays)], names=[key, *names])
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(owner[part])), *(pa.array(x[part], pa.string()) if x.dtype == object else pa.array(x[part].astype(np.int64)) for x in arrays)], names=[key, *names])
 
     return run
 
 
 def _schema(df: DataFrame, key: str, names: list[str]) -> T.StructType:
-    return T.StructType([df.schema[key], *(T.StructField(n, T.LongType()) for n in names)])
+    return T.StructType([df.schema[key], *(T.StructField(n, T.StringType() if n == "word" else T.LongType()) for n in names)])
 
 
 def kmer_windows(records: DataFrame, k: int, key: str = "rec_id", fold: bool = True) -> DataFrame:
@@ -86,21 +101,23 @@ def kmer_windows(records: DataFrame, k: int, key: str = "rec_id", fold: bool = T
     return df.mapInArrow(_rows(k, key, lambda keys, both: (np.arange(len(keys)), keys), ["pos", "kmer"]), _schema(df, key, ["pos", "kmer"]))
 
 
-def record_kmers(records: DataFrame, k: int, key: str = "rec_id", fold: bool = True) -> DataFrame:
+def record_kmers(records: DataFrame, k: int, key: str = "rec_id", fold: bool = True, spelled: bool = False) -> DataFrame:
     """(key, kmer, times): distinct strand-neutral k-mers of each record and their occurrences on both strands.
 
     ``times`` counts a k-mer that is its own reverse complement twice per
-    site; ``times`` >= 2 means repeated within the record.
+    site; ``times`` >= 2 means repeated within the record. ``spelled`` adds
+    ``word``, the letters of k-mers with other letters than A, C, G and T.
     """
     _check(k)
+    names = ["kmer", "times", *(["word"] if spelled else [])]
 
     def pick(keys: np.ndarray, both: np.ndarray):
         weight = own_weight(keys, both)
         _, first = np.unique(keys, return_index=True)
-        return keys[first], weight[first]
+        return (keys[first], weight[first], *([first] if spelled else []))
 
     df = prepared(records, key, fold)
-    return df.mapInArrow(_rows(k, key, pick, ["kmer", "times"]), _schema(df, key, ["kmer", "times"]))
+    return df.mapInArrow(_rows(k, key, pick, names, spelled), _schema(df, key, names))
 
 
 def free_in_record(records: DataFrame, k: int, key: str = "rec_id", fold: bool = True) -> DataFrame:
@@ -115,15 +132,16 @@ def free_in_record(records: DataFrame, k: int, key: str = "rec_id", fold: bool =
     return df.mapInArrow(_rows(k, key, pick, ["pos", "kmer"]), _schema(df, key, ["pos", "kmer"]))
 
 
-def background_set(records: DataFrame, k: int, key: str = "rec_id", fold: bool = True, merge: bool = True) -> DataFrame:
-    """The distinct k-mers of the background on both strands: (kmer), or (key, kmer) unmerged.
+def background_set(records: DataFrame, k: int, key: str = "rec_id", fold: bool = True, merge: bool = True, spelled: bool = False) -> DataFrame:
+    """The distinct k-mers of the background on both strands: (kmer), or (key, kmer) unmerged; with ``word`` if ``spelled``.
 
     A k-mer is in the both-strand set if and only if its strand-neutral key is
     among the keys of the forward windows, so one strand is enough. An empty
     background gives an empty set.
     """
-    rows = record_kmers(records, k, key, fold).select(key, "kmer")
-    return rows.select("kmer").distinct() if merge else rows
+    columns = ["kmer", *(["word"] if spelled else [])]
+    rows = record_kmers(records, k, key, fold, spelled).select(key, *columns)
+    return rows.select(*columns).distinct() if merge else rows
 
 
 def both_strands(kmers: DataFrame, k: int) -> DataFrame:
@@ -132,9 +150,10 @@ def both_strands(kmers: DataFrame, k: int) -> DataFrame:
     return kmers.agg(F.coalesce(F.sum(F.when(own, 1).otherwise(2)), F.lit(0)).alias("kmers"))
 
 
-def kmer_text(kmer, k: int):
-    """The letters of a key; null for windows with other letters than A, C, G and T."""
-    return F.when(kmer >= 0, F.translate(F.lpad(F.conv(kmer.cast("string"), 10, 4), k, "0"), "0123", "ACGT"))
+def kmer_text(kmer, k: int, word=None):
+    """The letters of a key; of windows with other letters than A, C, G and T ``word``, null if it is not given."""
+    text = F.when(kmer >= 0, F.translate(F.lpad(F.conv(kmer.cast("string"), 10, 4), k, "0"), "0123", "ACGT"))
+    return text if word is None else text.otherwise(word)
 
 
 def is_palindrome(kmer, k: int):

@@ -49,13 +49,15 @@ def circular_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def background_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = kmers.background_set(_sequences(spark, sf_dir, "background"), K)
-    return rows.where("kmer >= 0").select(kmers.kmer_text(F.col("kmer"), K).alias("kmer"))
+    """Distinct strand-neutral k-mers of the background, those with ambiguous letters too."""
+    rows = kmers.background_set(_sequences(spark, sf_dir, "background"), K, spelled=True)
+    return rows.select(kmers.kmer_text(F.col("kmer"), K, F.col("word")).alias("kmer"))
 
 
 def repeated_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = kmers.record_kmers(_sequences(spark, sf_dir), EVEN_K).where("times >= 2 and kmer >= 0")
-    return rows.select("rec_id", kmers.kmer_text(F.col("kmer"), EVEN_K).alias("kmer"), "times")
+    """k-mers that a record holds more than once, those with ambiguous letters too."""
+    rows = kmers.record_kmers(_sequences(spark, sf_dir), EVEN_K, spelled=True).where("times >= 2")
+    return rows.select("rec_id", kmers.kmer_text(F.col("kmer"), EVEN_K, F.col("word")).alias("kmer"), "times")
 
 
 def _free(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandloom.operators import kmers, regions
+from strandloom.plans import queries
 
 SCHEMA = "rec_id long, seq string, topology string, pos int"
 
@@ -113,3 +114,23 @@ def test_bad_k(spark):
 def test_kmer_windows_guard_short_sequences(spark):
     rows = kmers.kmer_windows(records(spark, ("ACG", None), ("ACGT", None), (None, None), ("", "circular"), ("ACGT", "circular")), 4).collect()
     assert sorted((r["rec_id"], r["pos"]) for r in rows) == [(1, 0), (4, 0), (4, 1), (4, 2), (4, 3)]
+
+
+def test_queries_give_kmers_with_ambiguous_letters(spark, tmp_path):
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("ACGTACGTACGTACGTRYN") for _ in range(60)) for _ in range(12)] + ["ACGTN" * 8, "RAAAAAAAAAAAAAAT" * 2, "N" * 40, None]
+    rows = [(i, t, rng.choice(["circular", None]), "background" if i % 2 == 0 else "query") for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "rec_id long, seq string, topology string, role string").write.parquet(str(tmp_path / "sequences.parquet"))
+    comp = str.maketrans("ACGTRYN", "TGCAYRN")
+
+    def windows(text, topology, k):
+        t = text + text[: k - 1] if topology else text
+        pairs = [(t[i : i + k], t[i : i + k][::-1].translate(comp)) for i in range(len(t) - k + 1)]
+        return [min(p) for p in pairs for _ in range(1 + (p[0] == p[1]))]
+
+    want = {w for _, s, t, role in rows if s and role == "background" for w in windows(s, t, queries.K)}
+    got = [r["kmer"] for r in queries.background_kmers(spark, str(tmp_path)).collect()]
+    assert any(set(w) - set("ACGT") for w in want) and len(got) == len(set(got)) and set(got) == want
+    want = {(i, w, n) for i, s, t, _ in rows if s for c in [windows(s, t, queries.EVEN_K)] for w in set(c) for n in [c.count(w)] if n >= 2}
+    assert any(set(w) - set("ACGT") for _, w, _ in want)
+    assert sorted((r["rec_id"], r["kmer"], r["times"]) for r in queries.repeated_kmers(spark, str(tmp_path)).collect()) == sorted(want)
