@@ -47,9 +47,8 @@ def token_counts(df: DataFrame, ident: str = "doc_id", text: str = "text", vocab
 def pack_histogram(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
     """(lengths of a pattern, number of containers filled by it): shortest pack first.
 
-    Lengths are placed longest first. The items of one length go onto the
-    patterns with the least room that still takes them; what is left opens
-    new containers.
+    Lengths are placed longest first. Every item goes onto the pattern with
+    the most room, if that takes it, else it opens a new container.
     """
     by_room: dict[int, list[tuple[tuple[int, ...], int]]] = {}
     rooms: list[int] = []  # sorted rooms with patterns
@@ -62,31 +61,30 @@ def pack_histogram(histogram: dict[int, int], capacity: int) -> list[tuple[tuple
 
     for length in sorted(histogram, reverse=True):
         left = histogram[length]
-        placed: list[tuple[int, tuple[int, ...], int]] = []
         while left:
-            at = bisect_right(rooms, length - 1)
-            if at == len(rooms):
+            if not rooms or rooms[-1] < length:
                 # as many as fit stand in one new container
                 fit = capacity // length
                 whole, rest = divmod(left, fit)
                 if whole:
-                    placed.append((capacity - fit * length, (length,) * fit, whole))
+                    add(capacity - fit * length, (length,) * fit, whole)
                 if rest:
-                    placed.append((capacity - rest * length, (length,) * rest, 1))
+                    add(capacity - rest * length, (length,) * rest, 1)
                 break
-            room = rooms[at]
+            room = rooms[-1]
             pattern, count = by_room[room].pop()
+            below = room if by_room[room] else rooms[-2] if len(rooms) > 1 else 0
             if not by_room[room]:
                 del by_room[room]
-                rooms.pop(at)
-            fit = min(room // length, left)
-            used = min(count, left // fit)
+                rooms.pop()
+            used = min(count, left)
+            # more than one at once only while these stay the ones with the most room
+            fit = max(1, min((room - below) // length, left // used))
             if used < count:
+                fit = 1
                 add(room, pattern, count - used)
-            placed.append((room - fit * length, pattern + (length,) * fit, used))
+            add(room - fit * length, pattern + (length,) * fit, used)
             left -= fit * used
-        for room, pattern, count in placed:
-            add(room, pattern, count)
     return [x for room in rooms for x in by_room[room]]
 
 

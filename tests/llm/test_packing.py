@@ -22,6 +22,21 @@ def test_histogram_keeps_every_item():
         assert used <= -(-sum(k * v for k, v in h.items()) // capacity) * 11 / 9 + 1
 
 
+def test_histogram_takes_the_emptiest_pack():
+    assert sorted(x for x, n in pack_histogram({7: 1, 6: 1, 3: 1}, 10) for _ in range(n)) == [(6, 3), (7,)]
+    rng = random.Random(4)
+    for capacity in (1, 7, 64, 512):
+        items = sorted((rng.randrange(1, capacity + 1) for _ in range(300)), reverse=True)
+        rooms = []
+        for x in items:  # one by one
+            if rooms and max(rooms) >= x:
+                rooms[rooms.index(max(rooms))] -= x
+            else:
+                rooms.append(capacity - x)
+        patterns = pack_histogram(dict(Counter(items)), capacity)
+        assert sorted(rooms) == sorted(capacity - sum(p) for p, n in patterns for _ in range(n))
+
+
 @pytest.mark.parametrize("salts", [1, 8])
 def test_pack_against_its_rules(spark, salts):
     rng = random.Random(salts)
