@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandloom.functions.letters import letters
 from strandloom.llm import garble, leaks, packing, seen, spans, split, terms
 from strandloom.session import cut_lineage, read_table
 
@@ -22,8 +23,12 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_share(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How much of each record is found elsewhere."""
-    return p3_found(spark, sf_dir).groupBy("rec_id").agg(F.count("*").alias("stretches"), F.sum(F.col("span_end") - F.col("span_start")).alias("shared_letters"))
+    """How much of each record that has letters is found elsewhere; 0 where nothing is."""
+    found = p3_found(spark, sf_dir).groupBy("rec_id").agg(F.count("*").alias("stretches"), F.sum(F.col("span_end") - F.col("span_start")).alias("shared_letters"))
+    rows = read_table(spark, sf_dir, "sequences").select("rec_id", F.length(letters(F.col("seq"))).cast("long").alias("n_letters"))
+    out = rows.where("rec_id is not null and n_letters > 0").join(found, "rec_id", "left")
+    count = lambda name: F.coalesce(name, F.lit(0).cast("long")).alias(name)
+    return out.select("rec_id", count("stretches"), count("shared_letters"), "n_letters", (F.coalesce("shared_letters", F.lit(0)) / F.col("n_letters")).alias("share"))
 
 
 def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@ from collections import defaultdict
 
 import pytest
 
-from strandloom.llm import spans
+from strandloom.llm import queries, spans
 
 
 def brute(rows, span):
@@ -81,3 +81,12 @@ def test_repeated_keys_and_empty(spark):
 def test_pack_round_trip():
     for s in (b"A", b"ACGT", b"ACGTA", b"ACGTNA", b"ACGTACG"):
         assert spans.unpack(spans.pack(s)).tobytes() == s
+
+
+def test_share_has_every_record(spark, tmp_path):
+    rng = random.Random(6)
+    a, b, c = ("".join(rng.choice("ACGT") for _ in range(60)) for _ in range(3))
+    rows = [(1, a + b), (2, "acg " + a.lower()), (3, c), (4, "ACGU"), (5, ""), (6, None), (7, " 12 ")]
+    spark.createDataFrame(rows, "rec_id long, seq string").write.parquet(str(tmp_path / "sequences.parquet"))
+    got = {tuple(r) for r in queries.p3_share(spark, str(tmp_path)).select("rec_id", "stretches", "shared_letters", "n_letters", "share").collect()}
+    assert got == {(1, 1, 60, 120, 0.5), (2, 1, 60, 63, 60 / 63), (3, 0, 0, 60, 0.0), (4, 0, 0, 4, 0.0)}
