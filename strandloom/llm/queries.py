@@ -55,11 +55,12 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rate of wrong answers of the filters, expected and found, by number of filters probed."""
+    """Rate of wrong answers of the filters, expected and found, by number of filters probed; repeats within a read task, which meet no filter, apart."""
     rows = seen.without_errors(_decided(spark, sf_dir))
-    return rows.groupBy("filters").agg(
+    return rows.groupBy((F.col("how") == "task").alias("within_task"), "filters").agg(
         F.count("*").alias("keys"),
         F.count_if("seen").alias("seen"),
+        F.count_if(F.col("seen") & (F.col("how") == "filter")).alias("seen_by_filter"),
         F.count_if(F.col("claimed") & ~F.col("seen")).alias("wrong"),
         F.sum(F.when(~F.col("seen"), 1 - F.pow(F.lit(1 - 2.0**-16), F.col("filters"))).otherwise(0.0)).alias("expected_wrong"),
     )

@@ -1,7 +1,8 @@
 """Has this key been seen before? (problem 5)
 
-Keys are spread by hash. Each task takes its keys in order of arrival. It
-decides the keys of the batch being filled exactly, and seals a full batch
+Repeats within a task that reads the keys are decided there, exactly, and go
+past the filters. All other keys are spread by hash. Each task takes its keys
+in order of arrival. It decides the keys of the batch being filled exactly, and seals a full batch
 into an immutable filter of fingerprints: a table of 1.23 cells a key in which
 the fingerprint of every key is the xor of three cells. The table is solved by
 peeling: cells met by one remaining key are taken off round by round and
@@ -15,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -111,7 +113,7 @@ def _groups(h1: np.ndarray, h2: np.ndarray, at: np.ndarray) -> tuple[np.ndarray,
 
 def _stream(batch_keys: int, bits: int):
     def decide(rows: pa.Table, sealed: list[Filter]) -> tuple[pa.RecordBatch, np.ndarray]:
-        ids, h1, h2, at, repeat = (rows.column(c).to_numpy() for c in ("id", "h1", "h2", "at", "repeat"))
+        ids, h1, h2, at = (rows.column(c).to_numpy() for c in ("id", "h1", "h2", "at"))
         number, exact = _groups(h1, h2, at)
         first = np.unique(number, return_index=True)[1]
         keys = (h1[first] ^ (h2[first] << 1)).view(np.uint64)
@@ -119,17 +121,23 @@ def _stream(batch_keys: int, bits: int):
         for f in sealed:
             todo = np.flatnonzero(~hit)
             hit[todo] = f.holds(keys[todo])
-        exact = exact | repeat
         probed = hit[number] if len(number) else np.empty(0, bool)
         how = np.where(exact, "batch", np.where(probed, "filter", "none")).astype(object)
         out = [ids, at, h1, h2, exact | probed, how, np.full(len(ids), len(sealed), dtype=np.int32)]
         return pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip(out, _OUT)], schema=_OUT), keys[~hit]
 
+    def repeats(batch: pa.RecordBatch) -> pa.RecordBatch:
+        n = batch.num_rows
+        out = [*(batch.column(c) for c in ("id", "at", "h1", "h2")), np.full(n, True), ["task"] * n, np.zeros(n, dtype=np.int32)]
+        return pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip(out, _OUT)], schema=_OUT)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sealed: list[Filter] = []
         held: list[pa.RecordBatch] = []
         for batch in batches:
-            held.append(batch)
+            repeat = batch.column("repeat")
+            yield repeats(batch.filter(repeat))
+            held.append(batch.filter(pc.invert(repeat)))
             if sum(b.num_rows for b in held) < batch_keys:
                 continue
             rows = pa.Table.from_batches(held).combine_chunks()
@@ -158,9 +166,10 @@ def seen_before(df: DataFrame, key: list[Column], ident: str, order: str, batch_
     """For every row with a key: whether its key came in earlier, in order of ``order``.
 
     Result: ``id``, ``at``, ``h1`` and ``h2`` (128 bits of the key), ``seen``,
-    ``how`` ('batch': decided exactly, 'filter': a sealed filter claims the
-    key, 'none': not seen) and ``filters`` (number of filters probed). A row
-    that was seen is always found; a new one is called seen with probability
+    ``how`` ('task': repeated within the task that read it, 'batch': within the
+    batch being filled, both exact; 'filter': a sealed filter claims the key,
+    'none': not seen) and ``filters`` (number of filters probed, 0 for 'task').
+    A row that was seen is always found; a new one is called seen with probability
     1 - (1 - 2**-bits)**filters.
 
     Rows of which any part of the key is null have no key and no row in the

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strandloom.llm import seen
+from strandloom.llm import queries, seen
 
 
 @pytest.mark.parametrize("n", [0, 1, 2, 50, 5000])
@@ -45,6 +45,23 @@ def test_against_brute_force(spark):
     assert wrong <= 40
 
 
+def test_repeats_within_a_task_meet_no_filter(spark, tmp_path):
+    rows = [(i, f"k{i % 700}", i) for i in range(2100)]
+    df = spark.createDataFrame(rows, "probe long, key string, at long")
+    out = seen.seen_before(df.coalesce(1), [F.col("key")], "probe", "at", batch_keys=50, bits=32).collect()
+    assert {r["id"] for r in out if r["seen"]} == {r["id"] for r in out if r["how"] == "task"} == set(range(700, 2100))
+    assert {r["filters"] for r in out if r["how"] == "task"} == {0}
+    assert 3 < max(r["filters"] for r in out) <= 14  # 700 keys in filters of 50
+    parts = seen.seen_before(df.repartitionByRange(3, "at"), [F.col("key")], "probe", "at", batch_keys=50, bits=32).collect()
+    assert {r["id"] for r in parts if r["seen"]} == set(range(700, 2100)) and any(r["how"] == "filter" for r in parts)
+    letters = ["".join("ACGT"[i // 4**j % 4] for j in range(6)) + "AAAAAA" for i in range(40)]
+    probes = spark.createDataFrame([(i, i, "b", letters[i % 40]) for i in range(100)], "probe_id long, arrival_no long, background_id string, seq string")
+    probes.coalesce(1).write.parquet(str(tmp_path / "probes.parquet"))
+    spark.createDataFrame([("b", 12)], "id string, kmer_size int").write.parquet(str(tmp_path / "manifest.parquet"))
+    rates = [tuple(r) for r in queries.p5_rates(spark, str(tmp_path)).select("within_task", "filters", "keys", "seen", "seen_by_filter").collect()]
+    assert sorted(rates) == [(False, 0, 40, 0, 0), (True, 0, 60, 60, 0)]
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "probe long, key string, at long")
     assert seen.without_errors(seen.seen_before(df, [F.col("key")], "probe", "at")).collect() == []
