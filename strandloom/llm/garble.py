@@ -6,17 +6,19 @@ import binascii
 import html
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.llm.mail import read_mail
+from strandloom.llm.surroundings import Surroundings, surroundings
 
 # Encodings a text may have been read in by mistake, and those it may have been written in.
 READ_AS = ("cp1252", "cp1250", "cp1251", "cp1253", "cp1254", "iso8859-2", "iso8859-5", "iso8859-7", "koi8-r", "cp866", "cp437", "cp850", "cp852", "mac-roman", "mac-cyrillic")
 WRITTEN_IN = ("cp1252", "cp1251", "koi8-r", "cp866", "iso8859-5", "mac-cyrillic", "cp1253", "iso8859-7", "cp1250", "iso8859-2", "cp852", "cp850", "cp437", "mac-roman", "shift_jis", "euc_jp")
-LAYERS = 4
+SINGLE_BYTE = WRITTEN_IN[:-2]
 
 
 class _Bytes(dict):
@@ -72,23 +74,6 @@ _COST = [
     (re.compile("[^\x00-\x7fäöüÄÖÜßéèàùâêîôûçñáíóúãõąćęłńśźżœА-яёЁΑ-ώ぀-ヿ一-鿿’“”–€°\xa0]"), 0.01),
 ]
 _PLAIN = re.compile("[\x00-\x7f¡-ſˆ˜΄-ώЀ-ёђ-џҐґẞ‐-•…‰-›‾€№™←-⇿∀-⋿①-⑳─-◿☀-➿、-ヿ一-鿿！-￮]*")
-#: Runs of non-ASCII characters that ordinary text has; these are not tried.
-_ORDINARY = re.compile(
-    "[А-ЯЁ]?[а-яё]+|[А-ЯЁ]+|[Α-ΩΆ-Ώ]?[α-ωά-ώϊϋΐΰ]+|[Α-ΩΆ-Ώ]+|[ß-öø-ÿœąćęłńśźż]+|.|[’‘“”„«»–—…•€−°™®©·\xa0]+|[、-ヿ一-鿿！-￮\u3000]+"
-)
-_LEAD = "[Â-ôĂĹĘĎĐŽŹČĆРСГТУвЂОПИКпябцНΞΟΓΒÎÏ├┬╬╧╨╤ÔТ√¬‚Œœ–—„ƒ≈»”∆]"
-_SUSPECT = re.compile(
-    "[\x80-\x9f�\xad]"
-    rf"|{_LETTER}(?:{_SYMBOL})+(?={_LETTER})"
-    "|[a-zß-öø-ÿ][À-ÖØ-ÞĂĹĽŔŻŠŽŒŸ]"
-    rf"|{_LEAD}[\xa0-¿Ā-ſƒˆ˜΄-Ώ‐-›€™№Ѐ-Џѐ-џҐґ─-▟√∂∆∏∑∞∫≈≠≤≥◊ªº¬Ωπˇ˘˙˚˝˛À-ÿⁿ⌐⌠⌡]"
-    "|[À-ÖØ-öø-ÿ]{4,}"
-    rf"|{_LETTER}[¸¹³±¿¯├┬]"
-    rf"|(?<!\S)[¸¹³¯¬¶](?={_LETTER})"
-    rf"|[{_LATIN}][Ͱ-ϿЀ-ӿ]|[Ͱ-ϿЀ-ӿ][{_LATIN}]"
-    "|[а-яё][А-ЯЁ]"
-    r"|&#\d{2,4};|&#x[0-9a-fA-F]{2,4};|\+[A-Za-z0-9+/]{2,}-|\+[A-Za-z0-9/]{3,}(?![A-Za-z0-9+/-])"
-)
 _RUN = re.compile("[^\x00-\x7f]+")
 _UTF8 = re.compile(rb"[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}")
 _REFERENCES = re.compile(r"(?:&#(?:x[0-9a-fA-F]{2,4}|\d{2,4});)+")
@@ -98,17 +83,23 @@ _UTF7 = re.compile(r"\+([A-Za-z0-9+/]{2,})(-|(?![A-Za-z0-9+/-]))")
 _ASIAN = re.compile("[⺀-鿿가-힣豈-﫿！-￮]")
 
 
-def garbling_cost(text: str) -> float:
-    return sum(weight * len(pattern.findall(text)) for pattern, weight in _COST)
+@lru_cache(maxsize=200_000)
+def _shape_cost(word: str) -> float:
+    return sum(weight * len(pattern.findall(word)) for pattern, weight in _COST)
 
 
-def _run_as_utf8(run: str, in_word: bool = False) -> str | None:
-    """A run of non-ASCII characters, re-encoded and strictly decoded as UTF-8, or with its outer quotes left out.
+def garbling_cost(text: str, places: Surroundings | None = None) -> float:
+    """What is odd about a text: sequences that only garbled text has and, given ``places``, characters where the collection has others."""
+    cost = 0.0
+    for word in text.split(" "):
+        if not word.isascii():
+            cost += _shape_cost(word) + (places.cost(word) if places else 0.0)
+    return cost
 
-    Greek or Cyrillic letters are tried only if they touch Latin ones.
-    """
-    if _ORDINARY.fullmatch(run) and not (in_word and "Ͱ" <= run[0] <= "ӿ"):
-        return None
+
+@lru_cache(maxsize=200_000)
+def _run_as_utf8(run: str) -> str | None:
+    """A run of non-ASCII characters, re-encoded and strictly decoded as UTF-8, or with its outer quotes left out."""
     for encoding in READ_AS:
         raw = _encode(run, encoding)
         if raw is None or not _UTF8.search(raw):
@@ -127,14 +118,6 @@ def _run_as_utf8(run: str, in_word: bool = False) -> str | None:
     return None
 
 
-def _as_utf8(text: str) -> str:
-    def read(m: re.Match) -> str:
-        in_word = text[m.start() - 1 : m.start()].isalpha() or text[m.end() : m.end() + 1].isalpha()
-        return _run_as_utf8(m[0], in_word) or m[0]
-
-    return _RUN.sub(read, text)
-
-
 def _utf7(m: re.Match) -> str:
     code = m[1]
     if len(code) % 4 == 1:
@@ -153,33 +136,53 @@ def _utf7(m: re.Match) -> str:
     return out if re.fullmatch(letters, out) else m[0]
 
 
-def _references(m: re.Match) -> str:
-    """References that name bytes, not characters, are resolved; others stay."""
-    text = html.unescape(m[0])
-    fixed = _as_utf8(text)
-    return fixed if fixed != text else m[0]
+def _undisguised(text: str) -> tuple[str, int]:
+    """(the text with its disguised UTF-8, byte references and UTF-7 read, number of places that changed)."""
+    places = 0
+
+    def utf8(m: re.Match) -> str:
+        nonlocal places
+        out = _run_as_utf8(m[0])
+        places += out is not None
+        return m[0] if out is None else out
+
+    def references(m: re.Match) -> str:
+        # those that name bytes, not characters, are resolved; others stay
+        plain = html.unescape(m[0])
+        fixed = _RUN.sub(utf8, plain)
+        return fixed if fixed != plain else m[0]
+
+    def utf7(m: re.Match) -> str:
+        nonlocal places
+        out = _utf7(m)
+        places += out != m[0]
+        return out
+
+    text = _RUN.sub(utf8, text)
+    return _UTF7.sub(utf7, _REFERENCES.sub(references, text)), places
 
 
-def _best(text: str) -> tuple[str, float]:
-    """The cheapest reading of one line by one more layer."""
-    now = garbling_cost(text)
-    step = _UTF7.sub(_utf7, _REFERENCES.sub(_references, _as_utf8(text)))
-    if step != text:
-        return step, garbling_cost(step)
+def _best(text: str, places: Surroundings | None) -> tuple[str, float]:
+    """The cheapest reading of one line by one more layer: each place that hides other characters costs 1 beside what shows."""
+    now = garbling_cost(text, places)
+    step, hidden = _undisguised(text)
+    if hidden and (cost := garbling_cost(step, places)) < now + hidden:
+        return step, cost
     if now < 0.99:
         return text, now
-    return _other_encoding(text, now)
+    other = _other_encoding(text, now, places)
+    return other, garbling_cost(other, places)
 
 
-def _other_encoding(text: str, now: float) -> tuple[str, float]:
+def _other_encoding(text: str, now: float, places: Surroundings | None) -> str:
     """One legacy encoding read as another: the pair that makes the words cheapest.
 
     Words are judged one by one, as ordinary text may stand beside garbled
     text; between the first and the last word that gains, all that do not lose
-    are read anew.
+    are read anew. The line as a whole must become cheaper.
     """
     words = text.split(" ")
-    costs = {w: garbling_cost(w) for w in set(words) if not w.isascii() and "\ufffd" not in w}
+    costs = {w: garbling_cost(w, places) for w in set(words) if not w.isascii() and "\ufffd" not in w}
     best, most = text, 0.0
     for wrong in READ_AS:
         raws = {w: raw for w in costs if (raw := _encode(w, wrong)) is not None}
@@ -195,48 +198,76 @@ def _other_encoding(text: str, now: float) -> tuple[str, float]:
                 except UnicodeDecodeError:
                     continue
                 if _PLAIN.fullmatch(other):
-                    gains[w] = other, costs[w] - garbling_cost(other)
-            better = [i for i, w in enumerate(words) if w in gains and gains[w][1] > 0]
-            if not better:
+                    better = places.gain(w, other) if places and right in SINGLE_BYTE else 0.0
+                    gains[w] = other, garbling_cost(w) - garbling_cost(other) + better
+            dearer = [i for i, w in enumerate(words) if w in gains and gains[w][1] > 0]
+            if not dearer:
                 continue
-            span = range(better[0], better[-1] + 1)
+            span = range(dearer[0], dearer[-1] + 1)
             new = [gains[w][0] if i in span and w in gains and gains[w][1] >= 0 else w for i, w in enumerate(words)]
             gain = sum(gains[w][1] for i, w in enumerate(words) if i in span and w in gains and gains[w][1] >= 0)
-            before = sum(costs[words[i]] for i in better)
-            if gain > most + 1e-9 and gain >= 0.99 and gain >= before / 2:
-                best, most = " ".join(new), gain
-    return best, now - most
+            before = sum(costs[words[i]] for i in dearer)
+            if gain > most + 1e-9 and gain >= 0.99 and gain >= before / 2 and garbling_cost(line := " ".join(new), places) < now:
+                best, most = line, gain
+    return best
 
 
-def repair(text: str) -> tuple[str, int, bool]:
-    """(the text with garbled lines restored where that is possible, layers undone, whether letters are lost)."""
-    if not text or text.isascii() and "&#" not in text and "+" not in text or not _SUSPECT.search(text):
+@lru_cache(maxsize=200_000)
+def _hides(word: str) -> bool:
+    return _undisguised(word)[1] > 0
+
+
+def _is_plain(line: str, places: Surroundings | None) -> bool:
+    """Whether nothing would be tried on the line; asked word by word, as words recur."""
+    cost = 0.0
+    for word in line.split(" "):
+        if word.isascii() and "&#" not in word and "+" not in word:
+            continue
+        if _hides(word):
+            return False
+        cost += _shape_cost(word) + (places.cost(word) if places else 0.0)
+    return cost < 0.99
+
+
+def repair(text: str, places: Surroundings | None = None) -> tuple[str, int, bool]:
+    """(the text with garbled lines restored where that is possible, layers undone, whether letters are lost).
+
+    Layers are undone until no reading is cheaper. Each makes the line shorter,
+    or cheaper and no longer, so this ends.
+    """
+    if not text or text.isascii() and "&#" not in text and "+" not in text:
         return text, 0, False
     out, layers = [], 0
     for line in text.split("\n"):
-        if _SUSPECT.search(line):
-            for n in range(1, LAYERS + 1):
-                fixed, _ = _best(line)
-                if fixed == line:
-                    break
-                line, layers = fixed, max(layers, n)
+        n = 0
+        while not _is_plain(line, places):
+            fixed, _ = _best(line, places)
+            if fixed == line:
+                break
+            line, n = fixed, n + 1
+        layers = max(layers, n)
         out.append(line)
     whole = "\n".join(out)
     return whole, layers, "�" in whole
 
 
-def _repair_mails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _repair_mails(places):
     schema = pa.schema([("id", pa.int64()), ("part", pa.int32()), ("layers", pa.int32()), ("lost", pa.bool_()), ("restored", pa.string())])
-    for batch in batches:
-        rows: list[list] = [[], [], [], [], []]
-        for ident, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            subject, parts = read_mail(text)
-            for n, part in enumerate([subject, *parts]):
-                fixed, layers, lost = repair(part)
-                if layers or lost:
-                    for column, value in zip(rows, (ident, n, layers, lost, fixed)):
-                        column.append(value)
-        yield pa.RecordBatch.from_arrays([pa.array(r, type=f.type) for r, f in zip(rows, schema)], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        costs = places.value
+        for batch in batches:
+            rows: list[list] = [[], [], [], [], []]
+            for ident, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                subject, parts = read_mail(text)
+                for n, part in enumerate([subject, *parts]):
+                    fixed, layers, lost = repair(part, costs)
+                    if layers or lost:
+                        for column, value in zip(rows, (ident, n, layers, lost, fixed)):
+                            column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(r, type=f.type) for r, f in zip(rows, schema)], schema=schema)
+
+    return run
 
 
 def garbled_parts(df: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
@@ -248,14 +279,20 @@ def garbled_parts(df: DataFrame, ident: str = "doc_id", text: str = "text") -> D
     row.
 
     Each line is re-encoded under candidate legacy encodings and strictly
-    decoded as the intended one, layer by layer; a reading is accepted where
-    the garbling cost drops, or where a run of characters is valid UTF-8 in
-    disguise and becomes ordinary characters.
+    decoded as the intended one, layer by layer until nothing is gained; a
+    reading is accepted where the garbling cost drops. The cost counts
+    sequences that only garbled text has, places that hide other characters
+    (UTF-8, byte references, UTF-7), and characters that stand where the
+    collection has another reading of the same byte ``RATIO`` times as often.
+    For the last, one pass over all mails counts characters by their
+    neighbours; its result has a fixed bound (see ``surroundings``) and is
+    broadcast.
 
     A null, empty or plain ASCII text has no row unless it holds disguised
     references or UTF-7; very long texts are read whole; repeated rows are
     read each; other columns are ignored, whatever their names; an empty
-    input gives an empty result. Nothing is shuffled.
+    input gives an empty result. No mail is shuffled.
     """
+    places = df.sparkSession.sparkContext.broadcast(surroundings(df, READ_AS, SINGLE_BYTE, text))
     columns = df.select(F.col(f"`{ident}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("t"))
-    return columns.mapInArrow(_repair_mails, "id long, part int, layers int, lost boolean, restored string")
+    return columns.mapInArrow(_repair_mails(places), "id long, part int, layers int, lost boolean, restored string")

@@ -19,7 +19,6 @@ _WORD = re.compile(r"=\?([^?\s]+)\?([bBqQ])\?([^?]*)\?=")
 _BETWEEN = re.compile(r"(\?=)\s+(?==\?[^?\s]+\?[bBqQ]\?)")
 _PARAM = re.compile(r";\s*([\w*-]+)\s*=\s*(?:\"((?:[^\"\\]|\\.)*)\"|([^;\s]*))")
 _NOT64 = re.compile(rb"[^A-Za-z0-9+/]")
-DEPTH = 20  # multiparts nested deeper are read as text
 
 
 def _decode(raw: bytes, charset: str | None) -> str:
@@ -78,30 +77,37 @@ def _params(value: str) -> dict[str, str]:
     return {m[1].lower(): m[2] if m[2] is not None else m[3] for m in _PARAM.finditer(value)}
 
 
-def _walk(fields: dict[str, str], body: str, out: list[str], depth: int) -> None:
-    kind = fields.get("content-type", "text/plain")
-    main = kind.partition(";")[0].strip().lower()
-    if main.startswith("multipart/") and depth < DEPTH:
-        boundary = _params(kind).get("boundary")
+def _text_parts(fields: dict[str, str], body: str) -> list[str]:
+    """The text parts of a mail in order, however deeply multiparts are nested."""
+    out: list[str] = []
+    todo = [(fields, body)]
+    while todo:
+        fields, body = todo.pop()
+        kind = fields.get("content-type", "text/plain")
+        main = kind.partition(";")[0].strip().lower()
+        boundary = _params(kind).get("boundary") if main.startswith("multipart/") else None
         if boundary:
             pieces = re.split(rf"\n--{re.escape(boundary)}(--)?[ \t]*(?=\n|\Z)", "\n" + body)
+            own = []
             for end, piece in zip(pieces[1::2], pieces[2::2]):
                 if end:
                     break
-                _walk(*_head(piece[1:]), out, depth + 1)
-            return
-    way = fields.get("content-transfer-encoding", "").strip().lower()
-    if main == "message/rfc822" and depth < DEPTH:
-        _walk(*_head(body), out, depth + 1)
-        return
-    if not main.startswith(("text/", "multipart/")) and "/" in main:
-        return
-    if way == "base64":
-        body = _decode(_base64(body), _params(kind).get("charset")).replace("\r\n", "\n")
-    elif way == "quoted-printable":
-        raw = binascii.a2b_qp(body.encode("utf-8", "surrogatepass"))
-        body = _decode(raw, _params(kind).get("charset"))
-    out.append(shown(body) if main == "text/html" else body)
+                own.append(_head(piece[1:]))
+            todo += reversed(own)
+            continue
+        if main == "message/rfc822":
+            todo.append(_head(body))
+            continue
+        if not main.startswith(("text/", "multipart/")) and "/" in main:
+            continue
+        way = fields.get("content-transfer-encoding", "").strip().lower()
+        if way == "base64":
+            body = _decode(_base64(body), _params(kind).get("charset")).replace("\r\n", "\n")
+        elif way == "quoted-printable":
+            raw = binascii.a2b_qp(body.encode("utf-8", "surrogatepass"))
+            body = _decode(raw, _params(kind).get("charset"))
+        out.append(shown(body) if main == "text/html" else body)
+    return out
 
 
 def read_mail(text: str | None) -> tuple[str, list[str]]:
@@ -109,6 +115,4 @@ def read_mail(text: str | None) -> tuple[str, list[str]]:
     if not text:
         return "", []
     fields, body = _head(text.replace("\r\n", "\n"))
-    parts: list[str] = []
-    _walk(fields, body, parts, 0)
-    return header_words(fields.get("subject", "")), parts
+    return header_words(fields.get("subject", "")), _text_parts(fields, body)

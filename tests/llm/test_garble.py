@@ -78,3 +78,43 @@ def test_mails(spark):
     got = sorted((r["id"], r["part"], r["restored"]) for r in garbled_parts(df).collect())
     assert got == [(1, 0, "Prüfung"), (1, 0, "Prüfung"), (3, 0, "Prüfung"), (4, 1, "café café")]
     assert garbled_parts(df.limit(0)).collect() == []
+
+
+def test_the_collection_decides_where_no_sequence_is_odd(spark):
+    plain = ["La señal del año pasado no llegó", "It doesn’t match the key", "A estação não abre, 5 °C – “ok”"]
+    rows = [(i, f"Subject: {i}\n\n{plain[i % 3]}") for i in range(300)]
+    odd = {1000: plain[0].encode("cp1252").decode("cp1250"), 1001: plain[1].encode("cp1252").decode("mac-roman"), 1002: plain[2].encode("cp1252").decode("iso8859-2"), 1003: plain[2].encode("cp1252").decode("mac-roman")}
+    rows += [(i, f"Subject: x\n\n{t}") for i, t in odd.items()] + [(1004, "Subject: x\n\nŁódź, dzień dobry"), (1005, "Subject: x\n\nla letra ñ o û?")]
+    got = {r["id"]: r["restored"] for r in garbled_parts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1000: plain[0], 1001: plain[1], 1002: plain[2], 1003: plain[2]}
+
+
+def test_planted_passages_are_found(spark):
+    """Recall and precision on own labels: clean mails, a tenth of which is garbled by a known pair."""
+    pairs = [("cp1252", "cp1250"), ("cp1252", "mac-roman"), ("cp1252", "cp437"), ("cp1252", "cp850"), ("cp1250", "cp1252"), ("cp1251", "cp1252"), ("koi8-r", "cp1251"), ("cp1253", "cp1252"), ("utf-8", "cp1252"), ("utf-8", "cp1250")]
+    rows, planted = [], set()
+    for i in range(2000):
+        lang = list(TEXTS)[i % 5]
+        text = TEXTS[lang]
+        if i % 10 == 0:
+            right, wrong = pairs[i // 10 % len(pairs)]
+            try:
+                bad = sloppy(text.encode(right), wrong)
+            except UnicodeEncodeError:
+                bad = sloppy(text.encode(), wrong)
+            if bad != text:
+                planted.add(i)
+                text = bad
+        rows.append((i, f"Subject: {i}\n\n{text}"))
+    found = {r["id"] for r in garbled_parts(spark.createDataFrame(rows, "doc_id long, text string")).select("id").collect()}
+    assert found <= planted
+    assert len(found) >= 0.97 * len(planted)
+
+
+def test_deeply_nested_parts():
+    from strandloom.llm.mail import read_mail
+
+    mail = "café"
+    for n in range(60):
+        mail = f"Content-Type: multipart/mixed; boundary=b{n}x\n\n--b{n}x\n" + (mail if n else f"Content-Type: text/plain\n\n{mail}") + f"\n--b{n}x--\n"
+    assert [p.strip() for p in read_mail("Subject: s\n" + mail)[1]] == ["café"]
