@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import base64
+import os
 from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,6 +17,8 @@ from pyspark.sql import functions as F
 from strandloom.session import cut_lineage
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+SETTING = "spark.strandloom.vocabulary"  # where the session names another file
+CELL = 1_000_000  # pieces ranked together
 # Fixed value: the published split pattern of this vocabulary.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -21,7 +26,10 @@ SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 @lru_cache(maxsize=2)
 def tokenizer(path: str):
     import tiktoken
+    from pyspark import SparkFiles
 
+    if not os.path.exists(path):  # sent along with the job
+        path = SparkFiles.get(os.path.basename(path))
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     return tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
@@ -39,8 +47,14 @@ def _count(path: str):
     return run
 
 
-def token_counts(df: DataFrame, ident: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
-    """(id, tokens) of every row; a null or empty text has none."""
+def token_counts(df: DataFrame, ident: str = "doc_id", text: str = "text", vocabulary: str | None = None) -> DataFrame:
+    """(id, tokens) of every row; a null or empty text has none.
+
+    ``vocabulary`` is a path that every executor can read, else the one the
+    session names in ``spark.strandloom.vocabulary``; a file sent along with
+    ``SparkContext.addFile`` is found by its name.
+    """
+    vocabulary = vocabulary or df.sparkSession.conf.get(SETTING, VOCABULARY)
     return df.select(F.col(f"`{ident}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("t")).mapInArrow(_count(vocabulary), "id long, tokens long")
 
 
@@ -88,43 +102,40 @@ def pack_histogram(histogram: dict[int, int], capacity: int) -> list[tuple[tuple
     return [x for room in rooms for x in by_room[room]]
 
 
-def _layout(patterns: list[tuple[tuple[int, ...], int]]) -> dict[int, tuple[list[int], list[int], list[int]]]:
-    """length -> (first ranks, first containers, items of it per container), one entry for each pattern that has the length."""
-    out: dict[int, tuple[list[int], list[int], list[int]]] = {}
+def _layout(patterns: list[tuple[tuple[int, ...], int]]) -> tuple[np.ndarray, ...]:
+    """Per pattern and length in it: (length, first rank of that length, first container, items of it per container), sorted by length and rank."""
+    rows: list[tuple[int, int, int, int]] = []
     ranks: dict[int, int] = {}
     container = 0
     for pattern, count in patterns:
-        for length in set(pattern):
-            times = pattern.count(length)
-            firsts, containers, per = out.setdefault(length, ([], [], []))
-            firsts.append(ranks.get(length, 0))
-            containers.append(container)
-            per.append(times)
-            ranks[length] = ranks.get(length, 0) + times * count
+        for length, times in Counter(pattern).items():
+            first = ranks.get(length, 0)
+            rows.append((length, first, container, times))
+            ranks[length] = first + times * count
         container += count
-    return out
+    table = np.array(sorted(rows), dtype=np.int64).reshape(-1, 4)
+    return tuple(table.T.copy())
 
 
 def _assign(layout):
     schema = pa.schema([("id", pa.int64()), ("piece", pa.int64()), ("size", pa.int64()), ("container", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        where = layout.value
+        lengths, firsts, starts, per = layout.value
         for batch in batches:
-            container: list[int | None] = []
-            for size, rank in zip(batch.column("size").to_pylist(), batch.column("rank").to_pylist()):
-                if not size:
-                    container.append(None)
-                    continue
-                firsts, starts, per = where[size]
-                i = bisect_right(firsts, rank) - 1
-                container.append(starts[i] + (rank - firsts[i]) // per[i])
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("piece"), batch.column("size"), pa.array(container, type=pa.int64())], schema=schema)
+            size, rank = batch.column("size").to_numpy(), batch.column("rank").to_numpy()
+            container, held = np.zeros(len(size), dtype=np.int64), size > 0
+            for length in np.unique(size[held]):
+                own = np.flatnonzero(size == length)
+                a, b = np.searchsorted(lengths, [length, length + 1])
+                row = a + np.searchsorted(firsts[a:b], rank[own], side="right") - 1
+                container[own] = starts[row] + (rank[own] - firsts[row]) // per[row]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("piece"), batch.column("size"), pa.array(container, mask=~held)], schema=schema)
 
     return run
 
 
-def pack(items: DataFrame, capacity: int, salts: int = 64) -> DataFrame:
+def pack(items: DataFrame, capacity: int, cell: int = CELL) -> DataFrame:
     """Assign items (``id``, ``tokens``) to containers of one capacity.
 
     Result: ``id``, ``piece``, ``size``, ``container``. An item is divided
@@ -138,10 +149,11 @@ def pack(items: DataFrame, capacity: int, salts: int = 64) -> DataFrame:
 
     The driver sees only the histogram of lengths, at most ``capacity`` rows,
     and lays out the patterns from it. Pieces get their rank within their
-    length by a count per (length, salt) and a running number within it, so a
-    length that a third of the items share is ranked by ``salts`` tasks. The
-    pieces meet the patterns by rank. ``items`` is read several times: cut its
-    lineage if it is dear.
+    length from the counts of the cells before theirs and a running number
+    within it; a length has a cell for about every ``cell`` of its pieces, so
+    one that a third of the pieces share is ranked by as many tasks as it
+    fills. The pieces meet the patterns by rank. ``items`` is read several
+    times: cut its lineage if it is dear.
     """
     if capacity < 1:
         raise ValueError("capacity must be positive")
@@ -149,16 +161,21 @@ def pack(items: DataFrame, capacity: int, salts: int = 64) -> DataFrame:
     full = F.expr(f"cast((n - 1) div {capacity} as int)")
     pieces = sizes.select("id", "n", F.explode(F.sequence(F.lit(0), F.when(F.col("n") > 0, full).otherwise(0))).alias("piece"))
     pieces = pieces.select("id", F.col("piece").cast("long").alias("piece"), F.least(F.lit(capacity), F.col("n") - F.col("piece").cast("long") * capacity).alias("size"))
+    counts = {r["size"]: r["count"] for r in pieces.groupBy("size").count().collect()}
+    salts = 1 + max(counts.values(), default=0) // cell
+    counts.pop(0, None)
+    layout = items.sparkSession.sparkContext.broadcast(_layout(pack_histogram(counts, capacity)))
     pieces = pieces.withColumn("salt", F.pmod(F.xxhash64("id", "piece"), F.lit(salts)))
-    cells = pieces.where("size > 0").groupBy("size", "salt").count()
-    counts = cells.groupBy("size").agg(F.sum("count").alias("n")).collect()
-    patterns = pack_histogram({r["size"]: r["n"] for r in counts}, capacity)
-    layout = items.sparkSession.sparkContext.broadcast(_layout(patterns))
-    base = F.sum("count").over(Window.partitionBy("size").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))
-    bases = cells.select("size", "salt", F.coalesce(base, F.lit(0)).alias("base"))
-    local = F.row_number().over(Window.partitionBy("size", "salt").orderBy("id", "piece")) - 1
-    ranked = pieces.withColumn("local", local).join(bases, ["size", "salt"], "left").select("id", "piece", "size", (F.coalesce("base", F.lit(0)) + F.col("local")).alias("rank"))
-    return ranked.mapInArrow(_assign(layout), "id long, piece long, size long, container long")
+    own = Window.partitionBy("size", "salt")
+    if salts == 1:
+        ranked = pieces.withColumn("rank", F.row_number().over(own.orderBy("id", "piece")) - 1)
+    else:
+        cells = pieces.where("size > 0").groupBy("size", "salt").count()
+        base = F.sum("count").over(Window.partitionBy("size").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))
+        bases = cells.select("size", "salt", F.coalesce(base, F.lit(0)).alias("base"))
+        ranked = pieces.withColumn("local", F.row_number().over(own.orderBy("id", "piece")) - 1).join(bases, ["size", "salt"], "left")
+        ranked = ranked.withColumn("rank", F.coalesce("base", F.lit(0)) + F.col("local"))
+    return ranked.select("id", "piece", "size", F.col("rank").cast("long").alias("rank")).mapInArrow(_assign(layout), "id long, piece long, size long, container long")
 
 
 def counted(df: DataFrame, **options) -> DataFrame:

@@ -47,25 +47,30 @@ def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _decided(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = seen.probe_keys(read_table(spark, sf_dir, "probes"), read_table(spark, sf_dir, "manifest"))
-    return cut_lineage(seen.seen_before(keys, [F.col("background_id"), F.col("key")], "probe_id", "arrival_no"))
+    return seen.seen_before(keys, [F.col("background_id"), F.col("key")], "probe_id", "arrival_no")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return seen.without_errors(_decided(spark, sf_dir)).where("seen").select(F.col("id").alias("probe_id"))
+    return _decided(spark, sf_dir).where("seen").select(F.col("id").alias("probe_id"))
 
 
 def p5_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rate of wrong answers of the filters, expected and found, by number of filters probed; repeats within a read task, which meet no filter, apart."""
-    rows = seen.without_errors(_decided(spark, sf_dir))
-    return rows.groupBy((F.col("how") == "task").alias("within_task"), "filters").agg(
+    """Rate of wrong answers, expected and found, by how the answer was come by and by number of filters probed."""
+    rows = seen.checked(cut_lineage(_decided(spark, sf_dir)))
+    return rows.groupBy("how", "filters").agg(
         F.count("*").alias("keys"),
         F.count_if("seen").alias("seen"),
-        F.count_if(F.col("seen") & (F.col("how") == "filter")).alias("seen_by_filter"),
         F.count_if(F.col("claimed") & ~F.col("seen")).alias("wrong"),
-        F.sum(F.when(~F.col("seen"), 1 - F.pow(F.lit(1 - 2.0**-16), F.col("filters"))).otherwise(0.0)).alias("expected_wrong"),
+        F.sum(F.when(~F.col("seen"), 1 - F.pow(F.lit(1 - 2.0**-32), F.col("filters"))).otherwise(0.0)).alias("expected_wrong"),
     )
 
 
+def p5_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys and repeats over all rows, from the rows of ``p5_rates``."""
+    rows = p5_rates(spark, sf_dir)
+    return rows.agg(F.sum("keys").alias("keys"), F.sum("seen").alias("seen"), F.sum("wrong").alias("wrong"))
+
+
 def _capacity(spark: SparkSession, sf_dir: str, pack_id: int) -> int:
     return read_table(spark, sf_dir, "packs").where(F.col("pack_id") == pack_id).first()["capacity"]
 
@@ -106,7 +111,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8_repaired(spark, sf_dir).select("doc_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_terms, p3_found, p3_share, p4_found, p4_pieces, p5_found, p5_rates, p6_packing, p6_fill, p7_found, p7_leaks, p8_found, p8_repaired)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_terms, p3_found, p3_share, p4_found, p4_pieces, p5_found, p5_rates, p5_totals, p6_packing, p6_fill, p7_found, p7_leaks, p8_found, p8_repaired)}
 
 _LETTERS = "replace(regexp_replace(upper(seq), '[^A-Z]', '', 'g'), 'U', 'T')"
 
@@ -151,4 +156,5 @@ ORACLES = {
     "p3_share": _SHARED + "select rec_id, cast(count(*) as bigint) stretches, cast(sum(span_end - span_start) as bigint) shared_letters from r group by rec_id",
     "p4_found": _CUTS + "select rec_id, config_id, p cut_pos from h union all select rec_id, config_id, cast(-1 as bigint) from t where (rec_id, config_id) not in (select (rec_id, config_id) from h)",
     "p5_found": _KEYS + "select probe_id from (select probe_id, arrival_no, min(arrival_no) over (partition by background_id, key) f from c) where f < arrival_no",
+    "p5_totals": _KEYS + "select count(*) keys, count(*) filter (f < arrival_no) seen, cast(0 as bigint) wrong from (select arrival_no, min(arrival_no) over (partition by background_id, key) f from c)",
 }

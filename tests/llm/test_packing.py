@@ -37,12 +37,12 @@ def test_histogram_takes_the_emptiest_pack():
         assert sorted(rooms) == sorted(capacity - sum(p) for p, n in patterns for _ in range(n))
 
 
-@pytest.mark.parametrize("salts", [1, 8])
-def test_pack_against_its_rules(spark, salts):
-    rng = random.Random(salts)
+@pytest.mark.parametrize("cell", [20, 1000])
+def test_pack_against_its_rules(spark, cell):
+    rng = random.Random(cell)
     rows = [(i, rng.choice([None, 0, -3, 5, 5, 5, rng.randrange(1, 200)])) for i in range(900)] + [(900, 1000), (901, 128), (902, 129)]
     df = spark.createDataFrame([(*r, 1) for r in rows], "id long, tokens long, size int")
-    out = pack(df, 128, salts).collect()
+    out = pack(df, 128, cell).collect()
     held, per = defaultdict(int), defaultdict(list)
     for r in out:
         per[r["id"]].append((r["piece"], r["size"]))
@@ -72,3 +72,20 @@ def test_token_counts(spark):
     enc = tokenizer(VOCABULARY)
     assert got == {i: len(enc.encode_ordinary(t)) if t else 0 for i, t in enumerate(texts)}
     assert got[2] == 2
+
+
+def test_one_length_shared_by_all_is_ranked_by_many_tasks(spark):
+    df = spark.range(5000).selectExpr("id", "cast(128 as bigint) tokens")
+    out = pack(df, 128, cell=100)
+    assert out.select("container").distinct().count() == 5000
+    cells = {r["salt"] for r in df.selectExpr("pmod(xxhash64(id, cast(0 as bigint)), 51) salt").distinct().collect()}
+    assert len(cells) == 51  # a cell for every hundred pieces
+
+
+def test_vocabulary_of_the_session(spark):
+    df = spark.createDataFrame([(1, "Hello world")], "doc_id long, text string")
+    spark.conf.set("spark.strandloom.vocabulary", VOCABULARY)
+    try:
+        assert token_counts(df).first()["tokens"] == 2
+    finally:
+        spark.conf.unset("spark.strandloom.vocabulary")

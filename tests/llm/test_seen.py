@@ -8,7 +8,7 @@ from strandloom.llm import queries, seen
 
 
 @pytest.mark.parametrize("n", [0, 1, 2, 50, 5000])
-@pytest.mark.parametrize("bits", [8, 16])
+@pytest.mark.parametrize("bits", [8, 16, 32])
 def test_filter_holds_all_its_keys(n, bits):
     keys = np.unique(np.random.default_rng(n).integers(0, 2**63, n, dtype=np.uint64))
     f = seen.Filter(keys, bits)
@@ -35,7 +35,7 @@ def test_against_brute_force(spark):
     rng.shuffle(rows)
     df = spark.createDataFrame([(*r, True) for r in rows], "probe long, key string, at long, seen boolean")
     decided = seen.seen_before(df, [F.col("key")], "probe", "at", batch_keys=200, bits=8).cache()
-    out = seen.without_errors(decided).collect()
+    out = seen.checked(decided).collect()
     assert len(out) == sum(k is not None for _, k, _ in rows)
     want = brute(rows)
     assert {r["id"] for r in out if r["seen"]} == want
@@ -43,28 +43,41 @@ def test_against_brute_force(spark):
     assert max(r["filters"] for r in out) > 3
     wrong = sum(r["claimed"] and not r["seen"] for r in out)
     assert wrong <= 40
+    exact = seen.seen_before(df, [F.col("key")], "probe", "at", batch_keys=100).where("seen").collect()
+    assert {r["id"] for r in exact} == want  # 32 bits
 
 
-def test_repeats_within_a_task_meet_no_filter(spark, tmp_path):
-    rows = [(i, f"k{i % 700}", i) for i in range(2100)]
-    df = spark.createDataFrame(rows, "probe long, key string, at long")
-    out = seen.seen_before(df.coalesce(1), [F.col("key")], "probe", "at", batch_keys=50, bits=32).collect()
-    assert {r["id"] for r in out if r["seen"]} == {r["id"] for r in out if r["how"] == "task"} == set(range(700, 2100))
-    assert {r["filters"] for r in out if r["how"] == "task"} == {0}
-    assert 3 < max(r["filters"] for r in out) <= 14  # 700 keys in filters of 50
-    parts = seen.seen_before(df.repartitionByRange(3, "at"), [F.col("key")], "probe", "at", batch_keys=50, bits=32).collect()
-    assert {r["id"] for r in parts if r["seen"]} == set(range(700, 2100)) and any(r["how"] == "filter" for r in parts)
-    letters = ["".join("ACGT"[i // 4**j % 4] for j in range(6)) + "AAAAAA" for i in range(40)]
-    probes = spark.createDataFrame([(i, i, "b", letters[i % 40]) for i in range(100)], "probe_id long, arrival_no long, background_id string, seq string")
-    probes.coalesce(1).write.parquet(str(tmp_path / "probes.parquet"))
+def test_a_hot_key_is_left_once_a_batch(spark):
+    rows = [(i, "hot", i) for i in range(30_000)]
+    df = spark.createDataFrame(rows, "probe long, key string, at long").coalesce(1)
+    out = seen.seen_before(df, [F.col("key")], "probe", "at", batch_keys=2).collect()
+    assert {r["id"] for r in out if r["seen"]} == set(range(1, 30_000))
+    assert sum(r["how"] != "scan" for r in out) <= 10
+
+
+def test_generations_grow_with_the_keys(spark):
+    df = spark.range(40_000).selectExpr("id probe", "concat('k', id % 30000) key", "id at").coalesce(1)
+    out = seen.seen_before(df, [F.col("key")], "probe", "at", batch_keys=100)
+    assert 10 < out.agg(F.max("filters")).first()[0] <= 40  # 300 filters if all were of one size
+    assert out.where("seen").count() == 10_000 and out.where("how = 'filter'").count() > 5_000
+
+
+def test_rates_and_totals(spark, tmp_path):
+    letters = ["".join("ACGT"[i // 4**j % 4] for j in range(6)) + "AAAAAA" for i in range(4000)]
+    probes = spark.createDataFrame([(i, i, "b", letters[i % 4000]) for i in range(9000)], "probe_id long, arrival_no long, background_id string, seq string")
+    probes.write.parquet(str(tmp_path / "probes.parquet"))
     spark.createDataFrame([("b", 12)], "id string, kmer_size int").write.parquet(str(tmp_path / "manifest.parquet"))
-    rates = [tuple(r) for r in queries.p5_rates(spark, str(tmp_path)).select("within_task", "filters", "keys", "seen", "seen_by_filter").collect()]
-    assert sorted(rates) == [(False, 0, 40, 0, 0), (True, 0, 60, 60, 0)]
+    rates = queries.p5_rates(spark, str(tmp_path)).collect()
+    keys, found, wrong = queries.p5_totals(spark, str(tmp_path)).first()
+    assert keys == 9000 == sum(r["keys"] for r in rates) and wrong == 0
+    assert found == 9000 - len(set(letters))
+    assert max(r["filters"] for r in rates) > 2 and any(r["how"] == "filter" for r in rates)
+    assert 0 < sum(r["expected_wrong"] for r in rates) < 1e-4
 
 
 def test_empty(spark):
     df = spark.createDataFrame([], "probe long, key string, at long")
-    assert seen.without_errors(seen.seen_before(df, [F.col("key")], "probe", "at")).collect() == []
+    assert seen.checked(seen.seen_before(df, [F.col("key")], "probe", "at")).collect() == []
 
 
 def test_probe_keys(spark):
