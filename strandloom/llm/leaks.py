@@ -2,10 +2,10 @@
 
 Pigeonhole matching: a passage of ``min_words`` words of a test item that
 stands in a mail with at most ``errors`` word edits keeps one of its
-``errors`` + 1 pieces whole. The items are cut into pieces so short that every
-passage holds that many; an automaton finds the exact pieces in one pass over
-the mail, and each hit is verified: the exact run of words around it, and the
-bit-parallel edit distance of the passages that hold the piece.
+``errors`` + 1 pieces whole. Items are cut into pieces so short that every
+passage of theirs, wherever it begins, holds ``errors`` + 1 whole ones; an
+automaton finds the exact pieces in one pass over the mail, and the bit-parallel
+edit distance of the passages that hold the piece decides each hit.
 """
 
 from __future__ import annotations
@@ -15,13 +15,13 @@ from collections.abc import Iterator
 
 import ahocorasick
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.llm.mail import read_mail
 
 WORDS = re.compile(r"[^\W_]+")
-BLOCK = 16_000_000  # letters of items handled in one pass over the mails
+BLOCK = 1_000_000  # letters of items handled in one pass over the mails; their automaton takes about 60 bytes a letter
 
 
 def words(text: str) -> list[str]:
@@ -57,6 +57,7 @@ class Items:
 
     def __init__(self, rows: list[tuple[int, str]], min_words: int, errors: int):
         self.min_words, self.errors = min_words, errors
+        # of a passage cut anywhere, size - 1 words at each end may belong to pieces it does not hold whole
         self.size = max(1, (min_words + 1) // (errors + 2))
         self.items = [(ident, w) for ident, text in rows if len(w := words(text or "")) >= min_words]
         self._automaton = None
@@ -92,44 +93,33 @@ class Items:
             for i, a in where:
                 diagonals.setdefault((i, first - a), []).append(first)
         out: dict[int, tuple[int, int]] = {}
-        near: dict[int, list[tuple[int, int]]] = {}
         for (i, shift), firsts in diagonals.items():
             item, done = self.items[i][1], -1
             for t in sorted(firsts):
                 if t < done:
                     continue
-                a, b = t, t + self.size
-                while a > 0 and a - shift > 0 and text[a - 1] == item[a - 1 - shift]:
-                    a -= 1
-                while b < len(text) and b - shift < len(item) and text[b] == item[b - shift]:
-                    b += 1
-                done = b
-                run = b - a
-                if run >= self.min_words:
-                    out[i] = max(out.get(i, (0, 0))[0], run), 0
-                else:
-                    near.setdefault(i, []).append((t, t - shift))
-        if self.errors:
-            for i, hits in near.items():
-                if i in out:
-                    continue
-                best = self._nearest(text, self.items[i][1], hits)
+                run, best = out.get(i, (0, self.errors + 1))
+                if best:
+                    best = min(best, self._nearest(text, item, t, t - shift))
+                if best == 0:  # the exact stretch around the hit, for the report
+                    a, b = t, t + self.size
+                    while a > 0 and a - shift > 0 and text[a - 1] == item[a - 1 - shift]:
+                        a -= 1
+                    while b < len(text) and b - shift < len(item) and text[b] == item[b - shift]:
+                        b += 1
+                    done, run = b, max(run, b - a)
                 if best <= self.errors:
-                    out[i] = 0, best
-        return out
+                    out[i] = run, best
+        return {i: (run if run >= self.min_words else 0, best) for i, (run, best) in out.items()}
 
-    def _nearest(self, text: list[str], item: list[str], hits: list[tuple[int, int]]) -> int:
+    def _nearest(self, text: list[str], item: list[str], t: int, a: int) -> int:
+        """Least distance of the item's passages that hold its piece at ``a`` from the text around ``t``."""
         best, n = self.errors + 1, self.min_words
-        tried: set[tuple[int, int]] = set()
-        for t, a in hits:
-            for s in range(max(0, a + self.size - n), min(a, len(item) - n) + 1):
-                low = max(0, t - (a - s) - self.errors)
-                if (s, low) in tried:
-                    continue
-                tried.add((s, low))
-                best = min(best, edit_distance(item[s : s + n], text[low : low + n + 2 * self.errors]))
-                if best <= 1:
-                    return best
+        for s in range(max(0, a + self.size - n), min(a, len(item) - n) + 1):
+            low = max(0, t - (a - s) - self.errors)
+            best = min(best, edit_distance(item[s : s + n], text[low : t - (a - s) + n + self.errors]))
+            if best == 0:
+                break
         return best
 
 
@@ -167,19 +157,24 @@ def find_leaks(docs: DataFrame, items: DataFrame, min_words: int = 12, errors: i
     counts each row. Very long mails are read whole. Other columns are
     ignored, whatever their names. Empty tables give an empty result.
 
-    The items are sent to the tasks in blocks of at most ``block`` letters
-    (an item longer than that is a block of its own), and every block is one
-    pass over all mails; nothing else is shuffled or collected.
+    The items are sent to the tasks in blocks of at most ``block`` letters and
+    the item that fills the block up; every block is one pass over all mails,
+    and nothing else is shuffled or collected.
     """
     spark = docs.sparkSession
     test = items.select(F.col("item_id").cast("long").alias("i"), F.col("text").cast("string").alias("t")).where("i is not null and t is not null")
-    total = test.agg(F.sum(F.length("t"))).first()[0] or 0
-    blocks = -(-int(total) * 2 // block) if total > block else 1
+    test = test.withColumn("n", F.length("t").cast("long"))
+    total = test.agg(F.sum("n")).first()[0] or 0
+    buckets = 1 + int(total) // block  # few items share a bucket, and a bucket is cut by the running sum of its letters
+    test = test.withColumn("bucket", F.pmod(F.xxhash64("i"), F.lit(buckets)))
+    before = F.sum("n").over(Window.partitionBy("bucket").orderBy("i", "t").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    test = test.withColumn("part", F.floor(before / block))
     mails = docs.select(F.col("doc_id").cast("long").alias("d"), F.col("text").cast("string").alias("t")).where("d is not null and t is not null")
+    parts = [(r["bucket"], r["part"]) for r in test.select("bucket", "part").distinct().sort("bucket", "part").collect()] or [(0, 0)]
     found = None
-    for n in range(blocks):
-        rows = test if blocks == 1 else test.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == n)
-        held = spark.sparkContext.broadcast(Items([tuple(r) for r in rows.collect()], min_words, errors))
-        part = mails.mapInArrow(_search(held), "doc long, item long, run int, edits int")
-        found = part if found is None else found.unionByName(part)
+    for bucket, part in parts:
+        rows = test.where((F.col("bucket") == bucket) & (F.col("part") == part)).select("i", "t").sort("i", "t").collect()
+        held = spark.sparkContext.broadcast(Items([tuple(r) for r in rows], min_words, errors))
+        hits = mails.mapInArrow(_search(held), "doc long, item long, run int, edits int")
+        found = hits if found is None else found.unionByName(hits)
     return found.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), F.col("run").alias("exact_words"), "edits")

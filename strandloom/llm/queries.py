@@ -100,7 +100,8 @@ def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p7_leaks(spark, sf_dir).where("edits = 0").select("doc_id", "item_id")
+    found = leaks.find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "eval_items"), errors=0)
+    return found.select("doc_id", "item_id")
 
 
 def p8_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 import random
 
+from strandloom.llm import leaks
 from strandloom.llm.leaks import edit_distance, find_leaks, words
 
 
@@ -79,3 +80,38 @@ def test_one_edit_is_found(spark):
 def test_empty(spark):
     docs, items = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
     assert find_leaks(docs, items).collect() == []
+
+
+def test_one_edit_against_dynamic_programming(spark):
+    mails, items = case(7)
+    mails, items = [m for m in mails if m[1]][:90], items[:30]
+    want = {}
+    for d, mail in mails:
+        v = words(mail.partition("\n\n")[2])
+        for i, text in items:
+            w = words(text or "")
+            best = min((levenshtein_within(w[a : a + 12], v) for a in range(len(w) - 11)), default=9)
+            if best <= 1 and d is not None:
+                want[d, i] = best
+    got = find_leaks(spark.createDataFrame(mails, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]): r["edits"] for r in got} == want and 1 in want.values()
+
+
+def test_every_passage_holds_a_piece_more_than_the_budget():
+    for n in (12, 13, 20):
+        for errors in (0, 1, 2, 3):
+            size = leaks.Items([], n, errors).size
+            for a in range(size):  # wherever the passage begins
+                assert (a + n) // size - -(-a // size) >= errors + 1 or size == 1
+
+
+def test_blocks_are_bounded(spark):
+    items = [(7, "x" * 90)] * 5 + [(i, "y" * 40) for i in range(20)]
+    seen = []
+    original = leaks.Items.__init__
+    leaks.Items.__init__ = lambda self, rows, *a: (seen.append(sum(len(t) for _, t in rows)), original(self, rows, *a))[1]
+    try:
+        find_leaks(spark.createDataFrame([(1, "\n\nz")], "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), block=100).collect()
+    finally:
+        leaks.Items.__init__ = original
+    assert sum(seen) == 5 * 90 + 20 * 40 and max(seen) <= 100 + 90
