@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 
-from strandloom.functions.letters import IUPAC, IUPAC_COMPLEMENT
+from strandloom.functions.letters import IUPAC, IUPAC_COMPLEMENT, window_hashes
+
+EXACT_K = 31  # windows up to this size have their base-4 code as key
 
 _CODE = np.full(256, 4, dtype=np.uint8)
 _CODE[np.frombuffer(b"ACGT", dtype=np.uint8)] = np.arange(4)
@@ -47,17 +47,23 @@ def reverse_complement_bytes(text: bytes) -> bytes:
 def canonical_kmers(text: bytes, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(strand-neutral key of every window, whether the window is its own reverse complement).
 
-    Windows of A, C, G and T only have their exact base-4 code (k up to 31);
-    windows with other letters have a negative 63-bit digest.
+    Windows of A, C, G and T only have their exact base-4 code for k up to 31.
+    Windows with other letters, and all windows of a larger k, have a negative
+    key: a 62-bit hash, whose last bit says whether the window is its own
+    reverse complement.
     """
     a = np.frombuffer(text, dtype=np.uint8)
-    forward, clean = window_codes(a, k)
-    backward, _ = window_codes(a, k, reverse=True)
-    key = np.minimum(forward, backward).astype(np.int64)
-    both = forward == backward
-    for i in np.flatnonzero(~clean).tolist():
-        w = text[i : i + k]
-        r = reverse_complement_bytes(w)
-        digest = int.from_bytes(hashlib.blake2b(min(w, r), digest_size=8).digest(), "big") >> 1
-        key[i], both[i] = -1 - digest, w == r
-    return key, both
+    if k <= EXACT_K:
+        forward, clean = window_codes(a, k)
+        backward, _ = window_codes(a, k, reverse=True)
+        key, both = np.minimum(forward, backward).astype(np.int64), forward == backward
+        if clean.all():
+            return key, both
+    else:
+        key = np.zeros(max(0, len(a) - k + 1), dtype=np.int64)
+        both = clean = np.zeros(len(key), dtype=bool)
+    forward = window_hashes(a, k)
+    backward = window_hashes(np.frombuffer(reverse_complement_bytes(text), dtype=np.uint8), k)[::-1]
+    own = forward == backward
+    digest = (np.minimum(forward, backward) >> np.uint64(1) & ~np.uint64(1)).astype(np.int64) | own
+    return np.where(clean, key, -1 - digest), np.where(clean, both, own)

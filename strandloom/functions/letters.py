@@ -81,7 +81,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_LETTER_VALUE = mix64(np.arange(256, dtype=np.uint64) * _MIX + np.uint64(1))
+LETTER_VALUE = mix64(np.arange(256, dtype=np.uint64) * _MIX + np.uint64(1))
 
 
 def window_hashes(text: np.ndarray, width: int) -> np.ndarray:
@@ -93,7 +93,7 @@ def window_hashes(text: np.ndarray, width: int) -> np.ndarray:
     n = len(text) - width + 1
     if n <= 0:
         return np.empty(0, dtype=np.uint64)
-    part, length, power = _LETTER_VALUE[text], 1, np.uint64(0xD6E8FEB86659FD93)
+    part, length, power = LETTER_VALUE[text], 1, np.uint64(0xD6E8FEB86659FD93)
     out, done = None, 0
     rest = width
     with np.errstate(over="ignore"):

@@ -60,7 +60,7 @@ def annotate_regions(records: DataFrame, regions: DataFrame, key: str = "rec_id"
     new = numbered(regions, key).groupBy(key).agg(listed.alias("_l")).select(key, F.transform("_l", _region_feature).alias("_new"))
     out = _append(records, new, key)
     return out.withColumns({
-        "seq_id": F.concat("seq_id", F.lit("_annotated")), "description": F.lit("Sequence annotated with non-homologous regions."),
+        "seq_id": F.concat("seq_id", F.lit("_annotated")), "description": F.lit("Sequence annotated with non-homologous regions"),
         "topology": F.lit(None).cast("string"), "molecule_type": F.lit("DNA"),
     })
 

@@ -84,7 +84,7 @@ def gap_regions(gaps: DataFrame, regions: DataFrame) -> DataFrame:
 
 WEIGHTS = np.array([1, 10, 100, 0])  # by round; the last is for no edge
 CONSTRAINTS = ("all", "homology", "none")
-_NONE, _FAR, _STEP = 3, 2**60, 2**24
+_NONE, _FAR, _STEP = 3, 2**62, 2**31  # a cost is the weights times _STEP plus the fragments
 
 
 class _Graph:
@@ -125,7 +125,7 @@ class _Graph:
         """In one pass: labels of components, when each node came in, and the cheapest way to it."""
         n = len(self.start)
         self.label, self.active = np.arange(n), self.order >= self.candidates
-        self.came = np.where(self.order >= self.candidates, 2**50 + self.order, self.order << 25)
+        self.came = np.where(self.order >= self.candidates, 2**62 + self.order, self.order << 31)
         self.cost, self.before, self.kind = np.full(n, _FAR), np.full(n, -1), np.full(n, _NONE)
         ends = (self.order == 0) | (self.order == self.candidates - 1)
         self.active |= ends
@@ -140,7 +140,7 @@ class _Graph:
                 kinds = None
                 self.active[lo:hi] = self.active[v] = True
                 if self.came[v] >= 0:
-                    self.came[v] = (self.order[lo] << 25) + self.order[v] + 1
+                    self.came[v] = (self.order[lo] << 31) + self.order[v] + 1
                 labels, cost = self.label[u], self.cost[u] + (_STEP + 1)
             else:
                 kinds = self._kinds(v, u)
@@ -150,7 +150,7 @@ class _Graph:
                 self.active[v] = True
                 self.active[u] |= joined
                 if self.came[v] >= 0 and self.order[v] < self.candidates:
-                    self.came[v] = (self.order[u][joined].min() << 25) + self.order[v] + 1
+                    self.came[v] = (self.order[u][joined].min() << 31) + self.order[v] + 1
                 labels, cost = self.label[u][joined], np.where(joined, self.cost[u] + WEIGHTS[kinds] * _STEP + 1, _FAR)
             least = labels.min()
             if labels.max() != least:
@@ -256,6 +256,8 @@ def tile(places: list[tuple[int, int]], regions: list[tuple[int, int]], job: dic
             graph = graph.repair(_homology_extras(graph, regions, job, length), 1, *sizes)
             count = len(graph.parts())
         if count > 1:
+            if job["max_size"] - job["min_overlap"] < 5:  # the free overlaps would not advance
+                return "infeasible", before, []
             graph = graph.repair(_free_extras(graph, job, length), 2, *sizes)
     path = graph.path()
     return ("infeasible" if path is None else "ok" if before == 1 else "repaired"), before, path or []

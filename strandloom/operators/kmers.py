@@ -13,12 +13,10 @@ from pyspark.sql import types as T
 from strandloom.functions.kmers import canonical_kmers, reverse_complement_bytes
 from strandloom.functions.letters import is_circular, letters
 
-MAX_K = 31
-
 
 def _check(k: int) -> None:
-    if not 1 <= k <= MAX_K:
-        raise ValueError(f"k must be between 1 and {MAX_K}")
+    if k < 1:
+        raise ValueError("k must be positive")
 
 
 def prepared(records: DataFrame, key: str = "rec_id", fold: bool = True) -> DataFrame:
@@ -146,19 +144,20 @@ def background_set(records: DataFrame, k: int, key: str = "rec_id", fold: bool =
 
 def both_strands(kmers: DataFrame, k: int) -> DataFrame:
     """Number of k-mers on both strands that a set of strand-neutral keys stands for (``kmers``: one row)."""
-    own = F.when(F.col("kmer") < 0, F.lit(False)).otherwise(is_palindrome(F.col("kmer"), k))
+    own = is_palindrome(F.col("kmer"), k)
     return kmers.agg(F.coalesce(F.sum(F.when(own, 1).otherwise(2)), F.lit(0)).alias("kmers"))
 
 
 def kmer_text(kmer, k: int, word=None):
-    """The letters of a key; of windows with other letters than A, C, G and T ``word``, null if it is not given."""
+    """The letters of a key; of windows that have a hash as key ``word``, null if it is not given."""
     text = F.when(kmer >= 0, F.translate(F.lpad(F.conv(kmer.cast("string"), 10, 4), k, "0"), "0123", "ACGT"))
     return text if word is None else text.otherwise(word)
 
 
 def is_palindrome(kmer, k: int):
+    """Whether the k-mer is its own reverse complement; a hash says so in its last bit."""
     text = kmer_text(kmer, k)
-    return F.coalesce(text == F.translate(F.reverse(text), "ACGT", "TGCA"), F.lit(False))
+    return F.when(kmer < 0, (-1 - kmer) % 2 == 1).otherwise(F.coalesce(text == F.translate(F.reverse(text), "ACGT", "TGCA"), F.lit(False)))
 
 
 def merge_sets(sets: list[DataFrame], spark: SparkSession | None = None) -> DataFrame:

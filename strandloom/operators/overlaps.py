@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,8 +31,6 @@ class FragmentConfig:
             raise ValueError("min_overlap must not be larger than max_overlap")
         if self.min_overlap < 0 or self.min_step < 1:
             raise ValueError("min_overlap must not be negative and min_step must be positive")
-        if self.max_size - self.min_overlap < 5:
-            raise ValueError("max_size must exceed min_overlap by at least 5 letters")
 
     def row(self, config_id: int = 0) -> tuple:
         return (config_id, self.min_size, self.max_size, self.min_overlap, self.max_overlap, self.motif or None, self.min_step)
@@ -43,12 +44,15 @@ def jobs(requests: DataFrame, config: DataFrame) -> DataFrame:
 
     A motif is upper-cased; an empty one is none. Configurations that cannot
     be used (null or non-positive sizes or steps, bounds in reverse) give no
-    job.
+    job. Of a configuration listed twice the first usable row in order of its
+    values holds.
     """
-    usable = config.where("min_size <= max_size and min_overlap <= max_overlap and min_overlap >= 0 and min_step >= 1 and max_size - min_overlap >= 5")
+    usable = config.where("min_size <= max_size and max_size >= 1 and min_overlap <= max_overlap and min_overlap >= 0 and min_step >= 1")
     usable = usable.withColumn("motif", F.nullif(F.upper("motif"), F.lit("")))
+    fields = ["min_size", "max_size", "min_overlap", "max_overlap", "motif", "min_step"]
+    usable = usable.groupBy("config_id").agg(F.min(F.struct(*fields)).alias("c"))
     pairs = requests.select(*JOB).where("rec_id is not null and config_id is not null").distinct()
-    return pairs.join(usable.dropDuplicates(["config_id"]), "config_id").select(*JOB, "min_size", "max_size", "min_overlap", "max_overlap", "motif", "min_step")
+    return pairs.join(usable, "config_id").select(*JOB, *(F.col(f"c.{f}").alias(f) for f in fields))
 
 
 def clean_regions(regions: DataFrame) -> DataFrame:
@@ -64,17 +68,23 @@ def free_overlaps(work: DataFrame, regions: DataFrame) -> DataFrame:
     return out.select(*JOB, "start", (F.col("start") + F.col("min_overlap")).alias("end")).distinct()
 
 
-def motif_hits(work: DataFrame, regions: DataFrame, texts: DataFrame) -> DataFrame:
+def motif_hits(work: DataFrame, regions: DataFrame, texts: DataFrame, patterns: bool = False) -> DataFrame:
     """Non-overlapping occurrences of each job's motif, from left to right within each region.
 
-    ``texts``: (rec_id, text). The motif is taken literally. Cutting the
-    region at the motif leaves pieces; their running length gives the places.
+    ``texts``: (rec_id, text). The motif is taken literally: cutting the
+    region at it leaves pieces, and their running length gives the places.
+    With ``patterns`` it is a regular expression, searched in a task; its
+    ``width`` is then the length of the expression, which stands for the motif
+    when distances are measured.
     """
     # regions of a record in one row, so that its letters are moved once per record and not once per region
     by_record = clean_regions(regions).groupBy("rec_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("regions"))
     rows = work.where("motif is not null").join(by_record, "rec_id").join(texts, "rec_id")
     rows = rows.select(*JOB, "motif", "min_overlap", "max_overlap", "text", F.posexplode("regions").alias("region_no", "r"))
     part = F.expr("substring(text, cast(r.start + 1 as int), cast(r.end - r.start as int))")
+    if patterns:
+        rows = rows.select(*JOB, "region_no", "min_overlap", "max_overlap", "motif", F.col("r.start").alias("first"), part.alias("part"))
+        return rows.mapInArrow(_pattern_hits, "rec_id long, config_id int, region_no int, min_overlap int, max_overlap int, width int, pos long")
     pieces = F.split(part, F.concat(F.lit("\\Q"), "motif", F.lit("\\E")), -1)
     rows = rows.select(*JOB, "region_no", "min_overlap", "max_overlap", F.length("motif").alias("width"), F.col("r.start").alias("first"), F.transform(pieces, F.length).alias("sizes"))
     # the last piece has no motif behind it
@@ -85,6 +95,19 @@ def motif_hits(work: DataFrame, regions: DataFrame, texts: DataFrame) -> DataFra
     return rows.where(F.size("sizes") > 1).select(*JOB, "region_no", "min_overlap", "max_overlap", "width", F.explode(places).alias("pos"))
 
 
+def _pattern_hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        row, pos = [], []
+        for i, (motif, first, part) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("motif", "first", "part")))):
+            found = [first + m.start() for m in re.finditer(motif, part)]
+            row += [i] * len(found)
+            pos += found
+        kept = batch.take(pa.array(row, pa.int64()))
+        width = pa.array([len(m) for m in kept.column("motif").to_pylist()], pa.int32())
+        names = ["rec_id", "config_id", "region_no", "min_overlap", "max_overlap"]
+        yield pa.RecordBatch.from_arrays([*(kept.column(c) for c in names), width, pa.array(pos, pa.int64())], names=[*names, "width", "pos"])
+
+
 def motif_overlaps(hits: DataFrame) -> DataFrame:
     """(rec_id, config_id, start, end): each hit up to the end of the nearest hit of its region at an allowed distance.
 

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandloom.functions.kmers import canonical_kmers
-from strandloom.operators.kmers import _extended, free_in_record, own_weight, prepared
+from strandloom.operators.kmers import _extended, own_weight, prepared
+
+CHUNK = 1_000_000  # windows of a record handled at once
 
 
 def runs(free: DataFrame, k: int, threshold: int, key: str = "rec_id") -> DataFrame:
@@ -26,7 +28,9 @@ def runs(free: DataFrame, k: int, threshold: int, key: str = "rec_id") -> DataFr
     return found.where(F.col("end") - F.col("start") >= threshold).select(key, "start", "end")
 
 
-def homology_free_regions(queries: DataFrame, background: DataFrame | None, k: int = 20, threshold: int = 60, key: str = "rec_id", fold: bool = True) -> DataFrame:
+def homology_free_regions(
+    queries: DataFrame, background: DataFrame | None, k: int = 20, threshold: int = 60, key: str = "rec_id", fold: bool = True, chunk: int = CHUNK
+) -> DataFrame:
     """(key, start, end) of the maximal homology-free regions of every query record.
 
     A region is a run of windows none of which occurs in ``background`` (a
@@ -38,42 +42,116 @@ def homology_free_regions(queries: DataFrame, background: DataFrame | None, k: i
     ``key`` must be unique. Null keys, null sequences and ones shorter than k
     have no regions. Without a background only repeats count.
 
-    Repeats are found record by record, in the task that reads it. The k-mers
-    left are shuffled once, as pairs (k-mer, key), to meet the background; only the hits come back,
-    gathered per record, so nothing larger than a record is collected.
+    Records are cut into chunks of ``chunk`` windows that overlap by k - 1
+    letters. What a chunk repeats of itself is found in the task that reads
+    it, and a record of several chunks meets its other chunks by k-mer. The
+    k-mers left are shuffled once, by k-mer, to meet the background and, where
+    a record has several chunks, each other; only the hits come back, gathered
+    per chunk, so a task never holds more than a chunk's. Runs that reach a
+    chunk's edge are joined with those of the next.
     """
     df = prepared(queries, key, fold)
-    if background is None:
-        joined = df.withColumn("hits", F.array().cast("array<bigint>"))
-    else:
-        # positions stay behind: the task that reads the record again finds them by the k-mer
-        own = free_in_record(queries, k, key, fold).select(key, "kmer")
-        hits = own.join(background.select("kmer"), "kmer", "left_semi")
-        hits = hits.groupBy(F.col(key).alias("_key")).agg(F.collect_list("kmer").alias("hits"))
-        joined = df.join(hits, F.col(key) == F.col("_key"), "left").select(key, "text", "circular", "hits")
-    schema = T.StructType([df.schema[key], T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
-    return joined.mapInArrow(_regions(k, threshold, key), schema)
-
-
-def _regions(k: int, threshold: int, key: str):
+    kind = df.schema[key].dataType
+    pieces = df.mapInArrow(_pieces(k, key, chunk), T.StructType([df.schema[key], T.StructField("tag", T.LongType()), T.StructField("text", T.StringType())]))
+    kmers = df.mapInArrow(_piece_kmers(k, key, chunk), T.StructType([df.schema[key], T.StructField("tag", T.LongType()), T.StructField("kmer", T.LongType())]))
+    hits = df.sparkSession.createDataFrame([], T.StructType([df.schema[key], T.StructField("tag", T.LongType()), T.StructField("kmer", T.LongType())]))
+    if background is not None:
+        hits = kmers.join(background.select("kmer"), "kmer", "left_semi").select(key, "tag", "kmer")
+    if not queries.where(F.length("seq") + k > chunk).isEmpty():  # a record of several chunks
+        # a chunk names a k-mer it repeats itself twice
+        again = kmers.where("tag % 2 = 1").groupBy("kmer", key).agg(F.count("*").alias("n"), F.collect_set("tag").alias("tags")).where("n > 1")
+        hits = hits.unionByName(again.select(key, F.explode("tags").alias("tag"), "kmer"))
+    hits = hits.groupBy(F.col(key).alias("_key"), F.col("tag").alias("_tag")).agg(F.collect_list("kmer").alias("hits"))
+    joined = pieces.join(hits, (F.col(key) == F.col("_key")) & (F.col("tag") == F.col("_tag")), "left").select(key, "tag", "text", "hits")
+    schema = T.StructType([T.StructField(key, kind), *(T.StructField(n, T.LongType()) for n in ("first", "last")), T.StructField("edge", T.BooleanType())])
+    runs = joined.mapInArrow(_regions(k, threshold, key, chunk), schema)
+    # runs of window starts; those at edges go on where the next begins right behind
+    order = Window.partitionBy(key).orderBy("first")
+    goes_on = F.col("edge") & F.lag("edge").over(order) & (F.lag("last").over(order) == F.col("first") - 1)
+    runs = runs.withColumn("new", F.when(goes_on, 0).otherwise(1)).withColumn("run", F.sum("new").over(order))
+    found = runs.groupBy(key, "run").agg(F.min("first").alias("start"), (F.max("last") + k).alias("end"))
+    return found.where(F.col("end") - F.col("start") >= threshold).select(key, "start", "end")
+
+
+def _cut(batch: pa.RecordBatch, k: int, chunk: int) -> Iterator[tuple[int, int, bytes]]:
+    """(row, tag, letters) of each chunk; the tag is twice the chunk's number, odd if the record has several."""
+    for i, (text, circular) in enumerate(zip(batch.column("text").to_pylist(), batch.column("circular").to_pylist())):
+        whole = _extended(text, circular, k)
+        count = -(-max(0, len(whole) - k + 1) // chunk)
+        for c in range(count):
+            yield i, 2 * c + (count > 1), whole[c * chunk : (c + 1) * chunk + k - 1]
+
+
+def _pieces(k: int, key: str, chunk: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows in _grouped(_cut(batch, k, chunk)):
+                owner, tags, texts = zip(*rows)
+                yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(owner)), pa.array(tags, pa.int64()), pa.array([t.decode("ascii") for t in texts])], names=[key, "tag", "text"])
+
+    return run
+
+
+def _grouped(rows: Iterator[tuple[int, int, bytes]], most: int = 4_000_000) -> Iterator[list[tuple[int, int, bytes]]]:
+    held, total = [], 0
+    for row in rows:
+        held.append(row)
+        total += len(row[2])
+        if total >= most:
+            yield held
+            held, total = [], 0
+    if held:
+        yield held
+
+
+def _piece_kmers(k: int, key: str, chunk: int):
+    """k-mers that may still be free: once in the chunk, or each of the chunk's if the record has several, twice if repeated."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows in _grouped(_cut(batch, k, chunk), 500_000):
+                owners, tags, found = [], [], []
+                for i, tag, text in rows:
+                    keys, both = canonical_kmers(text, k)
+                    weight = own_weight(keys, both)
+                    if tag % 2:
+                        own, first = np.unique(keys, return_index=True)
+                        own = np.repeat(own, np.minimum(weight[first], 2))
+                    else:
+                        own = keys[weight == 1]
+                    owners.append(np.full(len(own), i)), tags.append(np.full(len(own), tag)), found.append(own)
+                owner, tag, kmer = (np.concatenate(x) for x in (owners, tags, found))
+                for a in range(0, len(owner), 50_000):
+                    part = slice(a, a + 50_000)
+                    yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(owner[part])), pa.array(tag[part]), pa.array(kmer[part])], names=[key, "tag", "kmer"])
+
+    return run
+
+
+def _regions(k: int, threshold: int, key: str, chunk: int):
+    """(key, first, last, edge): runs of free windows by their starts; those inside a chunk only if they are long enough."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            owner, starts, ends = [], [], []
-            for i, (text, circular, hits) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("text", "circular", "hits")))):
-                keys, both = canonical_kmers(_extended(text, circular, k), k)
-                if not len(keys):
-                    continue
+            owner, firsts, lasts, edges = [], [], [], []
+            tags, lists = batch.column("tag").to_numpy(), batch.column("hits")
+            ends, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+            for i, text in enumerate(batch.column("text").to_pylist()):
+                keys, both = canonical_kmers(text.encode("ascii"), k)
                 free = own_weight(keys, both) == 1
-                if hits:
-                    free &= ~np.isin(keys, np.array(hits, dtype=np.int64))
-                edge = np.diff(np.concatenate(([0], free.view(np.int8), [0])))
-                start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1 + k
-                long = end - start >= threshold
-                owner += [i] * int(long.sum())
-                starts += start[long].tolist()
-                ends += end[long].tolist()
-            ids = batch.column(key).take(pa.array(owner, type=pa.int64()))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(starts, type=pa.int64()), pa.array(ends, type=pa.int64())], names=[key, "start", "end"])
+                if ends[i + 1] > ends[i]:
+                    free &= ~np.isin(keys, values[ends[i] : ends[i + 1]])
+                turn = np.diff(np.concatenate(([0], free.view(np.int8), [0])))
+                first, last = np.flatnonzero(turn == 1), np.flatnonzero(turn == -1) - 1
+                edge = np.zeros(len(first), dtype=bool)
+                if tags[i] % 2:
+                    edge = ((first == 0) & (tags[i] > 1)) | (last == chunk - 1)
+                kept = edge | (last - first + k >= threshold)
+                owner.append(np.full(int(kept.sum()), i)), edges.append(edge[kept])
+                firsts.append(first[kept] + tags[i] // 2 * chunk), lasts.append(last[kept] + tags[i] // 2 * chunk)
+            if owner:
+                at, first, last, edge = (np.concatenate(x) for x in (owner, firsts, lasts, edges))
+                yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(at)), pa.array(first), pa.array(last), pa.array(edge)], names=[key, "first", "last", "edge"])
 
     return run
 

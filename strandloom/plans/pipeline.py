@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.operators import fragments as fr
@@ -35,10 +35,10 @@ def annotate_with_index(queries: DataFrame, index: DataFrame, k: int, threshold:
 
 
 def file_process_homology(spark: SparkSession, query: str | list[str], background: str | list[str] | None, output: str, k: int = 20, threshold: int = 60) -> DataFrame:
-    """Files to file; returns the annotated records. The output's suffix chooses GenBank or FASTA."""
+    """Files to one file, in order of the given files; returns the annotated records. The output's suffix chooses GenBank or FASTA."""
     known = sf.read_sequences(spark, background) if background else None
     out = annotate_homology(sf.read_sequences(spark, query), known, k, threshold)
-    writers.write_records(out, output)
+    writers.write_records(out, output, one_file=True)
     return out
 
 
@@ -80,8 +80,8 @@ def fragment_from_file(spark: SparkSession, path: str, output_gb: str, output_fa
     if homology_free_ranges(record).isEmpty():
         raise RuntimeError("no homology-free regions found in the input's annotation")
     out = fragment_records(record, config)
-    writers.write_records(out.records, output_gb, files=1)
-    writers.write_fragments(out.fragments, output_fasta, files=1)
+    writers.write_records(out.records, output_gb, one_file=True)
+    writers.write_fragments(out.fragments, output_fasta, one_file=True)
     return out
 
 
@@ -106,3 +106,12 @@ def process_and_fragment(queries: DataFrame, background: DataFrame | None, confi
         "rec_id", "seq_id", F.coalesce("status", F.lit("no sequence")).alias("status"), F.coalesce("regions", F.lit(0)).alias("regions"), F.coalesce("fragments", F.lit(0)).alias("fragments"),
         F.base64(F.encode(writers.genbank_text(done.records), "UTF-8")).alias("genbank"), F.base64(F.encode(F.coalesce("_fasta", F.lit("")), "UTF-8")).alias("fasta"),
     )
+
+
+def as_json() -> Column:
+    """A row of ``process_and_fragment`` as the answer a server would send."""
+    message = F.when(F.col("status").isin("ok", "repaired"), "Processing complete!").otherwise(F.concat(F.lit("No fragments: "), "status"))
+    return F.to_json(F.struct(
+        F.when(F.col("status").isin("ok", "repaired"), "success").otherwise("error").alias("status"), F.col("genbank").alias("annotated_file"), F.lit("annotated_sequences.gb").alias("annotated_filename"),
+        F.col("fasta").alias("fragments_file"), F.lit("fragments.fasta").alias("fragments_filename"), message.alias("message"),
+    ))

@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from strandloom.functions.letters import IUPAC, IUPAC_COMPLEMENT, is_circular, letters, reverse_complement
 from strandloom.operators import fragments as fr
 from strandloom.operators import graph, intervals, kmers, overlaps, regions
+from strandloom.operators.overlaps import FragmentConfig
+from strandloom.plans import pipeline
 from strandloom.session import cut_lineage, read_table, shared_folder
 from strandloom.sources import manifest as mf
 from strandloom.sources import sequence_files as sf
 from strandloom.sources import writers
 
-K, THRESHOLD, EVEN_K = 15, 60, 12
+K, THRESHOLD, EVEN_K, LONG_K, OVERLAP = 15, 60, 12, 40, 30
 
 
 def _sequences(spark: SparkSession, sf_dir: str, role: str | None = None) -> DataFrame:
@@ -105,7 +107,7 @@ def feature_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def probes_by_background(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Probes of known backgrounds, with the k-mer size each background asks for."""
-    known = read_table(spark, sf_dir, "manifest").dropDuplicates(["id"])
+    known = mf.first_of_each(read_table(spark, sf_dir, "manifest"))
     rows = read_table(spark, sf_dir, "probes").join(known, F.col("background_id") == F.col("id"))
     return rows.groupBy("background_id").agg(F.count("*").alias("probes"), F.max("kmer_size").alias("k"))
 
@@ -165,6 +167,102 @@ def fragment_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fr.fragment_records(fragments(spark, sf_dir), texts)
 
 
+def _connected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tilings(spark, sf_dir).where("status = 'ok' and components = 1")
+
+
+def connected_tilings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cost and number of fragments of the jobs whose overlap graph needs no repair."""
+    return _connected(spark, sf_dir).select("rec_id", "config_id", "cost", F.size("steps").cast("long").alias("n_fragments"))
+
+
+def connected_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = _sequences(spark, sf_dir).where("seq is not null").select("rec_id", "seq_id", letters(F.col("seq")).alias("text"))
+    out = fr.fragment_records(fr.fragments(_connected(spark, sf_dir)), texts)
+    return out.withColumn("digest", F.md5("sequence")).withColumn("idx", F.col("idx").cast("long")).drop("sequence")
+
+
+def fragment_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records with the fragments of all their jobs without repair as features."""
+    out = fr.annotate_fragments(_sequences(spark, sf_dir), fr.fragments(_connected(spark, sf_dir)))
+    last = F.try_element_at("features", F.lit(-1))
+    return out.select("rec_id", F.size("features").cast("long").alias("n_features"), last["type"].alias("last_type"), last["end"].alias("last_end"))
+
+
+def jobs_by_config(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct jobs of every usable configuration."""
+    rows = overlaps.jobs(read_table(spark, sf_dir, "requests"), read_table(spark, sf_dir, "config"))
+    return rows.groupBy("config_id").agg(F.count("*").alias("jobs"), F.count("motif").alias("with_motif"))
+
+
+def stored_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries written to one FASTA file and all else to one GenBank file, both read again in the given order."""
+    folder = shared_folder(spark, "files")
+    rows = _sequences(spark, sf_dir).where("seq is not null").withColumn("seq", letters(F.col("seq"))).withColumn("seq_id", F.concat(F.lit("r"), F.col("rec_id").cast("string")))
+    paths = [f"{folder}/records.gb", f"{folder}/queries.fa"]
+    writers.write_records(rows.where("role <=> 'query'"), paths[1], ["rec_id"], one_file=True)
+    writers.write_records(rows.where("not role <=> 'query'"), paths[0], ["rec_id"], one_file=True)
+    back = sf.read_sequences(spark, paths)
+    return back.select(F.col("file_no").cast("long").alias("file_no"), "ord", F.expr("cast(substring(seq_id, 2) as bigint)").alias("rec_id"), "length", F.md5("seq").alias("digest"))
+
+
+def uploaded_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each record as an upload of its own: FASTA, GenBank by suffix, and FASTA without one."""
+    rows = _sequences(spark, sf_dir).where("seq is not null").withColumn("seq", letters(F.col("seq"))).withColumn("seq_id", F.concat(F.lit("r"), F.col("rec_id").cast("string")))
+    fasta = writers.fasta_text(F.col("seq_id"), F.col("description"), F.col("seq"))
+    kind = F.col("rec_id") % 3
+    name = F.concat("seq_id", F.when(kind == 0, ".fa").when(kind == 1, ".GB").otherwise(""))
+    back = sf.from_texts(rows.select(name.alias("source_path"), F.when(kind == 1, writers.genbank_text(rows)).otherwise(fasta).alias("text")))
+    return back.select("source_path", "ord", "seq_id", "length", F.md5("seq").alias("digest"))
+
+
+def first_of_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sf.first_records(_sequences(spark, sf_dir)).select("source_path", "ord", "rec_id")
+
+
+def known_backgrounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest as a CSV file, its named backgrounds chosen and shown."""
+    path = shared_folder(spark, "manifest")
+    table = read_table(spark, sf_dir, "manifest").select(*(f.split()[0] for f in mf.MANIFEST.split(", ")))
+    table.write.csv(path, header=True)
+    ids = table.where("id is not null").groupBy().agg(F.array_join(F.sort_array(F.collect_set("id")), ",")).first()[0]  # as a user would type them; the list of backgrounds is short
+    return mf.display(mf.chosen(mf.read_manifest(spark, path), f"{ids},unknown"))
+
+
+def background_indexes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """k-mer sets stored by role, and those of the manifest's shape that are there."""
+    path = shared_folder(spark, "indexes")
+    for role in ("query", "background"):
+        kmers.save_index(kmers.background_set(_sequences(spark, sf_dir, role), K), path, role, K)
+    listed = spark.createDataFrame([("a", "x", "f", K, i) for i in ("query", "background", "missing")], mf.MANIFEST)
+    there = mf.available(listed, path).select("id", "kmer_size")
+    stored = spark.read.schema("kmer long, background_id string, k int").parquet(path).groupBy("background_id").agg(F.count("*").alias("kmers"))
+    return there.join(stored, there["id"] == stored["background_id"]).select("background_id", "kmer_size", "kmers")
+
+
+def merged_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """k-mers on both strands of two sets merged."""
+    sets = [kmers.background_set(_sequences(spark, sf_dir, role), EVEN_K) for role in ("query", "background")]
+    return kmers.both_strands(kmers.merge_sets(sets), EVEN_K)
+
+
+def long_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct k-mers of each record for a k beyond 31."""
+    rows = kmers.record_kmers(_sequences(spark, sf_dir), LONG_K)
+    return rows.groupBy("rec_id").agg(F.count("*").alias("kmers"), F.sum("times").alias("occurrences"), F.count_if(F.col("times") >= 2).alias("repeated"))
+
+
+def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Annotate and fragment every query record in one go, and read the answer's texts again."""
+    rows = _sequences(spark, sf_dir).withColumn("seq", letters(F.col("seq")))
+    out = pipeline.process_and_fragment(rows.where("role = 'query'"), rows.where("role = 'background'"), FragmentConfig(200, 3000, OVERLAP, 60), K)
+    answer = F.from_json(pipeline.as_json(), "status string, annotated_file string, fragments_file string")
+    text = lambda name: F.decode(F.unbase64(F.col(f"a.{name}")), "UTF-8")
+    out = out.select("rec_id", F.col("regions").cast("long").alias("regions"), "fragments", answer.alias("a"))
+    marked = F.regexp_count(text("annotated_file"), F.lit('/label="homology_free"'))
+    return out.select("rec_id", "regions", (marked >= F.col("regions")).alias("marked"), (F.regexp_count(text("fragments_file"), F.lit("(?m)^>")) == F.col("fragments")).alias("complete"))
+
+
 def fasta_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records written as FASTA text and read again."""
     rows = _sequences(spark, sf_dir).where("seq is not null")
@@ -189,7 +287,8 @@ QUERIES = {
     for f in (
         p2_found, seq_catalog, revcomp, kmer_counts, circular_kmers, background_kmers, repeated_kmers, anti_background, region_runs, homology_free_regions, indexed_regions,
         numbered_regions, annotated_records, feature_regions, probes_by_background, free_overlaps, motif_overlaps, candidate_list, overlap_edges, components, gap_region_clip,
-        tilings, fragments, fragment_records, fasta_round_trip, genbank_round_trip,
+        tilings, fragments, fragment_records, connected_tilings, connected_fragments, fragment_features, jobs_by_config, stored_files, uploaded_texts, first_of_files,
+        known_backgrounds, background_indexes, merged_sets, long_kmers, payloads, fasta_round_trip, genbank_round_trip,
     )
 }
 
@@ -212,14 +311,20 @@ _FREE = _windows(K) + """,
 o as (select *, sum(n) over (partition by rec_id, c) times from z where role = 'query'),
 f as (select rec_id, pos from o where times = 1 and c not in (select c from z where role = 'background'))
 """
-_REGIONS = _FREE + f""",
+
+
+def _regions(threshold: int) -> str:
+    return _FREE + f""",
 g as (select *, pos - row_number() over (partition by rec_id order by pos) grp from f),
-h as (select rec_id, min(pos) "start", max(pos) + {K} "end" from g group by rec_id, grp having max(pos) + {K} - min(pos) >= {THRESHOLD})
+h as (select rec_id, min(pos) "start", max(pos) + {K} "end" from g group by rec_id, grp having max(pos) + {K} - min(pos) >= {threshold})
 """
+
+
+_REGIONS = _regions(THRESHOLD)
 _WORK = f"""
-with w as (select distinct r.rec_id, r.config_id, min_size, max_size, min_overlap, max_overlap, nullif(upper(motif), '') motif, min_step
+with recursive w as (select distinct r.rec_id, r.config_id, min_size, max_size, min_overlap, max_overlap, nullif(upper(motif), '') motif, min_step
            from requests r join config c using (config_id)
-           where r.rec_id is not null and min_size <= max_size and min_overlap <= max_overlap and min_overlap >= 0 and min_step >= 1 and max_size - min_overlap >= 5),
+           where r.rec_id is not null and min_size <= max_size and min_overlap <= max_overlap and min_overlap >= 0 and min_step >= 1 and max_size >= 1),
 g as (select distinct rec_id, "start" s, "end" e from regions where rec_id is not null and "start" >= 0 and "end" > "start"),
 t as (select rec_id, {_LETTERS} t from sequences where seq is not null),
 fo as (select distinct rec_id, config_id, cast(p as bigint) "start", cast(p + min_overlap as bigint) "end"
@@ -237,6 +342,31 @@ al as (select rec_id, config_id, 0 kind, cast(0 as bigint) "start", cast(0 as bi
 ca as (select rec_id, config_id, "start", "end", row_number() over (partition by rec_id, config_id order by kind, "start", "end") - 1 ord from al)
 """
 
+# the overlap graph of each job: edges, nodes that have one or are sentinels, and their components
+_GRAPH = _WORK + """,
+ed as (select rec_id, config_id, u.ord a, v.ord b from ca u join ca v using (rec_id, config_id) join w using (rec_id, config_id)
+       where v.ord > u.ord and v."end" - u."start" between min_size and max_size),
+ls as (select rec_id, config_id, max(ord) z from ca group by all),
+nd as (select rec_id, config_id, a ord from ed union select rec_id, config_id, b from ed union select rec_id, config_id, 0 from ls union select rec_id, config_id, z from ls),
+bi as (select rec_id, config_id, a, b from ed union all select rec_id, config_id, b, a from ed),
+re as (select rec_id, config_id, ord, ord root from nd union select r.rec_id, r.config_id, b, root from re r join bi on r.rec_id = bi.rec_id and r.config_id = bi.config_id and r.ord = a where root < b),
+co as (select rec_id, config_id, ord, min(root) component from re group by all)
+"""
+# the cheapest way through the graphs of one component: steps from the start, and of those that come in as few, the first
+_PATHS = _GRAPH + """,
+one as (select rec_id, config_id from co group by all having count(distinct component) = 1),
+fw as (select * from ed semi join one using (rec_id, config_id)),
+st as (select rec_id, config_id, cast(0 as bigint) ord, 0 d from one union select s.rec_id, s.config_id, b, d + 1 from st s join fw on s.rec_id = fw.rec_id and s.config_id = fw.config_id and s.ord = a),
+di as (select rec_id, config_id, ord, min(d) d from st group by all),
+pr as (select fw.rec_id, fw.config_id, a, b, dv.d from fw join di du on fw.rec_id = du.rec_id and fw.config_id = du.config_id and fw.a = du.ord
+       join di dv on fw.rec_id = dv.rec_id and fw.config_id = dv.config_id and fw.b = dv.ord join ca c on fw.rec_id = c.rec_id and fw.config_id = c.config_id and fw.a = c.ord
+       where du.d = dv.d - 1 qualify row_number() over (partition by fw.rec_id, fw.config_id, b order by c."start", a) = 1),
+wy as (select rec_id, config_id, a, b, pr.d from pr join ls using (rec_id, config_id) where b = z
+       union select pr.rec_id, pr.config_id, pr.a, pr.b, pr.d from wy join pr on wy.rec_id = pr.rec_id and wy.config_id = pr.config_id and wy.a = pr.b),
+fg as (select rec_id, config_id, cast(d as bigint) idx, u."start" frag_start, v."end" frag_end, v."start" overlap_start, v."end" overlap_end, 'all' constraints
+       from wy join ca u using (rec_id, config_id) join ca v using (rec_id, config_id) where u.ord = a and v.ord = b)
+"""
+
 ORACLES = {
     "p2_found": """
 with e as (select rec_id, unnest(features) f from sequences),
@@ -252,8 +382,8 @@ union all select rec_id, 'gap', t, nx from q where nx is not null
     "revcomp": f"select rec_id, md5({_RC.format(_LETTERS)}) digest from sequences where seq is not null",
     "kmer_counts": _windows(EVEN_K) + ", d as (select rec_id, c, sum(n) times from z group by rec_id, c) select rec_id, count(*) kmers, cast(sum(times) as bigint) occurrences, count(*) filter (times >= 2) repeated from d group by rec_id",
     "circular_kmers": _windows(K) + "select rec_id, count(*) windows, max(pos) last_pos from z where circular group by rec_id",
-    "background_kmers": _windows(K) + "select distinct c kmer from z where role = 'background' and not regexp_matches(c, '[^ACGT]')",
-    "repeated_kmers": _windows(EVEN_K) + "select rec_id, c kmer, cast(sum(n) as bigint) times from z where not regexp_matches(c, '[^ACGT]') group by rec_id, c having sum(n) >= 2",
+    "background_kmers": _windows(K) + "select distinct c kmer from z where role = 'background'",
+    "repeated_kmers": _windows(EVEN_K) + "select rec_id, c kmer, cast(sum(n) as bigint) times from z group by rec_id, c having sum(n) >= 2",
     "anti_background": _FREE + "select rec_id, count(*) free_positions from f group by rec_id",
     "region_runs": _REGIONS + 'select rec_id, "start", "end" from h',
     "homology_free_regions": _REGIONS + 'select rec_id, "start", "end" from h',
@@ -267,12 +397,40 @@ with e as (select rec_id, unnest(features) f from sequences)
 select rec_id, row_number() over (partition by rec_id order by f."start" nulls first, f."end" nulls first) - 1 n, f."start" as "start", f."end" as "end"
 from e where f.type = 'misc_feature' and element_at(f.qualifiers, 'label')[1] = ['homology_free']
 """,
-    "probes_by_background": "select background_id, count(*) probes, max(kmer_size) k from probes join (select distinct on (id) * from manifest) m on background_id = m.id group by background_id",
+    "probes_by_background": "select background_id, count(*) probes, max(kmer_size) k from probes join (select id, kmer_size, row_number() over (partition by id order by species nulls first, assembly nulls first, file_name nulls first, kmer_size nulls first) no from manifest where id is not null qualify no = 1) m on background_id = m.id group by background_id",
     "free_overlaps": _WORK + "select * from fo",
     "motif_overlaps": _WORK + "select * from mo",
     "candidate_list": _WORK + "select * from ca",
     "overlap_edges": _WORK + """select rec_id, config_id, u."start" u_start, u."end" u_end, v."start" v_start, v."end" v_end, cast(1 as bigint) weight, 'all' constraints
 from ca u join ca v using (rec_id, config_id) join w using (rec_id, config_id) where v.ord > u.ord and v."end" - u."start" between min_size and max_size""",
+    "components": _GRAPH + "select rec_id, config_id, count(distinct component) components, count(*) nodes from co group by all",
+    "gap_region_clip": _GRAPH + """,
+la as (select *, row_number() over (partition by rec_id, config_id, component order by "end" desc, ord) x, row_number() over (partition by rec_id, config_id, component order by "start", ord) y
+       from co join ca using (rec_id, config_id, ord)),
+gr as (select rec_id, config_id, component, max("start") filter (x = 1) ls, max("start") filter (y = 1) fs, max(ord) filter (y = 1) fo, max("end") filter (y = 1) fe from la group by all),
+gp as (select *, lead(fe) over q ne, row_number() over q gap_no from gr window q as (partition by rec_id, config_id order by fs, fo)),
+gs as (select rec_id, config_id, gap_no, greatest(ls - min_size, 0) a, least(ne + min_size, n) b from gp join w using (rec_id, config_id) join l using (rec_id, config_id) where ne is not null)
+select rec_id, config_id, cast(gap_no as int) gap_no, greatest(s, a) clip_start, least(e, b) clip_end from gs join g using (rec_id) where s < b and e > a""",
+    "connected_tilings": _PATHS + """select rec_id, config_id, cast(count(*) as bigint) "cost", count(*) n_fragments from fg group by all
+union all select rec_id, config_id, 0, 0 from l where n = 0""",
+    "connected_fragments": _PATHS + f"""select fg.*, coalesce(seq_id, 'null') || '_fragment_' || idx fragment_id,
+'Fragment ' || idx || ': ' || frag_start || '-' || frag_end || ', overlap: ' || overlap_start || '-' || overlap_end || ', constraints: ' || constraints description,
+md5(substr({_LETTERS}, cast(frag_start as bigint) + 1, cast(frag_end - frag_start as bigint))) digest from fg join sequences using (rec_id)""",
+    "fragment_features": _PATHS + """, q as (select rec_id, count(*) k, arg_max(frag_end, (idx, frag_start, frag_end, overlap_start)) e from fg group by rec_id)
+select rec_id, coalesce(len(features), 0) + coalesce(k, 0) n_features, case when k > 0 then 'fragment' else features[-1].type end last_type,
+       case when k > 0 then e else features[-1]."end" end last_end from sequences left join q using (rec_id)""",
+    "jobs_by_config": _WORK + "select config_id, count(*) jobs, count(motif) with_motif from w group by config_id",
+    "stored_files": f"""select cast(coalesce(role = 'query', false) as bigint) file_no, row_number() over (partition by coalesce(role = 'query', false) order by rec_id) - 1 ord,
+rec_id, length({_LETTERS}) length, md5({_LETTERS}) digest from sequences where seq is not null""",
+    "uploaded_texts": f"""select 'r' || rec_id || case rec_id % 3 when 0 then '.fa' when 1 then '.GB' else '' end source_path, cast(0 as bigint) ord, 'r' || rec_id seq_id,
+length({_LETTERS}) length, md5({_LETTERS}) digest from sequences where seq is not null""",
+    "first_of_files": "select source_path, ord, rec_id from sequences where (source_path, ord) in (select (source_path, min(ord)) from sequences group by source_path)",
+    "known_backgrounds": """select id, concat_ws(' ', species, assembly) label, kmer_size from manifest where id is not null
+qualify row_number() over (partition by id order by species nulls first, assembly nulls first, file_name nulls first, kmer_size nulls first) = 1""",
+    "background_indexes": _windows(K) + f"select role background_id, cast({K} as int) kmer_size, count(distinct c) kmers from z where role in ('query', 'background') group by role",
+    "merged_sets": _windows(EVEN_K) + ", b as (select w k from y where role in ('query', 'background') union select r from y where role in ('query', 'background')) select count(*) kmers from b",
+    "long_kmers": _windows(LONG_K) + ", d as (select rec_id, c, sum(n) times from z group by rec_id, c) select rec_id, count(*) kmers, cast(sum(times) as bigint) occurrences, count(*) filter (times >= 2) repeated from d group by rec_id",
+    "payloads": _regions(OVERLAP) + "select s.rec_id, count(h.rec_id) regions, true marked, true complete from sequences s left join h using (rec_id) where role = 'query' group by s.rec_id",
     "fasta_round_trip": f"select rec_id, length({_LETTERS}) length, md5({_LETTERS}) digest from sequences where seq is not null",
     "genbank_round_trip": f"""
 with e as (select rec_id, unnest(features) f from sequences), c as (select rec_id, count(*) n, sum(f."start" * 3 + f."end") p,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import re
 import tempfile
 import uuid
 
@@ -26,13 +28,11 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, app: str = "stran
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the cluster's checkpoint folder and read it from there.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is
-    unset (local tests) a temporary folder is used.
+    The folder is the one ``common_folder`` names.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = sc.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="strandloom-checkpoint-"))
+        sc.setCheckpointDir(common_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
@@ -40,7 +40,30 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path below the cluster's checkpoint folder, for tables that executors share."""
+def common_folder(spark: SparkSession) -> str:
+    """The folder all executors share: the session's ``spark.checkpoint.dir``.
+
+    Where that is unset, a session on one machine gets a temporary folder; a
+    cluster has none that would do, and is refused.
+    """
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    return f"{folder or tempfile.mkdtemp(prefix='strandloom-')}/{name}-{uuid.uuid4().hex}"
+    if folder:
+        return folder
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="strandloom-")
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path below the common folder, for tables and files that executors share; removed when the driver ends."""
+    path = f"{common_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    except Exception:  # the session has ended before; the cluster clears its folder itself
+        pass

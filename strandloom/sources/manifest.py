@@ -12,10 +12,17 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(MANIFEST).csv(path, header=True)
 
 
+def first_of_each(manifest: DataFrame) -> DataFrame:
+    """One row per id: of an id listed twice the first row in order of its values, nulls first. Rows without an id are left out."""
+    fields = ["species", "assembly", "file_name", "kmer_size"]
+    rows = manifest.where("id is not null").groupBy("id").agg(F.min(F.struct(*fields)).alias("m"))
+    return rows.select(*(F.col(f"m.{f}").alias(f) for f in fields), "id")
+
+
 def chosen(manifest: DataFrame, ids: str) -> DataFrame:
     """The manifest rows named in a comma-separated list; unknown ids are ignored, repeated rows count once."""
     wanted = manifest.sparkSession.createDataFrame([(i.strip(),) for i in ids.split(",") if i.strip()], "id string")
-    return manifest.join(wanted.distinct(), "id", "left_semi").dropDuplicates(["id"])
+    return first_of_each(manifest.join(wanted.distinct(), "id", "left_semi"))
 
 
 def kmer_size(selected: DataFrame, default: int = 15) -> int:
@@ -28,10 +35,10 @@ def kmer_size(selected: DataFrame, default: int = 15) -> int:
 
 def display(manifest: DataFrame) -> DataFrame:
     """What a front page lists: one line per background."""
-    return manifest.dropDuplicates(["id"]).select("id", F.concat_ws(" ", "species", "assembly").alias("label"), "kmer_size")
+    return first_of_each(manifest).select("id", F.concat_ws(" ", "species", "assembly").alias("label"), "kmer_size")
 
 
 def available(manifest: DataFrame, index_path: str) -> DataFrame:
     """The manifest rows whose k-mer set is in the index store; the others are skipped without a word."""
     stored = manifest.sparkSession.read.schema("kmer long, background_id string, k int").parquet(index_path)
-    return manifest.join(stored.select(F.col("background_id").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id"])
+    return first_of_each(manifest.join(stored.select(F.col("background_id").alias("id")).distinct(), "id", "left_semi"))

@@ -32,39 +32,53 @@ def format_of(path: str, default: str | None = None) -> str:
     return default
 
 
-def _check_there(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
+def _files(spark: SparkSession, path: str) -> list[str]:
+    """The files a given path or pattern names, in order."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     found = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(place)
     if not found:
         raise FileNotFoundError(path)
+    return [f.getPath().toUri().getPath() for f in found]
 
 
 def read_sequences(spark: SparkSession, paths: str | list[str], fasta_case: str = "preserve") -> DataFrame:
-    """Records of one file or several, in order of the given files and of their place in each (``ord`` from 0 per file).
+    """Records of one file or several, with ``file_no`` (place among the given files, from 0) and ``ord`` (place in its file, from 0).
 
     Suffixes are checked before anything is opened, then that the files are
     there. GenBank sequences are upper-cased; FASTA ones are kept unless
-    ``fasta_case='upper'``. A file without records gives no row.
+    ``fasta_case='upper'``. A file without records gives no row; one given
+    twice is read once, at its first place.
+
+    A file is read by as many tasks as it has splits. Records are numbered
+    from the counts of the splits before theirs, so no letters are moved.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     kinds = [format_of(p) for p in paths]
-    for p in paths:
-        _check_there(spark, p)
-    out = spark.createDataFrame([], RECORDS)
+    named = [(f, n) for n, f in enumerate(dict.fromkeys(f for p in paths for f in _files(spark, p)))]
+    order = spark.createDataFrame(named, "_file string, file_no int")
+    out = spark.createDataFrame([], f"{RECORDS}, file_no int")
     for kind in ("fasta", "genbank"):
-        own = [p for p, k in zip(paths, kinds) if k == kind]
+        own = list(dict.fromkeys(p for p, k in zip(paths, kinds) if k == kind))
         if own:
             blocks = spark.read.option("lineSep", "\n>" if kind == "fasta" else "\n//").text(own)
-            blocks = blocks.select(
-                F.col("_metadata.file_path").alias("source_path"), F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_n"), F.col("value").alias("block")
-            ).where(F.trim(F.regexp_replace("block", r"\s", "")) != "")
-            order = Window.partitionBy("source_path").orderBy("_at", "_n")
-            blocks = blocks.withColumn("ord", (F.row_number().over(order) - 1).cast("long"))
-            out = out.unionByName(parse(blocks, kind, fasta_case))
+            blocks = blocks.select(F.col("_metadata.file_path").alias("source_path"), F.col("_metadata.file_block_start").alias("_at"), F.col("value").alias("block"))
+            out = out.unionByName(parse(_numbered(blocks.where(F.trim(F.regexp_replace("block", r"\s", "")) != "")), kind, fasta_case).join(order, F.expr("url_decode(regexp_replace(replace(source_path, '+', '%2B'), '^[a-z0-9]+:(//[^/]*)?', '')) = _file")).drop("_file"))
     return out
 
 
+def _numbered(blocks: DataFrame) -> DataFrame:
+    """Blocks with ``ord``: their place in their file, from the number of blocks in the splits before and the place in the split.
+
+    The ids of a task's rows rise by one; a split is read by one task in order.
+    """
+    rows = blocks.withColumn("_n", F.monotonically_increasing_id())
+    splits = rows.groupBy("source_path", "_at").agg(F.min("_n").alias("_first"), F.count("*").alias("_rows"))
+    before = Window.partitionBy("source_path").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select(F.col("source_path").alias("_path"), F.col("_at").alias("_split"), (F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_first")).alias("_base"))
+    rows = rows.join(splits, (F.col("source_path") == F.col("_path")) & (F.col("_at") == F.col("_split")))
+    return rows.select("source_path", (F.col("_base") + F.col("_n")).cast("long").alias("ord"), "block")
+
+
 def read_one(spark: SparkSession, path: str) -> DataFrame:
     """The record of a GenBank file that holds exactly one."""
     if format_of(path) != "genbank":
@@ -93,7 +107,9 @@ def from_texts(texts: DataFrame, default: str = "fasta", fasta_case: str = "pres
 
 
 def pasted(spark: SparkSession, text: str) -> DataFrame:
-    """A pasted sequence as the only record of a FASTA text."""
+    """A pasted sequence as the only record of a FASTA text; an empty one is refused."""
+    if not text.strip():
+        raise ValueError("a sequence is needed")
     if not re.fullmatch(r"[ATCGatcg\s]*", text):
         raise ValueError("only the letters A, T, C and G are allowed")
     return from_texts(spark.createDataFrame([("pasted.fa", ">User_Sequence\n" + text)], "source_path string, text string"))
@@ -147,7 +163,7 @@ def _genbank(blocks: DataFrame) -> DataFrame:
 
 def _split_entry(entry: Column) -> Column:
     parts = F.split(entry, r"\n {10,}/(?=[A-Za-z_])")
-    return F.struct(F.trim(F.element_at(parts, 1)).alias("head"), F.slice(parts, 2, 100_000).alias("marks"))
+    return F.struct(F.trim(F.element_at(parts, 1)).alias("head"), F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))).alias("marks"))
 
 
 def _named(entry: Column) -> Column:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 INDENT = " " * 21
@@ -53,21 +55,44 @@ def genbank_text(records: DataFrame) -> Column:
     )
 
 
-def write_text(df: DataFrame, text: Column, path: str, order: list[str], files: int | None = None) -> None:
-    """Write one text per row, in order. The files' names sort in the same order; ``files=1`` makes it a single file."""
-    rows = df.select(text.alias("value"), *order)
-    rows = rows.repartitionByRange(files, *order) if files else rows.repartitionByRange(*order)
-    rows.sortWithinPartitions(*order).select("value").write.mode("overwrite").text(path)
-
+def write_text(df: DataFrame, text: Column, path: str, order: list[str], one_file: bool = False) -> None:
+    """Write one text per row, in order: as a folder of files whose names sort in the same order, or joined to one file.
 
-def write_records(records: DataFrame, path: str, order: list[str] | None = None, files: int | None = None) -> None:
+    The one file is put together by copying the sorted parts one after another,
+    as a stream; no task or process holds more than a copy's buffer.
+    """
+    rows = df.select(text.alias("value"), *order)
+    folder = f"{path}.parts-{uuid.uuid4().hex}" if one_file else path
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).select("value").write.mode("overwrite").text(folder)
+    if one_file:
+        _join_parts(df.sparkSession, folder, path)
+
+
+def _join_parts(spark: SparkSession, folder: str, path: str) -> None:
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    source, target = jvm.org.apache.hadoop.fs.Path(folder), jvm.org.apache.hadoop.fs.Path(path)
+    files = source.getFileSystem(conf)
+    parts = sorted((f.getPath() for f in files.listStatus(source) if f.getPath().getName().startswith("part-")), key=lambda p: p.getName())
+    out = target.getFileSystem(conf).create(target, True)
+    try:
+        for part in parts:
+            stream = files.open(part)
+            jvm.org.apache.hadoop.io.IOUtils.copyBytes(stream, out, 1 << 20, False)
+            stream.close()
+    finally:
+        out.close()
+    files.delete(source, True)
+
+
+def write_records(records: DataFrame, path: str, order: list[str] | None = None, one_file: bool = False) -> None:
     """GenBank if the path ends in a GenBank suffix, else FASTA, where features are lost."""
     if path.lower().endswith((".gb", ".gbk", ".genbank")):
         text = genbank_text(records)
     else:
         text = fasta_text(F.col("seq_id"), F.col("description"), F.col("seq"))
-    write_text(records, text, path, order or ["source_path", "ord"], files)
+    known = ["file_no", "ord"] if "file_no" in records.columns else ["source_path", "ord"]
+    write_text(records, text, path, order or known, one_file)
 
 
-def write_fragments(frags: DataFrame, path: str, files: int | None = None) -> None:
-    write_text(frags, fasta_text(F.col("fragment_id"), F.col("description"), F.col("sequence")), path, ["rec_id", "config_id", "idx"], files)
+def write_fragments(frags: DataFrame, path: str, one_file: bool = False) -> None:
+    write_text(frags, fasta_text(F.col("fragment_id"), F.col("description"), F.col("sequence")), path, ["rec_id", "config_id", "idx"], one_file)

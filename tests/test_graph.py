@@ -231,7 +231,7 @@ def test_gaps(spark):
 
 
 def test_config_is_checked():
-    for bad in ((500, 100, 20, 50), (100, 500, 50, 20), (100, 500, 20, 50, None, 0), (1, 20, 18, 19)):
+    for bad in ((500, 100, 20, 50), (100, 500, 50, 20), (100, 500, 20, 50, None, 0)):
         with pytest.raises(ValueError):
             FragmentConfig(*bad)
 
@@ -240,3 +240,26 @@ def test_jobs_skip_unusable_rows(spark):
     config = spark.createDataFrame([(1, 10, 50, 5, 9, "", 5), (2, 50, 10, 5, 9, None, 5), (3, 10, 50, 5, 9, "gc", 0), (4, None, 50, 5, 9, "gc", 1), (5, 10, 50, 5, 9, "gc", 1)], CONFIG_SCHEMA)
     requests = spark.createDataFrame([(1, c) for c in (1, 1, 2, 3, 4, 5, 9, None)] + [(None, 1)], "rec_id long, config_id int")
     assert sorted((r["rec_id"], r["config_id"], r["motif"]) for r in overlaps.jobs(requests, config).collect()) == [(1, 1, None), (1, 5, "GC")]
+
+
+def test_a_small_spread_fails_only_where_free_overlaps_are_needed(spark):
+    config = FragmentConfig(20, 40, 36, 40, None, 5)
+    assert overlaps.jobs(spark.createDataFrame([(1, 0)], "rec_id long, config_id int"), spark.createDataFrame([config.row()], overlaps.CONFIG_SCHEMA)).count() == 1
+    job = {"min_size": 20, "max_size": 40, "min_overlap": 36, "max_overlap": 40, "motif": None, "min_step": 5}
+    assert graph.tile([(0, 0), (0, 36), (30, 30)], [], job)[0] == "ok"
+    assert graph.tile([(0, 0), (500, 500)], [], job) == ("infeasible", 2, [])
+
+
+def test_configurations_and_backgrounds_listed_twice(spark):
+    config = spark.createDataFrame([(1, 5, 50, 1, 2, "GC", 1), (1, 4, 60, 1, 2, None, 1), (1, 9, 3, 1, 2, None, 1)], overlaps.CONFIG_SCHEMA)
+    rows = overlaps.jobs(spark.createDataFrame([(7, 1), (7, 1), (None, 1)], "rec_id long, config_id int"), config).collect()
+    assert [tuple(r) for r in rows] == [(7, 1, 4, 60, 1, 2, None, 1)]
+
+
+def test_motifs_as_patterns(spark):
+    work = spark.createDataFrame([(1, 0, 5, 500, 3, 12, "G[AT]C", 1)], "rec_id long, config_id int, min_size int, max_size int, min_overlap int, max_overlap int, motif string, min_step int")
+    regions = spark.createDataFrame([(1, 2, 20)], "rec_id long, start long, end long")
+    texts = spark.createDataFrame([(1, "GACAGTCAAGACAAGGCTTGACGTC")], "rec_id long, text string")
+    hits = overlaps.motif_hits(work, regions, texts, patterns=True).collect()
+    assert sorted((r["pos"], r["width"]) for r in hits) == [(4, 6), (9, 6)]
+    assert overlaps.motif_hits(work, regions, texts).collect() == []

@@ -1,8 +1,11 @@
 import random
+import time
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
+from strandloom.functions.kmers import canonical_kmers, reverse_complement_bytes
 from strandloom.operators import kmers, regions
 from strandloom.plans import queries
 
@@ -106,7 +109,7 @@ def test_index_store(spark, tmp_path):
 
 
 def test_bad_k(spark):
-    for k in (0, 32):
+    for k in (0, -1):
         with pytest.raises(ValueError):
             kmers.kmer_windows(records(spark, (A, None)), k)
 
@@ -134,3 +137,68 @@ def test_queries_give_kmers_with_ambiguous_letters(spark, tmp_path):
     want = {(i, w, n) for i, s, t, _ in rows if s for c in [windows(s, t, queries.EVEN_K)] for w in set(c) for n in [c.count(w)] if n >= 2}
     assert any(set(w) - set("ACGT") for _, w, _ in want)
     assert sorted((r["rec_id"], r["kmer"], r["times"]) for r in queries.repeated_kmers(spark, str(tmp_path)).collect()) == sorted(want)
+
+
+def _free_runs(text, circular, background, k, threshold):
+    """Brute force on letters."""
+    flip = str.maketrans("ACGTacgtRYry", "TGCAtgcaYRyr")
+    rc = lambda w: w[::-1].translate(flip)
+    whole = text + text[: k - 1] if circular else text
+    windows = [whole[i : i + k] for i in range(len(whole) - k + 1)]
+    own = Counter()
+    for w in windows:
+        own[min(w, rc(w))] += 2 if w == rc(w) else 1
+    known = {min(b[i : i + k], rc(b[i : i + k])) for b in background for i in range(len(b) - k + 1)}
+    out, start = [], None
+    for i in range(len(windows) + 1):
+        free = i < len(windows) and own[min(windows[i], rc(windows[i]))] == 1 and min(windows[i], rc(windows[i])) not in known
+        if free and start is None:
+            start = i
+        if not free and start is not None:
+            if i - 1 + k - start >= threshold:
+                out.append((start, i - 1 + k))
+            start = None
+    return out
+
+
+@pytest.mark.parametrize("chunk", [7, 50, 1000])
+@pytest.mark.parametrize("k", [4, 9, 33])
+def test_regions_in_chunks_against_brute_force(spark, k, chunk):
+    rng = random.Random(k * 100 + chunk)
+    pool = ["".join(rng.choices("ACGT", k=70)) for _ in range(6)]
+    rows = []
+    for i in range(12):
+        text = "".join(rng.choice([rng.choice(pool), "".join(rng.choices("ACGTR", k=rng.randrange(5, 90))), "AT" * 12]) for _ in range(rng.randrange(1, 7)))
+        rows.append((i, text if i % 3 else text.lower(), "circular" if i % 4 == 0 else "linear"))
+    background = ["".join(rng.choices("ACGT", k=60)), pool[0][10:60], pool[1]]
+    known = kmers.background_set(spark.createDataFrame(list(enumerate(background)), "rec_id long, seq string"), k, fold=False)
+    df = spark.createDataFrame(rows, "rec_id long, seq string, topology string")
+    for bg, texts in ((known, background), (None, [])):
+        got = sorted(tuple(r) for r in regions.homology_free_regions(df, bg, k, k + 3, fold=False, chunk=chunk).collect())
+        want = sorted((i, a, b) for i, t, c in rows for a, b in _free_runs(t, c == "circular", texts, k, k + 3))
+        assert got == want
+
+
+def test_hashed_windows_are_strand_neutral_and_know_palindromes():
+    text = b"acgtNNACGTnacgtACGTNNACGT"
+    flipped = reverse_complement_bytes(text)
+    for k in (5, 40):
+        long = text * 4 if k == 40 else text
+        back = flipped * 4 if k == 40 else flipped
+        keys, both = canonical_kmers(long, k)
+        other, also = canonical_kmers(back, k)
+        assert keys.tolist() == other[::-1].tolist() and both.tolist() == also[::-1].tolist()
+        for i, key in enumerate(keys.tolist()):
+            w = long[i : i + k]
+            assert both[i] == (w == reverse_complement_bytes(w))
+            assert key >= 0 or (-1 - key) % 2 == both[i]
+
+
+def test_lower_case_is_no_slow_path():
+    text = bytes(random.Random(1).choices(b"ACGT", k=300_000))
+    began = time.perf_counter()
+    canonical_kmers(text, 20)
+    upper = time.perf_counter() - began
+    began = time.perf_counter()
+    canonical_kmers(text.lower(), 20)
+    assert time.perf_counter() - began < 10 * upper + 0.2

@@ -107,15 +107,15 @@ def test_uploads_by_suffix_or_default(spark):
 
 def test_round_trip_through_files(spark, files):
     rows = sf.read_sequences(spark, str(files / "a.GBK"))
-    writers.write_records(rows, str(files / "out.gb"), files=1)
+    writers.write_records(rows, str(files / "out.gb"), one_file=True)
     back = sf.parse(
         spark.read.option("lineSep", "\n//").text(str(files / "out.gb")).select(F.lit("x").alias("source_path"), F.monotonically_increasing_id().alias("ord"), F.col("value").alias("block")), "genbank"
     )
     keep = ["seq_id", "name", "description", "seq", "features"]
     want = [r.asDict(True) for r in rows.select(*keep).orderBy("seq_id").collect()]
     assert [r.asDict(True) for r in back.select(*keep).orderBy("seq_id").collect()] == want
-    writers.write_records(rows, str(files / "out.fa"), files=1)
-    text = "".join(p.read_text() for p in sorted((files / "out.fa").glob("part-*")))
+    writers.write_records(rows, str(files / "out.fa"), one_file=True)
+    text = (files / "out.fa").read_text()
     assert text == ">ACC1.2 First record goes on.\nATGCATGCAAGGCCTT\n>two\nATCGA\n"
 
 
@@ -141,12 +141,12 @@ def test_command_line(spark, tmp_path):
     out = str(tmp_path / "ann.gb")
     assert cli.main(["annotate-homology", str(tmp_path / "q.fa"), "-b", str(tmp_path / "b.fa"), "-k", "15", "-t", "40", "-o", out], spark) == 0
     one = tmp_path / "one.gb"
-    one.write_text("".join(p.read_text() for p in sorted((tmp_path / "ann.gb").glob("part-*"))))
+    one.write_text((tmp_path / "ann.gb").read_text())
     row = sf.read_one(spark, str(one)).first()
     assert row["seq_id"] == "q_annotated" and [(f["start"], f["end"]) for f in row["features"]] == [(0, 314), (406, 900)]
     args = ["fragment", str(one), "--min-size", "200", "--max-size", "400", "--min-overlap", "30", "--max-overlap", "60", "-o", str(tmp_path / "f.gb"), "-f", str(tmp_path / "f.fa")]
     assert cli.main(args, spark) == 0
-    fasta = "".join(p.read_text() for p in sorted((tmp_path / "f.fa").glob("part-*")))
+    fasta = (tmp_path / "f.fa").read_text()
     pieces = ["".join(x.split("\n")[1:]) for x in fasta.split(">")[1:]]
     assert len(pieces) >= 3 and all(200 <= len(p) <= 400 for p in pieces)
     whole = pieces[0]
@@ -173,3 +173,50 @@ def test_process_and_fragment(spark):
     assert base64.b64decode(row["fasta"]).decode().count(">") == row["fragments"]
     assert base64.b64decode(row["genbank"]).decode().count("     fragment ") == row["fragments"]
     assert out["none_annotated"]["status"] == "no sequence"
+
+
+def test_files_keep_the_given_order_and_their_splits_are_numbered_without_moving_them(spark, tmp_path):
+    for name, n in (("z", 30_000), ("a b+c", 20)):
+        (tmp_path / f"{name}.fa").write_text("".join(f">{name[0]}{i}\n{'ACGT' * 5}\n" for i in range(n)))
+    (tmp_path / "m.gb").write_text(GB)
+    paths = [str(tmp_path / f) for f in ("z.fa", "m.gb", "a b+c.fa")]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "50000")
+    try:
+        for given in (paths, paths[::-1]):
+            df = sf.read_sequences(spark, given)
+            rows = df.select("file_no", "ord", "seq_id").collect()
+            assert len({(r["file_no"], r["ord"]) for r in rows}) == len(rows) == 30_022
+            want = {"z": given.index(paths[0]), "A": given.index(paths[1]), "t": given.index(paths[1]), "a": given.index(paths[2])}
+            assert all(r["file_no"] == want[r["seq_id"][0]] for r in rows)
+            assert all(r["seq_id"] == f"z{r['ord']}" for r in rows if r["seq_id"][0] == "z")
+        writers.write_records(sf.read_sequences(spark, paths), str(tmp_path / "all.fa"), one_file=True)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    ids = [line[1:].split()[0] for line in (tmp_path / "all.fa").read_text().split("\n") if line.startswith(">")]
+    assert ids == [*(f"z{i}" for i in range(30_000)), "ACC1.2", "two", *(f"a{i}" for i in range(20))]
+
+
+def test_an_entry_with_many_qualifiers_keeps_them_all(spark):
+    marks = "\n".join(f'                     /note="n{i}"' for i in range(1000))
+    text = GB.replace('                     /label="other"', marks)
+    rows = sf.from_texts(spark.createDataFrame([("x.gb", text)], "source_path string, text string")).where("ord = 0").first()
+    assert rows["features"][2]["qualifiers"] == {"note": [f"n{i}" for i in range(1000)]}
+
+
+def test_an_empty_paste_is_refused(spark):
+    with pytest.raises(ValueError):
+        sf.pasted(spark, " \n")
+
+
+def test_a_cluster_without_a_common_folder_is_refused():
+    from types import SimpleNamespace
+
+    from strandloom.session import common_folder
+
+    def session(master, folder):
+        context = SimpleNamespace(master=master, getConf=lambda: SimpleNamespace(get=lambda k: folder))
+        return SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda k, d: d))
+
+    assert common_folder(session("spark://host:7077", "hdfs:///x")) == "hdfs:///x"
+    with pytest.raises(ValueError):
+        common_folder(session("local-cluster[2,1,1024]", None))
