@@ -22,6 +22,11 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.shared_spans(read_table(spark, sf_dir, "sequences"))
 
 
+def p3_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is to be removed so that every run of 50 letters is left in the first record that holds it only."""
+    return spans.shared_spans(read_table(spark, sf_dir, "sequences"), repeats=True).select("rec_id", F.col("span_start").alias("cut_start"), F.col("span_end").alias("cut_end"))
+
+
 def p3_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much of each record that has letters is found elsewhere; 0 where nothing is."""
     found = p3_found(spark, sf_dir).groupBy("rec_id").agg(F.count("*").alias("stretches"), F.sum(F.col("span_end") - F.col("span_start")).alias("shared_letters"))
@@ -112,7 +117,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8_repaired(spark, sf_dir).select("doc_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_terms, p3_found, p3_share, p4_found, p4_pieces, p5_found, p5_rates, p5_totals, p6_packing, p6_fill, p7_found, p7_leaks, p8_found, p8_repaired)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_terms, p3_found, p3_removed, p3_share, p4_found, p4_pieces, p5_found, p5_rates, p5_totals, p6_packing, p6_fill, p7_found, p7_leaks, p8_found, p8_repaired)}
 
 _LETTERS = "replace(regexp_replace(upper(seq), '[^A-Z]', '', 'g'), 'U', 'T')"
 
@@ -124,16 +129,21 @@ f as (select term, cast(count(*) as bigint) occurrences, cast(count(distinct rec
 m as (select *, case when records = 1 then 'rare' when records * 20 >= (select count(*) from sequences) then 'common' end mark from f)
 """
 
-_SHARED = f"""
+def _spans(which: str) -> str:
+    """Maximal stretches of the windows picked by a condition on their record and the first and last one that hold them."""
+    return f"""
 with t as (select rec_id, {_LETTERS} s from sequences),
 w as (select rec_id, cast(i as bigint) p, hash(substr(s, cast(i as bigint) + 1, 50)) h from t, unnest(range(0, greatest(length(s) - 49, 0))) u(i)),
-g as (select h from w group by h having min(rec_id) < max(rec_id)),
-c as (select rec_id, p from w where h in (select h from g)),
+g as (select h, min(rec_id) first, max(rec_id) last from w group by h),
+c as (select rec_id, p from w join g using (h) where {which}),
 l as (select *, case when p <= lag(p) over (partition by rec_id order by p) + 50 then 0 else 1 end fresh from c),
 n as (select *, sum(fresh) over (partition by rec_id order by p) grp from l),
 r as (select rec_id, min(p) span_start, max(p) + 50 span_end from n group by rec_id, grp)
 """
 
+
+_SHARED = _spans("first < last")
+
 _CUTS = f"""
 with t as (select distinct r.rec_id, r.config_id, s.s, c.max_size, upper(c.motif) motif
            from requests r join config c using (config_id) join (select rec_id, {_LETTERS} s from sequences) s using (rec_id)
@@ -154,7 +164,10 @@ ORACLES = {
     "p1_found": _TERMS + "select term, mark from m where mark is not null",
     "p1_terms": _TERMS + "select term, occurrences, records, mark from m",
     "p3_found": _SHARED + "select rec_id, span_start, span_end from r",
-    "p3_share": _SHARED + "select rec_id, cast(count(*) as bigint) stretches, cast(sum(span_end - span_start) as bigint) shared_letters from r group by rec_id",
+    "p3_removed": _spans("rec_id > first") + "select rec_id, span_start cut_start, span_end cut_end from r",
+    "p3_share": _SHARED + """, q as (select rec_id, count(*) stretches, sum(span_end - span_start) letters from r group by rec_id)
+select rec_id, coalesce(stretches, 0) stretches, cast(coalesce(letters, 0) as bigint) shared_letters, length(s) n_letters, coalesce(letters, 0) / length(s) share
+from t left join q using (rec_id) where length(s) > 0 and rec_id is not null""",
     "p4_found": _CUTS + "select rec_id, config_id, p cut_pos from h union all select rec_id, config_id, cast(-1 as bigint) from t where (rec_id, config_id) not in (select (rec_id, config_id) from h)",
     "p5_found": _KEYS + "select probe_id from (select probe_id, arrival_no, min(arrival_no) over (partition by background_id, key) f from c) where f < arrival_no",
     "p5_totals": _KEYS + "select count(*) keys, count(*) filter (f < arrival_no) seen, cast(0 as bigint) wrong from (select arrival_no, min(arrival_no) over (partition by background_id, key) f from c)",

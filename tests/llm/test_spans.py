@@ -1,6 +1,7 @@
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from strandloom.llm import queries, spans
@@ -90,3 +91,62 @@ def test_share_has_every_record(spark, tmp_path):
     spark.createDataFrame(rows, "rec_id long, seq string").write.parquet(str(tmp_path / "sequences.parquet"))
     got = {tuple(r) for r in queries.p3_share(spark, str(tmp_path)).select("rec_id", "stretches", "shared_letters", "n_letters", "share").collect()}
     assert got == {(1, 1, 60, 120, 0.5), (2, 1, 60, 63, 60 / 63), (3, 0, 0, 60, 0.0), (4, 0, 0, 4, 0.0)}
+
+
+def test_long_records_are_cut_into_chunks(spark, monkeypatch):
+    monkeypatch.setattr(spans, "CHUNK", 60)
+    rows = make(9, n=50)
+    assert got(spark, rows, 30) == brute(rows, 30)
+    monkeypatch.setattr(spans, "HOT", 3)
+    assert got(spark, rows, 30) == brute(rows, 30)
+
+
+def test_first_records_keep_what_others_repeat(spark):
+    rows = make(12, n=60) + [(400, "A" * 200), (401, "A" * 90), (2, "ACCTGA" * 20), (402, "ACCTGA" * 20)]
+    texts = [(r, "".join(c for c in (s or "").upper() if "A" <= c <= "Z").replace("U", "T")) for r, s in rows if r is not None]
+    first = {}
+    for r, s in texts:
+        for i in range(len(s) - 29):
+            first[s[i : i + 30]] = min(first.get(s[i : i + 30], r), r)
+    for hot in (spans.HOT, 3):
+        old, spans.HOT = spans.HOT, hot
+        try:
+            df = spark.createDataFrame(rows, "rec_id long, seq string")
+            found = spans.shared_spans(df, span=30, repeats=True).collect()
+        finally:
+            spans.HOT = old
+        cover = defaultdict(set)
+        for r in found:
+            cover[r["rec_id"]] |= set(range(r["span_start"], r["span_end"]))
+        want = defaultdict(set)
+        for r, s in texts:
+            for i in range(len(s) - 29):
+                if first[s[i : i + 30]] < r:
+                    want[r] |= set(range(i, i + 30))
+        for r, s in texts:
+            # two rows of one key are told apart by their letters only where both are covered
+            assert cover[r] == want[r]
+
+
+def test_names_are_those_of_the_run_alone():
+    rng = random.Random(2)
+    for span in (8, 30, 50):
+        run = "".join(rng.choice("ACGT") for _ in range(span))
+        seen = set()
+        for n in range(20):
+            text = "".join(rng.choice("AC") for _ in range(n)) + run + "".join(rng.choice("GT") for _ in range(20 - n))
+            start, name = spans.names(np.frombuffer(text.encode(), dtype=np.uint8), np.array([len(text)]), span)
+            seen.add(int(name[start.tolist().index(n)]))
+        assert len(seen) == 1
+
+
+def test_low_complexity_becomes_few_rows(spark):
+    rng = random.Random(4)
+    records = [(i, "A" * 30_000 + "".join(rng.choice("CG") for _ in range(50)) + "AT" * 15_000) for i in range(6)]
+    df = spark.createDataFrame(records, "rec_id long, seq string")
+    rows = df.selectExpr("rec_id rec", "seq").mapInArrow(spans._name_rows(50), "h long, rec long, chunk int, n int").collect()
+    assert len(rows) < 6 * 60 and sum(r["n"] for r in rows) == 6 * (60_050 - 49)
+    got = {tuple(r) for r in spans.shared_spans(df).collect()}
+    # beside the stretches only letters that happen to agree
+    assert sorted((r, a == 0) for r, a, _ in got) == [(i, x) for i in range(6) for x in (False, True)]
+    assert all(30_000 <= b <= 30_025 if a == 0 else 30_025 <= a <= 30_050 and b == 60_050 for _, a, b in got)
