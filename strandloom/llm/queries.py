@@ -145,7 +145,7 @@ r as (select rec_id, min(p) span_start, max(p) + 50 span_end from n group by rec
 _SHARED = _spans("first < last")
 
 _CUTS = f"""
-with t as (select distinct r.rec_id, r.config_id, s.s, c.max_size, upper(c.motif) motif
+with recursive t as (select distinct r.rec_id, r.config_id, s.s, c.max_size, coalesce(c.min_overlap, 0) o, upper(c.motif) motif
            from requests r join config c using (config_id) join (select rec_id, {_LETTERS} s from sequences) s using (rec_id)
            where length(s.s) > c.max_size),
 h as (select rec_id, config_id, cast(i as bigint) p from t, unnest(range(1, length(s) - length(motif) + 1)) u(i)
@@ -169,6 +169,12 @@ ORACLES = {
 select rec_id, coalesce(stretches, 0) stretches, cast(coalesce(letters, 0) as bigint) shared_letters, length(s) n_letters, coalesce(letters, 0) / length(s) share
 from t left join q using (rec_id) where length(s) > 0 and rec_id is not null""",
     "p4_found": _CUTS + "select rec_id, config_id, p cut_pos from h union all select rec_id, config_id, cast(-1 as bigint) from t where (rec_id, config_id) not in (select (rec_id, config_id) from h)",
+    "p4_pieces": _CUTS + """,
+k as (select t.rec_id, t.config_id, length(s) n, max_size m, o, coalesce(list(p order by p) filter (p is not null), []) bounds
+      from t left join h using (rec_id, config_id) where o >= 0 and o < max_size group by all),
+x as (select *, cast(0 as bigint) a, false nat from k union all
+      select rec_id, config_id, n, m, o, bounds, coalesce(list_filter(bounds, lambda p: p > a and p <= a + m - o)[-1], a + m - o), list_filter(bounds, lambda p: p > a and p <= a + m - o)[-1] is not null from x where n - a > m)
+select rec_id, config_id, cast(row_number() over q as int) piece_no, a piece_start, cast(coalesce(lead(a) over q + o, n) as bigint) piece_end, nat "natural" from x window q as (partition by rec_id, config_id order by a)""",
     "p5_found": _KEYS + "select probe_id from (select probe_id, arrival_no, min(arrival_no) over (partition by background_id, key) f from c) where f < arrival_no",
     "p5_totals": _KEYS + "select count(*) keys, count(*) filter (f < arrival_no) seen, cast(0 as bigint) wrong from (select arrival_no, min(arrival_no) over (partition by background_id, key) f from c)",
 }

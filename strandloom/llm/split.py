@@ -28,9 +28,10 @@ def cut(length: int, bounds: list[int], most: int, overlap: int) -> list[tuple[i
 
     The next piece begins at the last boundary from which the overlap still
     fits into the current piece; without one it begins where the full piece
-    less the overlap ends. An overlap of ``most`` or more counts as most - 1.
+    less the overlap ends. The overlap must be less than ``most``.
     """
-    overlap = max(0, min(overlap, most - 1))
+    if not 0 <= overlap < most:
+        raise ValueError("the overlap must be less than the size limit and not negative")
     out, start, natural = [], 0, False
     while length - start > most:
         last = start + most - overlap
@@ -55,7 +56,9 @@ def split_oversized(records: DataFrame, requests: DataFrame, config: DataFrame)
 
     Null ids, unknown configurations or records, null ``max_size`` or one
     below 1, and null or empty ``seq`` give no row. A null or empty motif has
-    no boundaries: pieces are then hard cuts. A null overlap is 0. Repeated
+    no boundaries: pieces are then hard cuts. A null overlap is 0; pieces that
+    would have to overlap by ``max_size`` or more, or by less than nothing,
+    cannot be cut and are null. Repeated
     requests count once; of a configuration listed twice the row with the
     smallest ``max_size`` holds, then the first motif in order. A record id
     listed twice is cut once per row. Other columns are ignored, whatever
@@ -94,7 +97,9 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if motif not in found:
                     found[motif] = boundaries(b, motif)
                 at = found[motif]
-                pieces = [dict(zip(("start", "end", "natural"), p)) for p in cut(len(b), at, c["max_size"], c["min_overlap"])]
+                pieces = None
+                if 0 <= c["min_overlap"] < c["max_size"]:
+                    pieces = [dict(zip(("start", "end", "natural"), p)) for p in cut(len(b), at, c["max_size"], c["min_overlap"])]
                 for x, v in zip(out, (rec, c["config_id"], len(b), at, pieces)):
                     x.append(v)
         yield pa.RecordBatch.from_arrays([pa.array(v, type=f.type) for v, f in zip(out, schema)], schema=schema)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -103,7 +104,6 @@ def term_frequencies(df: DataFrame, text: str = "seq", width: int = 10, rare: in
         .agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
     )
     rows = df.count()
-    mark = F.when(F.col("records") <= rare, "rare").when(F.col("records") >= F.lit(common) * rows, "common")
-    if common == 1 / 20:  # in whole numbers, so that the bound itself is met exactly
-        mark = F.when(F.col("records") <= rare, "rare").when(F.col("records") * 20 >= rows, "common")
+    share = Fraction(str(common))  # in whole numbers, so that the bound itself is met exactly
+    mark = F.when(F.col("records") <= rare, "rare").when(F.col("records").cast("decimal(38,0)") * share.denominator >= F.lit(rows * share.numerator).cast("decimal(38,0)"), "common")
     return counted.select(term_text(F.col("code"), width).alias("term"), "occurrences", "records", mark.alias("mark"))
