@@ -1,0 +1,76 @@
+"""A Bloom filter in segments: which keys of a large set a task may leave out before a join."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import Broadcast
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from strandloom.functions.letters import mix64
+
+SEGMENT = 1 << 19  # bits of a segment, which all marks of a key share
+KEYS = SEGMENT // 12  # so that about one other key in a hundred seems to be there
+MARKS = 4
+
+
+def _places(keys: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
+    """(segment, marks within it) of every key."""
+    h = mix64(keys.view(np.uint64) ^ np.uint64(0xA5A5A5A5A5A5A5A5))
+    segment = ((h >> np.uint64(32)) * np.uint64(segments) >> np.uint64(32)).astype(np.int64)
+    again = mix64(h)
+    width = np.uint64(SEGMENT - 1)
+    marks = np.stack([again >> np.uint64(16 * i) & width for i in range(3)] + [(h ^ again >> np.uint64(7)) & width])
+    return segment, marks.astype(np.int64)
+
+
+def _with_segment(segments: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_places(batch.column(0).to_numpy(), segments)[0])], names=["key", "segment"])
+
+    return run
+
+
+def _fill(segments: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made: dict[int, np.ndarray] = {}
+        for batch in batches:
+            segment, marks = _places(batch.column(0).to_numpy(), segments)
+            for s in np.unique(segment).tolist():
+                bits = made.setdefault(s, np.zeros(SEGMENT, dtype=bool))
+                bits[marks[:, segment == s].ravel()] = True
+        for s, bits in made.items():
+            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int64()), pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["segment", "bits"])
+
+    return run
+
+
+def bloom(keys: DataFrame, column: str, most: int = 40_000_000) -> Broadcast | None:
+    """The filter of a set of long keys as a broadcast, 1.5 bytes a key; None for more than ``most`` keys.
+
+    Keys are shuffled by segment and each segment is filled by one task, so
+    the driver collects the finished filter only, at most 60 MB by default.
+    """
+    count = keys.count()
+    if count > most:
+        return None
+    segments = 1 + count // KEYS
+    rows = keys.select(F.col(column).alias("key")).mapInArrow(_with_segment(segments), "key long, segment long").repartition("segment")
+    table = np.zeros((segments, SEGMENT // 8), dtype=np.uint8)
+    for r in rows.mapInArrow(_fill(segments), "segment long, bits binary").toLocalIterator():
+        table[r["segment"]] = np.frombuffer(r["bits"], dtype=np.uint8)
+    return keys.sparkSession.sparkContext.broadcast(table)
+
+
+def may_hold(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether each key may be in the set; never False for one that is."""
+    segment, marks = _places(keys, len(table))
+    out = np.ones(len(keys), dtype=bool)
+    flat, base = table.reshape(-1), segment * (SEGMENT // 8)
+    for m in marks:
+        out &= flat[base + (m >> 3)] >> (7 - (m & 7)).astype(np.uint8) & 1 == 1
+    return out
