@@ -50,9 +50,9 @@ def _fill(segments: int):
 
 
 def bloom(keys: DataFrame, column: str, most: int = 40_000_000) -> Broadcast | None:
-    """The filter of a set of long keys as a broadcast, 1.5 bytes a key; None for more than ``most`` keys.
+    """The filter of a set of long keys as a broadcast, 1.5 bytes a key; None for more than ``most`` keys, repeated ones counted each.
 
-    Keys are shuffled by segment and each segment is filled by one task, so
+    Keys are read twice, to count them first, and shuffled by segment and each segment is filled by one task, so
     the driver collects the finished filter only, at most 60 MB by default.
     """
     count = keys.count()

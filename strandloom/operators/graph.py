@@ -104,7 +104,11 @@ class _Graph:
         own = np.arange(len(by))
         self.first = np.searchsorted(self.start, self.end - high, side="left").tolist()
         self.last = np.minimum(np.searchsorted(self.start, self.end - low, side="right"), own).tolist()
-        self._solve()
+        self._prepare()
+        if self.in_order:
+            self._solve_plain()
+        else:
+            self._solve()
 
     def _kinds(self, v: int, u: slice) -> np.ndarray:
         """The round that made each edge from ``u`` into ``v``: 0 for the first graph's, 3 for none.
@@ -121,8 +125,7 @@ class _Graph:
             kinds[renewed] = rounds[renewed]
         return kinds
 
-    def _solve(self) -> None:
-        """In one pass: labels of components, when each node came in, and the cheapest way to it."""
+    def _prepare(self) -> None:
         n = len(self.start)
         self.label, self.active = np.arange(n), self.order >= self.candidates
         self.came = np.where(self.order >= self.candidates, 2**62 + self.order, self.order << 31)
@@ -131,35 +134,82 @@ class _Graph:
         self.active |= ends
         self.came[ends] = np.where(self.order[ends] == 0, -2, -1)
         self.cost[self.order == 0] = 0
-        for v in range(n):
+
+    def _solve_plain(self) -> None:
+        """``_solve`` for the first graph of candidates that begin in order: all that can stand before a node does, at weight 1.
+
+        A node joins a stretch of neighbours, so components are kept by
+        joining neighbours once each, and costs by the least of a stretch.
+        """
+        n, order = len(self.start), self.order.tolist()
+        cost, before, came = self.cost.tolist(), self.before.tolist(), self.came.tolist()
+        root, right, marks = list(range(n)), list(range(n)), [0] * (n + 1)
+
+        def find(links: list[int], i: int) -> int:
+            top = i
+            while links[top] != top:
+                top = links[top]
+            while links[i] != top:
+                links[i], i = top, links[i]
+            return top
+
+        for v, (lo, hi) in enumerate(zip(self.first, self.last)):
+            if hi <= lo:
+                continue
+            marks[lo] += 1
+            marks[hi] -= 1
+            marks[v] += 1
+            marks[v + 1] -= 1
+            if came[v] >= 0:
+                came[v] = (order[lo] << 31) + order[v] + 1
+            at = find(right, lo)  # the last of the neighbours that lo is joined with in a row
+            own = find(root, lo)
+            while at < hi - 1:
+                other = find(root, at + 1)
+                own, other = min(own, other), max(own, other)
+                root[other] = own
+                right[at] = at + 1
+                at = find(right, at + 1)
+            mine = find(root, v)
+            root[max(own, mine)] = min(own, mine)
+            least = min(cost[lo:hi])
+            if least + _STEP + 1 < cost[v] and least < _FAR:
+                cost[v], before[v] = least + _STEP + 1, cost.index(least, lo, hi)
+        self.label = np.array([find(root, i) for i in range(n)], dtype=np.int64)
+        self.active |= np.cumsum(marks[:n]) > 0
+        self.cost, self.before, self.came = (np.array(x, dtype=np.int64) for x in (cost, before, came))
+        self.kind[self.before >= 0] = 0
+
+    def _solve(self) -> None:
+        """In one pass: labels of components, when each node came in, and the cheapest way to it."""
+        for v in range(len(self.start)):
             lo, hi = self.first[v], self.last[v]
             if hi <= lo:
                 continue
             u = slice(lo, hi)
-            if self.in_order:  # all that can stand before it does, at weight 1
-                kinds = None
-                self.active[lo:hi] = self.active[v] = True
-                if self.came[v] >= 0:
-                    self.came[v] = (self.order[lo] << 31) + self.order[v] + 1
-                labels, cost = self.label[u], self.cost[u] + (_STEP + 1)
-            else:
-                kinds = self._kinds(v, u)
-                joined = kinds < _NONE
-                if not joined.any():
-                    continue
-                self.active[v] = True
-                self.active[u] |= joined
-                if self.came[v] >= 0 and self.order[v] < self.candidates:
-                    self.came[v] = (self.order[u][joined].min() << 31) + self.order[v] + 1
-                labels, cost = self.label[u][joined], np.where(joined, self.cost[u] + WEIGHTS[kinds] * _STEP + 1, _FAR)
+            kinds = self._kinds(v, u)
+            joined = kinds < _NONE
+            if not joined.any():
+                continue
+            self.active[v] = True
+            self.active[u] |= joined
+            if self.came[v] >= 0 and self.order[v] < self.candidates:
+                self.came[v] = (self.order[u][joined].min() << 31) + self.order[v] + 1
+            labels, cost = self._roots(np.flatnonzero(joined) + lo), np.where(joined, self.cost[u] + WEIGHTS[kinds] * _STEP + 1, _FAR)
             least = labels.min()
-            if labels.max() != least:
-                merged = np.unique(labels)
-                self.label[:v][np.isin(self.label[:v], merged)] = least
-            self.label[v] = least
+            self.label[labels] = self.label[v] = least
             i = int(cost.argmin())  # the first of the cheapest
             if cost[i] < self.cost[v] and cost[i] < _FAR:
-                self.cost[v], self.before[v], self.kind[v] = cost[i], lo + i, 0 if kinds is None else kinds[i]
+                self.cost[v], self.before[v], self.kind[v] = cost[i], lo + i, kinds[i]
+
+        self.label = self._roots(np.arange(len(self.start)))
+
+    def _roots(self, nodes: np.ndarray) -> np.ndarray:
+        """The label that each node's label leads to."""
+        labels = self.label[nodes]
+        while ((further := self.label[labels]) != labels).any():
+            labels = further
+        return labels
 
     def parts(self) -> list[np.ndarray]:
         """Nodes of each component, components in order of the node that came in first."""

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-LOWEST = -(2**63)
+ROWS = 50_000  # rows of one entity sorted together
 
 
-def periods(df: DataFrame, entity: list[str], start: str, end: str, block: int = 1 << 16) -> DataFrame:
+def periods(df: DataFrame, entity: list[str], start: str, end: str, block: int | None = None) -> DataFrame:
     """Merge the intervals of each entity into maximal continuous periods and list the gaps.
 
     Result: the entity columns, ``kind`` ('covered' or 'gap'), ``seg_start``,
@@ -21,7 +21,10 @@ def periods(df: DataFrame, entity: list[str], start: str, end: str, block: int =
     empty input gives an empty result.
 
     Entities are cut into blocks of ``block`` units by interval start, so a
-    single entity with most of the rows is sorted by many tasks: within a
+    single entity with most of the rows is sorted by many tasks. By default
+    the width is taken from the data, whatever their unit: one pass finds the
+    range of starts and the rows of the largest entity, and the range is cut
+    into as many blocks as this entity fills with ``ROWS`` rows each. Within a
     block each start is compared with the running maximum of the earlier ends,
     and one row per block carries that maximum, and the start of the period
     still open, into the later blocks.
@@ -32,6 +35,9 @@ def periods(df: DataFrame, entity: list[str], start: str, end: str, block: int =
         F.col(f"`{start}`").cast("long").alias("_s"),
         F.col(f"`{end}`").cast("long").alias("_t"),
     ).where("_t > _s")
+    if block is None:
+        most, low, high = rows.groupBy(*ids).agg(F.count("*").alias("n"), F.min("_s").alias("a"), F.max("_s").alias("b")).agg(F.max("n"), F.min("a"), F.max("b")).first()
+        block = min((high - low) // -(-most // ROWS) + 1, 2**62) if most else 1
     # intervals of the same start: only the longest matters (combined before the shuffle)
     rows = rows.withColumn("_b", F.floor(F.col("_s") / block)).groupBy(*ids, "_b", "_s").agg(F.max("_t").alias("_t"))
 

@@ -14,7 +14,6 @@ from pyspark.sql import types as T
 from strandloom.functions.bloom import bloom, may_hold
 from strandloom.functions.kmers import canonical_kmers
 from strandloom.operators.kmers import _extended, own_weight, prepared
-from strandloom.session import cut_lineage
 
 CHUNK = 1_000_000  # windows of a record handled at once
 
@@ -36,9 +35,9 @@ def homology_free_regions(
 ) -> DataFrame:
     """(key, start, end) of the maximal homology-free regions of every query record.
 
-    A region is a run of windows none of which occurs in ``background`` (a
-    k-mer set, column ``kmer``) or twice in the record, on either strand; it
-    is reported from the first window's start to the last window's end if at
+    A region is a run of windows none of which occurs in ``background``
+    (column ``kmer``, which may repeat k-mers) or twice in the record, on
+    either strand; it is reported from the first window's start to the last window's end if at
     least ``threshold`` letters long. Regions of circular records may end past
     the record. Regions may overlap by fewer than k letters.
 
@@ -59,7 +58,7 @@ def homology_free_regions(
     kind = df.schema[key].dataType
     known = None
     if background is not None:
-        background = cut_lineage(background.select("kmer"))
+        background = background.select("kmer")
         known = bloom(background, "kmer")
     pieces = df.mapInArrow(_pieces(k, key, chunk), T.StructType([df.schema[key], T.StructField("tag", T.LongType()), T.StructField("text", T.StringType())]))
     kmers = df.mapInArrow(_piece_kmers(k, key, chunk, known), T.StructType([df.schema[key], T.StructField("tag", T.LongType()), T.StructField("kmer", T.LongType())]))

@@ -1,5 +1,6 @@
 import random
 
+from strandloom.operators import intervals
 from strandloom.operators.intervals import homology_free_ranges, periods
 
 
@@ -61,3 +62,16 @@ def test_homology_free_ranges(spark):
         (4, []),
     ]
     assert [tuple(r) for r in homology_free_ranges(spark.createDataFrame(rows, schema)).collect()] == [(1, 1, 5)]
+
+
+def test_blocks_follow_the_data_whatever_the_unit(spark, monkeypatch):
+    monkeypatch.setattr(intervals, "ROWS", 40)
+    rng = random.Random(9)
+    for unit in (1, 10**9):
+        rows = [("hot", rng.randrange(3000) * unit) for _ in range(900)] + [(f"e{i % 7}", rng.randrange(3000) * unit) for i in range(60)]
+        rows = [(e, s, s + rng.randrange(1, 9) * unit) for e, s in rows]
+        df = spark.createDataFrame(rows, "e string, s long, t long")
+        got = sorted(tuple(r) for r in intervals.periods(df, ["e"], "s", "t").collect())
+        assert got == sorted(tuple(r) for r in intervals.periods(df, ["e"], "s", "t", block=10**15).collect())
+        assert len(got) > 200
+    assert intervals.periods(df.limit(0), ["e"], "s", "t").collect() == []
