@@ -2,8 +2,8 @@
 
 A record's sentences are the stretches between content-defined cuts: the word
 with the smallest hash in each window of consecutive words begins a sentence.
-Words and windows are so short that every run of ``span`` letters holds two
-whole sentences in a row, whatever stands around it. Runs of two sentences are
+Words and windows are so short that every run of ``span`` letters begins
+several sentences, whatever stands around it. Runs of two sentences are
 hashed; of those that a run of ``span`` letters holds, the one with the
 smallest hash is its name. Names are joined over all records, and only where
 two records share one, the runs of ``span`` letters themselves are hashed and
@@ -77,7 +77,7 @@ def names(text: np.ndarray, lengths: np.ndarray, span: int) -> tuple[np.ndarray,
     if n < span:
         return np.empty(0, np.int64), np.empty(0, np.int64)
     word = max(1, min(WORD, span // 4))
-    window = (span - word + 1) // 3  # a run holds three windows side by side, so it begins three sentences
+    window = max(1, (span - word + 1) // 6)  # a run holds six windows side by side, so it begins six sentences
     ends = np.repeat(np.cumsum(lengths), lengths)
     low = (np.uint64(1) << PLACES) - np.uint64(1)
     h = window_hashes(text, word)
@@ -377,8 +377,8 @@ def shared_spans(df: DataFrame, key: str = "rec_id", text: str = "seq", span: in
     The records are read twice and must come in the same order each time, as
     from a table; cut the lineage of anything else.
     """
-    if span < 2:
-        raise ValueError("span must be at least 2")
+    if span < 3:
+        raise ValueError("span must be at least 3")
     records = df.select(F.col(f"`{key}`").cast("long").alias("rec"), F.col(f"`{text}`").cast("string").alias("seq")).where("rec is not null and seq is not null")
     spread = F.when(F.col("h").bitwiseAND(1) == 1, F.xxhash64("rec", "h")).otherwise(F.col("h"))
     schema = "h long, rec long, chunk int, n int"
@@ -394,5 +394,5 @@ def shared_spans(df: DataFrame, key: str = "rec_id", text: str = "seq", span: in
     runs = around.where("ctx is null").select("h", "rec", F.col("pos").alias("s"), (F.col("last") + span).alias("t"))
     twice = runs.groupBy("h").agg(F.min("rec").alias("first"), F.max("rec").alias("other")).where("first < other")
     by_run = runs.join(twice, "h").where("rec > first" if repeats else "true").select(F.col("rec").alias("rec_id"), "s", "t")
-    merged = periods(by_name.unionByName(by_run), ["rec_id"], "s", "t")
+    merged = periods(by_name.unionByName(by_run), ["rec_id"], "s", "t", block=1 << 16)  # letters
     return merged.where("kind = 'covered'").select("rec_id", F.col("seg_start").alias("span_start"), F.col("seg_end").alias("span_end"))
