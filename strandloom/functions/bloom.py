@@ -11,66 +11,110 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.functions.letters import mix64
+from strandloom.session import shared_folder
 
-SEGMENT = 1 << 19  # bits of a segment, which all marks of a key share
-KEYS = SEGMENT // 12  # so that about one other key in a hundred seems to be there
+SEGMENTS = 1024
 MARKS = 4
+BITS = 12  # for a key at least, so that one other key in a hundred or fewer seems to be there
+MOST = 100_000_000  # bytes of a filter that is broadcast
+FLUSH = 500_000  # keys a task holds before it hands them on by segment
 
 
-def _places(keys: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
-    """(segment, marks within it) of every key."""
+def _hashes(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(segment, 32 bits of a hash) of every key."""
     h = mix64(keys.view(np.uint64) ^ np.uint64(0xA5A5A5A5A5A5A5A5))
-    segment = ((h >> np.uint64(32)) * np.uint64(segments) >> np.uint64(32)).astype(np.int64)
-    again = mix64(h)
-    width = np.uint64(SEGMENT - 1)
-    marks = np.stack([again >> np.uint64(16 * i) & width for i in range(3)] + [(h ^ again >> np.uint64(7)) & width])
-    return segment, marks.astype(np.int64)
+    return (h >> np.uint64(54)).astype(np.int64), h.astype(np.uint32)
+
+
+def _marks(h: np.ndarray, size: np.ndarray | np.uint64) -> Iterator[np.ndarray]:
+    """The places of a key in its segment of ``size`` bits: a start, and steps of an odd width from it."""
+    step = mix64(h).astype(np.uint32) | np.uint32(1)
+    for i in range(MARKS):
+        yield ((h + np.uint32(i) * step).astype(np.uint64) * size >> np.uint64(32)).astype(np.int64)
+
+
+def _by_segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(held: list[np.ndarray]) -> pa.RecordBatch:
+        segment, h = _hashes(np.concatenate(held))
+        order = np.lexsort((h, segment))
+        h, segment = np.ascontiguousarray(h[order]), segment[order]
+        first = np.flatnonzero(np.concatenate(([True], segment[1:] != segment[:-1])))
+        offsets = (4 * np.concatenate((first, [len(h)]))).astype(np.int32)
+        blobs = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(h)])
+        return pa.RecordBatch.from_arrays([pa.array(segment[first]), blobs], names=["segment", "hashes"])
+
+    held, total = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch.column(0).to_numpy())
+            total += batch.num_rows
+        if total >= FLUSH:
+            yield rows(held)
+            held, total = [], 0
+    if held:
+        yield rows(held)
+
+
+def _fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by segment: one bitmap for each."""
+    held: list[bytes] = []
+    now = None
+
+    def bitmap() -> pa.RecordBatch:
+        h = np.unique(np.frombuffer(b"".join(held), dtype=np.uint32))
+        size = 64 + BITS * len(h) // 8 * 8
+        bits = np.zeros(size, dtype=bool)
+        for m in _marks(h, np.uint64(size)):
+            bits[m] = True
+        return pa.RecordBatch.from_arrays([pa.array([now]), pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["segment", "bits"])
+
+    for batch in batches:
+        for segment, hashes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if segment != now and held:
+                yield bitmap()
+                held = []
+            now = segment
+            held.append(hashes)
+    if held:
+        yield bitmap()
+
+
+def bloom(keys: DataFrame, column: str, most: int = MOST) -> Broadcast | None:
+    """The filter of a set of long keys as a broadcast; None if it takes more than ``most`` bytes (about 1.5 a key).
+
+    Keys are shuffled by segment and each segment is filled by one task. The
+    bitmaps are written to the common folder first, so that their size is
+    known before the driver collects them.
+    """
+    spark, path = keys.sparkSession, shared_folder(keys.sparkSession, "filter")
+    rows = keys.select(F.col(column).cast("long").alias("key")).where("key is not null").mapInArrow(_by_segment, "segment long, hashes binary")
+    rows.repartition("segment").sortWithinPartitions("segment").mapInArrow(_fill, "segment long, bits binary").write.parquet(path)
+    made = spark.read.parquet(path)
+    if (made.agg(F.sum(F.octet_length("bits"))).first()[0] or 0) > most:
+        return None
+    bits = [bytes(8)] * SEGMENTS
+    for r in made.collect():
+        bits[r["segment"]] = r["bits"]
+    size = np.array([len(b) for b in bits], dtype=np.int64)
+    return spark.sparkContext.broadcast((np.frombuffer(b"".join(bits), dtype=np.uint8), np.cumsum(size) - size, (8 * size).astype(np.uint64)))
 
 
-def _with_segment(segments: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_places(batch.column(0).to_numpy(), segments)[0])], names=["key", "segment"])
+def may_hold(table: tuple[np.ndarray, np.ndarray, np.ndarray], keys: np.ndarray) -> np.ndarray:
+    """Whether each key may be in the set; never False for one that is."""
+    bits, start, size = table
+    segment, h = _hashes(keys)
+    out, base = np.ones(len(keys), dtype=bool), start[segment]
+    for m in _marks(h, size[segment]):
+        out &= bits[base + (m >> 3)] >> (7 - (m & 7)).astype(np.uint8) & 1 == 1
+    return out
 
-    return run
 
+def kept_by(table: Broadcast, column: str):
+    """A task that leaves out rows whose key is not in the set."""
 
-def _fill(segments: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made: dict[int, np.ndarray] = {}
         for batch in batches:
-            segment, marks = _places(batch.column(0).to_numpy(), segments)
-            for s in np.unique(segment).tolist():
-                bits = made.setdefault(s, np.zeros(SEGMENT, dtype=bool))
-                bits[marks[:, segment == s].ravel()] = True
-        for s, bits in made.items():
-            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int64()), pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["segment", "bits"])
+            if batch.num_rows:
+                yield batch.filter(pa.array(may_hold(table.value, batch.column(column).to_numpy())))
 
     return run
-
-
-def bloom(keys: DataFrame, column: str, most: int = 40_000_000) -> Broadcast | None:
-    """The filter of a set of long keys as a broadcast, 1.5 bytes a key; None for more than ``most`` keys, repeated ones counted each.
-
-    Keys are read twice, to count them first, and shuffled by segment and each segment is filled by one task, so
-    the driver collects the finished filter only, at most 60 MB by default.
-    """
-    count = keys.count()
-    if count > most:
-        return None
-    segments = 1 + count // KEYS
-    rows = keys.select(F.col(column).alias("key")).mapInArrow(_with_segment(segments), "key long, segment long").repartition("segment")
-    table = np.zeros((segments, SEGMENT // 8), dtype=np.uint8)
-    for r in rows.mapInArrow(_fill(segments), "segment long, bits binary").toLocalIterator():
-        table[r["segment"]] = np.frombuffer(r["bits"], dtype=np.uint8)
-    return keys.sparkSession.sparkContext.broadcast(table)
-
-
-def may_hold(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Whether each key may be in the set; never False for one that is."""
-    segment, marks = _places(keys, len(table))
-    out = np.ones(len(keys), dtype=bool)
-    flat, base = table.reshape(-1), segment * (SEGMENT // 8)
-    for m in marks:
-        out &= flat[base + (m >> 3)] >> (7 - (m & 7)).astype(np.uint8) & 1 == 1
-    return out

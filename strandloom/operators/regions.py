@@ -11,9 +11,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandloom.functions.bloom import bloom, may_hold
+from strandloom.functions.bloom import bloom, kept_by, may_hold
 from strandloom.functions.kmers import canonical_kmers
 from strandloom.operators.kmers import _extended, own_weight, prepared
+from strandloom.session import shared_folder
 
 CHUNK = 1_000_000  # windows of a record handled at once
 
@@ -48,11 +49,12 @@ def homology_free_regions(
     letters. What a chunk repeats of itself is found in the task that reads
     it, and a record of several chunks meets its other chunks by k-mer. Of the
     k-mers left only those that a Bloom filter of the background holds, and
-    those of records of several chunks, are shuffled, by k-mer, to meet the
-    background and each other; only the hits come back, gathered per chunk, so
-    a task never holds more than a chunk's. A background of more k-mers than
-    ``bloom`` takes is met by all k-mers left. Runs that reach a chunk's edge
-    are joined with those of the next.
+    those of records of several chunks, are shuffled, by k-mer, to meet each
+    other and those of the background that a filter of theirs holds; only the
+    hits come back, gathered per chunk, so a task never holds more than a
+    chunk's. Where a filter would be too large to broadcast, the sides meet
+    unfiltered. Runs that reach a chunk's edge are joined with those of the
+    next.
     """
     df = prepared(queries, key, fold)
     kind = df.schema[key].dataType
@@ -64,7 +66,15 @@ def homology_free_regions(
     kmers = df.mapInArrow(_piece_kmers(k, key, chunk, known), T.StructType([df.schema[key], T.StructField("tag", T.LongType()), T.StructField("kmer", T.LongType())]))
     hits = df.sparkSession.createDataFrame([], T.StructType([df.schema[key], T.StructField("tag", T.LongType()), T.StructField("kmer", T.LongType())]))
     if background is not None:
-        hits = kmers.join(background.select("kmer"), "kmer", "left_semi").select(key, "tag", "kmer")
+        if known is not None:
+            # written once, and a filter of it the other way round: few of the background's k-mers are asked for
+            path = shared_folder(df.sparkSession, "kmers")
+            kmers.write.parquet(path)
+            kmers = df.sparkSession.read.parquet(path)
+            asked = bloom(kmers, "kmer")
+            if asked is not None:
+                background = background.mapInArrow(kept_by(asked, "kmer"), "kmer long")
+        hits = kmers.join(background, "kmer", "left_semi").select(key, "tag", "kmer")
     if not queries.where(F.length("seq") + k > chunk).isEmpty():  # a record of several chunks
         # a chunk names a k-mer it repeats itself twice
         again = kmers.where("tag % 2 = 1").groupBy("kmer", key).agg(F.count("*").alias("n"), F.collect_set("tag").alias("tags")).where("n > 1")
