@@ -6,15 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandloom.functions.bloom import bloom, kept_by, may_hold
 from strandloom.functions.kmers import canonical_kmers
 from strandloom.operators.kmers import _extended, own_weight, prepared
-from strandloom.session import shared_folder
 
 CHUNK = 1_000_000  # windows of a record handled at once
 
@@ -47,34 +44,19 @@ def homology_free_regions(
 
     Records are cut into chunks of ``chunk`` windows that overlap by k - 1
     letters. What a chunk repeats of itself is found in the task that reads
-    it, and a record of several chunks meets its other chunks by k-mer. Of the
-    k-mers left only those that a Bloom filter of the background holds, and
-    those of records of several chunks, are shuffled, by k-mer, to meet each
-    other and those of the background that a filter of theirs holds; only the
-    hits come back, gathered per chunk, so a task never holds more than a
-    chunk's. Where a filter would be too large to broadcast, the sides meet
-    unfiltered. Runs that reach a chunk's edge are joined with those of the
-    next.
+    it, and a record of several chunks meets its other chunks by k-mer. The
+    k-mers left are shuffled once, by k-mer, to meet the background and, where
+    a record has several chunks, each other; only the hits come back, gathered
+    per chunk, so a task never holds more than a chunk's. Runs that reach a
+    chunk's edge are joined with those of the next.
     """
     df = prepared(queries, key, fold)
     kind = df.schema[key].dataType
-    known = None
-    if background is not None:
-        background = background.select("kmer")
-        known = bloom(background, "kmer")
     pieces = df.mapInArrow(_pieces(k, key, chunk), T.StructType([df.schema[key], T.StructField("tag", T.LongType()), T.StructField("text", T.StringType())]))
-    kmers = df.mapInArrow(_piece_kmers(k, key, chunk, known), T.StructType([df.schema[key], T.StructField("tag", T.LongType()), T.StructField("kmer", T.LongType())]))
+    kmers = df.mapInArrow(_piece_kmers(k, key, chunk), T.StructType([df.schema[key], T.StructField("tag", T.LongType()), T.StructField("kmer", T.LongType())]))
     hits = df.sparkSession.createDataFrame([], T.StructType([df.schema[key], T.StructField("tag", T.LongType()), T.StructField("kmer", T.LongType())]))
     if background is not None:
-        if known is not None:
-            # written once, and a filter of it the other way round: few of the background's k-mers are asked for
-            path = shared_folder(df.sparkSession, "kmers")
-            kmers.write.parquet(path)
-            kmers = df.sparkSession.read.parquet(path)
-            asked = bloom(kmers, "kmer")
-            if asked is not None:
-                background = background.mapInArrow(kept_by(asked, "kmer"), "kmer long")
-        hits = kmers.join(background, "kmer", "left_semi").select(key, "tag", "kmer")
+        hits = kmers.join(background.select("kmer"), "kmer", "left_semi").select(key, "tag", "kmer")
     if not queries.where(F.length("seq") + k > chunk).isEmpty():  # a record of several chunks
         # a chunk names a k-mer it repeats itself twice
         again = kmers.where("tag % 2 = 1").groupBy("kmer", key).agg(F.count("*").alias("n"), F.collect_set("tag").alias("tags")).where("n > 1")
@@ -122,8 +104,8 @@ def _grouped(rows: Iterator[tuple[int, int, bytes]], most: int = 4_000_000) -> I
         yield held
 
 
-def _piece_kmers(k: int, key: str, chunk: int, known: Broadcast | None):
-    """k-mers that must be looked up: once in the chunk and maybe in the background, or each of the chunk's if the record has several, twice if repeated."""
+def _piece_kmers(k: int, key: str, chunk: int):
+    """k-mers that must be looked up: once in the chunk, or each of the chunk's if the record has several, twice if repeated."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -137,8 +119,6 @@ def _piece_kmers(k: int, key: str, chunk: int, known: Broadcast | None):
                         own = np.repeat(own, np.minimum(weight[first], 2))
                     else:
                         own = keys[weight == 1]
-                        if known is not None:
-                            own = own[may_hold(known.value, own)]
                     owners.append(np.full(len(own), i)), tags.append(np.full(len(own), tag)), found.append(own)
                 owner, tag, kmer = (np.concatenate(x) for x in (owners, tags, found))
                 for a in range(0, len(owner), 50_000):

@@ -2,11 +2,9 @@ import random
 import time
 from collections import Counter
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strandloom.functions import bloom
 from strandloom.functions.kmers import canonical_kmers, reverse_complement_bytes
 from strandloom.operators import kmers, regions
 from strandloom.plans import queries
@@ -204,14 +202,3 @@ def test_lower_case_is_no_slow_path():
     began = time.perf_counter()
     canonical_kmers(text.lower(), 20)
     assert time.perf_counter() - began < 10 * upper + 0.2
-
-
-def test_bloom_filter_misses_nothing(spark):
-    rng = np.random.default_rng(3)
-    keys = np.unique(rng.integers(-(2**62), 2**62, 100_000))
-    held = bloom.bloom(spark.createDataFrame([(int(x),) for x in keys], "kmer long"), "kmer").value
-    assert bloom.may_hold(held, keys).all()
-    assert bloom.may_hold(held, rng.integers(-(2**62), 2**62, 200_000)).mean() < 0.03
-    assert bloom.bloom(spark.range(10).selectExpr("id kmer"), "kmer", most=50) is None
-    empty = bloom.bloom(spark.createDataFrame([], "kmer long"), "kmer").value
-    assert not bloom.may_hold(empty, keys).any()
