@@ -84,7 +84,7 @@ def gap_regions(gaps: DataFrame, regions: DataFrame) -> DataFrame:
 
 WEIGHTS = np.array([1, 10, 100, 0])  # by round; the last is for no edge
 CONSTRAINTS = ("all", "homology", "none")
-_NONE, _FAR, _STEP = 3, 2**62, 2**31  # a cost is the weights times _STEP plus the fragments
+_NONE, _FAR, _STEP = 3, 2**61, 2**31  # a cost is the weights times _STEP plus the fragments
 
 
 class _Graph:
@@ -110,21 +110,6 @@ class _Graph:
         else:
             self._solve()
 
-    def _kinds(self, v: int, u: slice) -> np.ndarray:
-        """The round that made each edge from ``u`` into ``v``: 0 for the first graph's, 3 for none.
-
-        The first graph joins candidates in their order; a repair joins what
-        it names with everything strictly before or after it, anew if an edge
-        was there.
-        """
-        kinds = np.where(self.order[u] < self.order[v], 0, _NONE)
-        if self.repaired:
-            kinds[(self.order[u] >= self.candidates) | (self.order[v] >= self.candidates)] = _NONE
-            rounds = np.maximum(self.round[u], self.round[v])
-            renewed = (rounds > 0) & (self.end[u] < self.start[v])
-            kinds[renewed] = rounds[renewed]
-        return kinds
-
     def _prepare(self) -> None:
         n = len(self.start)
         self.label, self.active = np.arange(n), self.order >= self.candidates
@@ -181,28 +166,50 @@ class _Graph:
         self.kind[self.before >= 0] = 0
 
     def _solve(self) -> None:
-        """In one pass: labels of components, when each node came in, and the cheapest way to it."""
-        for v in range(len(self.start)):
-            lo, hi = self.first[v], self.last[v]
+        """In one pass: labels of components, when each node came in, and the cheapest way to it.
+
+        The kind of an edge is the round that made it: 0 for the first
+        graph's, which joins candidates in their order; a repair joins what it
+        names with everything strictly before or after it, anew if an edge was
+        there; ``_NONE`` where there is no edge.
+        """
+        start, end, order, rounds, extra = self.start, self.end, self.order, self.round, self.order >= self.candidates
+        label, active, dearer = self.label, self.active, np.append(WEIGHTS[:_NONE] * _STEP + 1, _FAR)
+        for v, (lo, hi) in enumerate(zip(self.first, self.last)):
             if hi <= lo:
                 continue
             u = slice(lo, hi)
-            kinds = self._kinds(v, u)
+            named, own = rounds[u], rounds[v]
+            anew = end[u] < start[v]
+            if own:
+                named = np.maximum(named, own)
+            elif self.repaired:
+                anew &= named > 0
+            if not self.repaired:
+                kinds = np.where(order[u] < order[v], 0, _NONE)
+            elif extra[v]:
+                kinds = np.where(anew, named, _NONE)
+            else:
+                kinds = np.where(anew, named, np.where((order[u] < order[v]) & ~extra[u], 0, _NONE))
             joined = kinds < _NONE
-            if not joined.any():
+            labels = label[u][joined]
+            if not len(labels):
                 continue
-            self.active[v] = True
-            self.active[u] |= joined
-            if self.came[v] >= 0 and self.order[v] < self.candidates:
-                self.came[v] = (self.order[u][joined].min() << 31) + self.order[v] + 1
-            labels, cost = self._roots(np.flatnonzero(joined) + lo), np.where(joined, self.cost[u] + WEIGHTS[kinds] * _STEP + 1, _FAR)
-            least = labels.min()
-            self.label[labels] = self.label[v] = least
+            active[v] = True
+            active[u] |= joined
+            if self.came[v] >= 0 and not extra[v]:
+                self.came[v] = (order[u][joined].min() << 31) + order[v] + 1
+            least = labels[0]
+            if label[least] != least or (labels != least).any():
+                labels = self._roots(labels)
+                least = labels.min()
+                label[labels] = least
+            label[v] = least
+            cost = self.cost[u] + dearer[kinds]
             i = int(cost.argmin())  # the first of the cheapest
             if cost[i] < self.cost[v] and cost[i] < _FAR:
                 self.cost[v], self.before[v], self.kind[v] = cost[i], lo + i, kinds[i]
-
-        self.label = self._roots(np.arange(len(self.start)))
+        self.label = self._roots(np.arange(len(start)))
 
     def _roots(self, nodes: np.ndarray) -> np.ndarray:
         """The label that each node's label leads to."""
