@@ -8,6 +8,7 @@ from pyspark.sql import SparkSession
 
 from strandloom.operators.overlaps import FragmentConfig
 from strandloom.plans import pipeline
+from strandloom.sources.writers import check_target
 
 
 def parser() -> argparse.ArgumentParser:
@@ -43,6 +44,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     if args.command == "fragment":  # checked before a session is made
         config = FragmentConfig(args.min_size, args.max_size, args.min_overlap, args.max_overlap, args.boundary_motif, args.min_step)
     spark = spark or SparkSession.builder.appName("strandloom").getOrCreate()
+    for path in {"annotate-homology": ["output"], "fragment": ["output_gb", "output_fasta"]}.get(args.command, []):
+        check_target(spark, getattr(args, path))  # before any work
     if args.command == "annotate-homology":
         pipeline.file_process_homology(spark, args.query, args.background, args.output, args.kmer_size, args.threshold)
     elif args.command == "fragment":

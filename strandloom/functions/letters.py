@@ -30,11 +30,6 @@ def is_circular(topology: Column) -> Column:
     return F.coalesce(F.lower(F.trim(topology)) == "circular", F.lit(False))
 
 
-def extend_circular(seq: Column, topology: Column, k: int) -> Column:
-    """A circular sequence is continued by its own first ``k - 1`` letters."""
-    return F.when(is_circular(topology), F.concat(seq, F.substring(seq, 1, k - 1))).otherwise(seq)
-
-
 _UPPER = bytes(84 if chr(i).upper() == "U" else ord(chr(i).upper()) if chr(i).isascii() else i for i in range(256))
 _LAYOUT = bytes(i for i in range(256) if not chr(i).isascii() or not chr(i).isalpha())
 

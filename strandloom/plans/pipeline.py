@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -89,9 +90,11 @@ def process_and_fragment(queries: DataFrame, background: DataFrame | None, confi
     """Annotate and fragment every query in one go: one row per record with both texts in base64.
 
     The region threshold is ``min_overlap``; a stored k-mer set and background
-    records are combined. Result: rec_id, seq_id, status, regions, fragments,
+    records are combined. A motif of other letters than A, C, G and T is refused. Result: rec_id, seq_id, status, regions, fragments,
     genbank, fasta.
     """
+    if not re.fullmatch("[ACGTacgt]*", config.motif or ""):
+        raise ValueError("only the letters A, T, C and G are allowed in a motif")
     queries = with_key(queries)
     sets = [s for s in (index, kmers.background_set(with_key(background), k, fold=False) if background is not None else None) if s is not None]
     regions = homology_free_regions(queries, kmers.merge_sets(sets) if sets else None, k, config.min_overlap, fold=False)

@@ -68,6 +68,17 @@ def write_text(df: DataFrame, text: Column, path: str, order: list[str], one_fil
         _join_parts(df.sparkSession, folder, path)
 
 
+def check_target(spark: SparkSession, path: str) -> None:
+    """A file can be written there: its folder is there, and it is no folder itself."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    target = files.makeQualified(target)
+    if not files.exists(target.getParent()):
+        raise FileNotFoundError(str(target.getParent()))
+    if files.exists(target) and files.getFileStatus(target).isDirectory():
+        raise IsADirectoryError(path)
+
+
 def _join_parts(spark: SparkSession, folder: str, path: str) -> None:
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     source, target = jvm.org.apache.hadoop.fs.Path(folder), jvm.org.apache.hadoop.fs.Path(path)

@@ -220,3 +220,12 @@ def test_a_cluster_without_a_common_folder_is_refused():
     assert common_folder(session("spark://host:7077", "hdfs:///x")) == "hdfs:///x"
     with pytest.raises(ValueError):
         common_folder(session("local-cluster[2,1,1024]", None))
+
+
+def test_targets_and_motifs_are_checked_first(spark, files):
+    with pytest.raises(FileNotFoundError):
+        cli.main(["annotate-homology", str(files / "a.GBK"), "-o", str(files / "nowhere" / "x.gb")], spark)
+    with pytest.raises(IsADirectoryError):
+        writers.check_target(spark, str(files))
+    with pytest.raises(ValueError):
+        pipeline.process_and_fragment(sf.read_sequences(spark, str(files / "a.GBK")), None, FragmentConfig(5, 10, 2, 4, "GNC"))
