@@ -64,7 +64,7 @@ def repeated_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _free(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = kmers.background_set(_sequences(spark, sf_dir, "background"), K)
-    return kmers.free_in_record(_sequences(spark, sf_dir, "query"), K).join(known, "kmer", "left_anti")
+    return kmers.free_in_record(_sequences(spark, sf_dir, "query"), K).join(known.hint("merge"), "kmer", "left_anti")  # without the hint a set taken for small is gathered by the driver
 
 
 def anti_background(spark: SparkSession, sf_dir: str) -> DataFrame:
