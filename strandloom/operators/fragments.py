@@ -45,7 +45,7 @@ def _fragment_feature(r):
 
 def _append(records: DataFrame, new: DataFrame, key: str) -> DataFrame:
     kind = records.schema["features"].dataType
-    joined = records.join(new.withColumnRenamed(key, "_key"), F.col(key) == F.col("_key"), "left").drop("_key")
+    joined = records.join(new.withColumnRenamed(key, "_key").hint("merge"), F.col(key) == F.col("_key"), "left").drop("_key")
     added = F.coalesce(F.col("_new"), F.array()).cast(kind)
     return joined.withColumn("features", F.concat(F.coalesce("features", F.array().cast(kind)), added)).drop("_new")
 

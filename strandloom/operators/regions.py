@@ -56,13 +56,14 @@ def homology_free_regions(
     kmers = df.mapInArrow(_piece_kmers(k, key, chunk), T.StructType([df.schema[key], T.StructField("tag", T.LongType()), T.StructField("kmer", T.LongType())]))
     hits = df.sparkSession.createDataFrame([], T.StructType([df.schema[key], T.StructField("tag", T.LongType()), T.StructField("kmer", T.LongType())]))
     if background is not None:
-        hits = kmers.join(background.select("kmer"), "kmer", "left_semi").select(key, "tag", "kmer")
+        hits = kmers.join(background.select("kmer").hint("merge"), "kmer", "left_semi").select(key, "tag", "kmer")
     if not queries.where(F.length("seq") + k > chunk).isEmpty():  # a record of several chunks
         # a chunk names a k-mer it repeats itself twice
         again = kmers.where("tag % 2 = 1").groupBy("kmer", key).agg(F.count("*").alias("n"), F.collect_set("tag").alias("tags")).where("n > 1")
         hits = hits.unionByName(again.select(key, F.explode("tags").alias("tag"), "kmer"))
     hits = hits.groupBy(F.col(key).alias("_key"), F.col("tag").alias("_tag")).agg(F.collect_list("kmer").alias("hits"))
-    joined = pieces.join(hits, (F.col(key) == F.col("_key")) & (F.col("tag") == F.col("_tag")), "left").select(key, "tag", "text", "hits")
+    # hints, as a side taken for small would be gathered by the driver
+    joined = pieces.join(hits.hint("merge"), (F.col(key) == F.col("_key")) & (F.col("tag") == F.col("_tag")), "left").select(key, "tag", "text", "hits")
     schema = T.StructType([T.StructField(key, kind), *(T.StructField(n, T.LongType()) for n in ("first", "last")), T.StructField("edge", T.BooleanType())])
     runs = joined.mapInArrow(_regions(k, threshold, key, chunk), schema)
     # runs of window starts; those at edges go on where the next begins right behind
