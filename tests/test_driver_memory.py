@@ -3,7 +3,7 @@ import pytest
 import __spark_entry__ as entry
 
 
-@pytest.mark.parametrize("name", ["anti_background", "region_runs", "homology_free_regions", "numbered_regions"])
+@pytest.mark.parametrize("name", ["anti_background", "region_runs", "homology_free_regions", "numbered_regions", "annotated_records"])
 def test_no_k_mer_set_is_gathered_by_the_driver(spark, name):
     plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan
