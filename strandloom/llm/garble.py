@@ -183,33 +183,57 @@ def _other_encoding(text: str, now: float, places: Surroundings | None) -> str:
     """
     words = text.split(" ")
     costs = {w: garbling_cost(w, places) for w in set(words) if not w.isascii() and "\ufffd" not in w}
+    readings = {w: _readings(w, places) for w in costs}
+    odd = {wrong for w, (encodable, _, _) in readings.items() if costs[w] for wrong in encodable}
     best, most = text, 0.0
-    for wrong in READ_AS:
-        raws = {w: raw for w in costs if (raw := _encode(w, wrong)) is not None}
-        if not any(costs[w] for w in raws):
+    # only pairs under which a word gains can win
+    for pair in sorted({pair for _, _, better in readings.values() for pair in better if pair[0] in odd}):
+        gains = {w: pairs[pair] for w, (_, pairs, _) in readings.items() if pair in pairs}
+        dearer = [i for i, w in enumerate(words) if w in gains and gains[w][1] > 0]
+        span = range(dearer[0], dearer[-1] + 1)
+        new = [gains[w][0] if i in span and w in gains and gains[w][1] >= 0 else w for i, w in enumerate(words)]
+        gain = sum(gains[w][1] for i, w in enumerate(words) if i in span and w in gains and gains[w][1] >= 0)
+        before = sum(costs[words[i]] for i in dearer)
+        if gain > most + 1e-9 and gain >= 0.99 and gain >= before / 2 and garbling_cost(line := " ".join(new), places) < now:
+            best, most = line, gain
+    return best
+
+
+KEPT = 2_000  # words whose readings a task keeps, of about 20 kB each
+_bare: dict[str, tuple] = {}  # readings without a collection's surroundings
+
+
+def _readings(word: str, places: Surroundings | None) -> tuple[list[int], dict[tuple[int, int], tuple[str, float]], list[tuple[int, int]]]:
+    """What a word may be: the encodings it can have been read in, its plain readings with their gains by the numbers of the pair, and the pairs that gain."""
+    known = _bare if places is None else places.readings_of
+    if word in known:
+        return known[word]
+    encodable, pairs, met = [], {}, {}
+    own = garbling_cost(word)
+    for i, wrong in enumerate(READ_AS):
+        raw = _encode(word, wrong)
+        if raw is None:
             continue
-        for right in WRITTEN_IN:
+        encodable.append(i)
+        for j, right in enumerate(WRITTEN_IN):
             if right == wrong:
                 continue
-            gains: dict[str, tuple[str, float]] = {}
-            for w, raw in raws.items():
-                try:
-                    other = raw.decode(right)
-                except UnicodeDecodeError:
-                    continue
-                if _PLAIN.fullmatch(other):
-                    better = places.gain(w, other) if places and right in SINGLE_BYTE else 0.0
-                    gains[w] = other, garbling_cost(w) - garbling_cost(other) + better
-            dearer = [i for i, w in enumerate(words) if w in gains and gains[w][1] > 0]
-            if not dearer:
+            try:
+                other = raw.decode(right)
+            except UnicodeDecodeError:
                 continue
-            span = range(dearer[0], dearer[-1] + 1)
-            new = [gains[w][0] if i in span and w in gains and gains[w][1] >= 0 else w for i, w in enumerate(words)]
-            gain = sum(gains[w][1] for i, w in enumerate(words) if i in span and w in gains and gains[w][1] >= 0)
-            before = sum(costs[words[i]] for i in dearer)
-            if gain > most + 1e-9 and gain >= 0.99 and gain >= before / 2 and garbling_cost(line := " ".join(new), places) < now:
-                best, most = line, gain
-    return best
+            single = right in SINGLE_BYTE
+            if (other, single) not in met:
+                met[other, single] = None
+                if _PLAIN.fullmatch(other):
+                    better = places.gain(word, other) if places and single else 0.0
+                    met[other, single] = other, own - garbling_cost(other) + better
+            if met[other, single]:
+                pairs[i, j] = met[other, single]
+    if len(known) >= KEPT:
+        known.clear()
+    known[word] = encodable, pairs, [pair for pair, (_, gain) in pairs.items() if gain > 0]
+    return known[word]
 
 
 @lru_cache(maxsize=200_000)
@@ -219,6 +243,8 @@ def _hides(word: str) -> bool:
 
 def _is_plain(line: str, places: Surroundings | None) -> bool:
     """Whether nothing would be tried on the line; asked word by word, as words recur."""
+    if line.isascii() and "&#" not in line and "+" not in line:
+        return True
     cost = 0.0
     for word in line.split(" "):
         if word.isascii() and "&#" not in word and "+" not in word:

@@ -66,6 +66,7 @@ class Surroundings:
         self.cost_of: np.ndarray | None = None
         self.mails: np.ndarray | None = None
         self.known: dict[str, float] = {}  # costs of words met before
+        self.readings_of: dict[str, tuple] = {}  # what problem 8 found words may be
 
     @property
     def size(self) -> int:
@@ -111,6 +112,8 @@ class Surroundings:
 
     def gain(self, text: str, other: str) -> float:
         """How much more usual the costly places of ``text`` are in another single-byte reading of it; negative if less."""
+        if not self.cost(text):
+            return 0.0
         a, b = self.cells(text), self.cells(other)
         if len(a) != len(b):
             return 0.0

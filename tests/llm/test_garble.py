@@ -1,6 +1,11 @@
+import random
+
+import numpy as np
 import pytest
 
+from strandloom.llm import garble
 from strandloom.llm.garble import garbled_parts, repair
+from strandloom.llm.surroundings import Surroundings
 
 TEXTS = {
     "de": "Die Prüfung gehört für größere Behälter natürlich nicht außerhalb.",
@@ -118,3 +123,62 @@ def test_deeply_nested_parts():
     for n in range(60):
         mail = f"Content-Type: multipart/mixed; boundary=b{n}x\n\n--b{n}x\n" + (mail if n else f"Content-Type: text/plain\n\n{mail}") + f"\n--b{n}x--\n"
     assert [p.strip() for p in read_mail("Subject: s\n" + mail)[1]] == ["café"]
+
+
+def _tried_pair_by_pair(text, now, places):
+    """The plain way to the cheapest pair of encodings."""
+    words = text.split(" ")
+    costs = {w: garble.garbling_cost(w, places) for w in set(words) if not w.isascii() and "�" not in w}
+    best, most = text, 0.0
+    for wrong in garble.READ_AS:
+        raws = {w: raw for w in costs if (raw := garble._encode(w, wrong)) is not None}
+        if not any(costs[w] for w in raws):
+            continue
+        for right in garble.WRITTEN_IN:
+            gains = {}
+            for w, raw in raws.items():
+                try:
+                    other = raw.decode(right)
+                except UnicodeDecodeError:
+                    continue
+                if right != wrong and garble._PLAIN.fullmatch(other):
+                    better = places.gain(w, other) if places and right in garble.SINGLE_BYTE else 0.0
+                    gains[w] = other, garble.garbling_cost(w) - garble.garbling_cost(other) + better
+            dearer = [i for i, w in enumerate(words) if w in gains and gains[w][1] > 0]
+            if not dearer:
+                continue
+            inside = [dearer[0] <= i <= dearer[-1] and w in gains and gains[w][1] >= 0 for i, w in enumerate(words)]
+            line = " ".join(gains[w][0] if take else w for w, take in zip(words, inside))
+            gain = sum(gains[w][1] for w, take in zip(words, inside) if take)
+            if gain > most + 1e-9 and gain >= 0.99 and gain >= sum(costs[words[i]] for i in dearer) / 2 and garble.garbling_cost(line, places) < now:
+                best, most = line, gain
+    return best
+
+
+def test_readings_kept_by_word_decide_as_pair_by_pair(monkeypatch):
+    rng = random.Random(4)
+    lines = []
+    for right, wrong in [("cp1252", "cp437"), ("cp1252", "mac-roman"), ("cp1251", "cp1252"), ("koi8-r", "cp1251"), ("cp866", "cp1252"), ("cp1253", "cp1252"), ("cp1250", "cp1252"), ("shift_jis", "cp1252")]:
+        for text in TEXTS.values():
+            raw = text.encode(right, "ignore")
+            words = (sloppy(raw, wrong) + " " + rng.choice(UNUSUAL)).split()
+            lines.append(" ".join(rng.sample(words, k=min(5, len(words)))))
+    places = Surroundings(garble.READ_AS, garble.SINGLE_BYTE)
+    counts = np.zeros(places.size, dtype=np.int64)
+    for text in TEXTS.values():
+        counts += 300 * np.bincount(places.cells(text), minlength=places.size)
+    places.fit(counts)
+    changed = 0
+    for line in lines:
+        for known in (None, places):
+            now = garble.garbling_cost(line, known)
+            got = garble._other_encoding(line, now, known)
+            assert got == _tried_pair_by_pair(line, now, known)
+            changed += got != line
+    assert changed > 20
+    tried = []
+    encode = garble._encode
+    monkeypatch.setattr(garble, "_encode", lambda w, e: tried.append(w) or encode(w, e))
+    for line in lines[-20:]:
+        garble._other_encoding(line, garble.garbling_cost(line, places), places)
+    assert not tried  # words met before are not read again
