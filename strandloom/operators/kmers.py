@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandloom.functions.kmers import canonical_kmers, reverse_complement_bytes
+from strandloom.functions.kmers import block_windows, canonical_kmers, distinct, reverse_complement_bytes
 from strandloom.functions.letters import is_circular, letters
 
 
@@ -142,6 +142,29 @@ def background_set(records: DataFrame, k: int, key: str = "rec_id", fold: bool =
     return rows.select(*columns).distinct() if merge else rows
 
 
+def window_set(records: DataFrame, k: int, key: str = "rec_id", fold: bool = True, most: int = 2_000_000) -> DataFrame:
+    """(kmer): the set of ``background_set``, distinct only within about ``most`` letters of a task, so that nothing is shuffled."""
+    _check(k)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, total = [], 0
+        for batch in batches:
+            for text, circular in zip(batch.column("text").to_pylist(), batch.column("circular").to_pylist()):
+                held.append(_extended(text, circular, k))
+                total += len(held[-1])
+                if total >= most:
+                    yield from flush(held)
+                    held, total = [], 0
+        yield from flush(held)
+
+    def flush(held: list[bytes]) -> Iterator[pa.RecordBatch]:
+        keys = distinct(block_windows(held, k)[0])
+        for a in range(0, len(keys), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(keys[a : a + 50_000])], names=["kmer"])
+
+    return prepared(records, key, fold).mapInArrow(run, "kmer long")
+
+
 def both_strands(kmers: DataFrame, k: int) -> DataFrame:
     """Number of k-mers on both strands that a set of strand-neutral keys stands for (``kmers``: one row)."""
     own = is_palindrome(F.col("kmer"), k)

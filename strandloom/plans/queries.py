@@ -77,7 +77,7 @@ def region_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def homology_free_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: regions of the query records free of the background records and of repeats."""
-    known = kmers.background_set(_sequences(spark, sf_dir, "background"), K, merge=False)
+    known = kmers.window_set(_sequences(spark, sf_dir, "background"), K)
     return regions.homology_free_regions(_sequences(spark, sf_dir, "query"), known, K, THRESHOLD)
 
 

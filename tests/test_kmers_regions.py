@@ -2,10 +2,11 @@ import random
 import time
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strandloom.functions.kmers import canonical_kmers, reverse_complement_bytes
+from strandloom.functions.kmers import block_windows, canonical_kmers, distinct, reverse_complement_bytes
 from strandloom.operators import kmers, regions
 from strandloom.plans import queries
 
@@ -202,3 +203,46 @@ def test_lower_case_is_no_slow_path():
     began = time.perf_counter()
     canonical_kmers(text.lower(), 20)
     assert time.perf_counter() - began < 10 * upper + 0.2
+
+
+def test_blocks_of_texts_have_the_windows_of_each():
+    rng = random.Random(1)
+    for k in (1, 2, 5, 15, 33):
+        texts = ["".join(rng.choices("ACGTNR", weights=[9, 9, 9, 9, 1, 1], k=rng.randrange(0, 60))).encode() for _ in range(300)]
+        keys, both, owner, _ = block_windows(texts, k)
+        for i, text in enumerate(texts):
+            own, palindromes = canonical_kmers(text, k)
+            assert keys[owner == i].tolist() == own.tolist() and both[owner == i].tolist() == palindromes.tolist()
+    assert [len(x) for x in block_windows([], 5)] == [0, 0, 0, 0]
+
+
+def test_packed_keys_come_back():
+    rng = np.random.default_rng(2)
+    for n in (1, 2, 300):
+        for low, high in ((0, 2**30), (-(2**62), 2**62), (-(2**62), 0), (0, 2 * n)):
+            keys = distinct(rng.integers(low, high, n))
+            assert regions._decoded(regions._coded(keys)).tolist() == keys.tolist()
+
+
+@pytest.mark.parametrize("k, block", [(4, 30), (9, 200), (33, 1000)])
+def test_regions_in_blocks_against_brute_force(spark, k, block):
+    rng = random.Random(k)
+    pool = ["".join(rng.choices("ACGT", k=70)) for _ in range(6)]
+    texts = ["".join(rng.choice([rng.choice(pool), "".join(rng.choices("ACGTN", k=rng.randrange(5, 90))), "AT" * 12, "A" * 9]) for _ in range(rng.randrange(1, 5))) for _ in range(40)]
+    background = [pool[0][10:60], pool[1], pool[1][:40], "".join(rng.choices("ACGTN", k=200))]
+    back = spark.createDataFrame(list(enumerate(background)), "rec_id long, seq string")
+    df = spark.createDataFrame([(f"r{i}", t, "linear") for i, t in enumerate(texts)], "rec_id string, seq string, topology string").repartition(3)
+    want = sorted((f"r{i}", a, b) for i, t in enumerate(texts) for a, b in _free_runs(t, False, background, k, k + 2))
+    known = kmers.window_set(back, k, fold=False, most=100)
+    for chunk in (60, 10_000):
+        got = sorted(tuple(r) for r in regions.homology_free_regions(df, known, k, k + 2, fold=False, chunk=chunk, block=block).collect())
+        assert got == want
+    nothing = back.select(F.lit(None).cast("long").alias("kmer"))
+    assert regions.homology_free_regions(df.limit(0), known, k, k + 2).collect() == []
+    assert regions.homology_free_regions(df, nothing, k, k + 2, block=block).count() == regions.homology_free_regions(df, None, k, k + 2).count()
+
+
+def test_no_row_of_the_lookup_is_a_single_k_mer(spark):
+    df = records(spark, *(("".join(random.Random(i).choices("ACGT", k=500)), None) for i in range(40)))
+    plan = regions.homology_free_regions(df, kmers.window_set(df, 15), 15, 60)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("FlatMapGroupsInArrow") == 2
