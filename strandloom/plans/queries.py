@@ -68,7 +68,10 @@ def _free(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def anti_background(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _free(spark, sf_dir).groupBy("rec_id").agg(F.count("*").alias("free_positions"))
+    """Windows of each query record that are in no background record and occur once, counted by the runs they form."""
+    known = kmers.window_set(_sequences(spark, sf_dir, "background"), K)
+    found = regions.homology_free_regions(_sequences(spark, sf_dir, "query"), known, K, K)
+    return found.groupBy("rec_id").agg(F.coalesce(F.sum(F.col("end") - F.col("start") - (K - 1)), F.lit(0).cast("long")).alias("free_positions"))
 
 
 def region_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
