@@ -53,7 +53,8 @@ def homology_free_regions(
     back. What a chunk repeats of itself is found with its block, and the
     k-mers of records of several chunks also meet each other. A task holds no
     more than a block, or a bucket of the background. Runs that reach a
-    chunk's edge are joined with those of the next.
+    chunk's edge are joined with those of the next; where no record has
+    several chunks there are none, and runs are not shuffled.
     """
     df = prepared(queries, key, fold)
     kind, spark = df.schema[key].dataType, df.sparkSession
@@ -70,7 +71,8 @@ def homology_free_regions(
         known = background.select(F.col("kmer").cast("long").alias("kmer")).where("kmer is not null").mapInArrow(_packed_set(k, buckets), packed)
         matched = asked.unionByName(known).groupBy("bucket").applyInArrow(_match, "block int, bucket int, bits binary")
         hits.append(matched.select("*", *(F.lit(None).cast(f.dataType).alias(f.name) for f in found.fields[3:])))
-    if longest + k > chunk:  # a record of several chunks may repeat k-mers of another of its chunks
+    several = longest + k > chunk
+    if several:  # a record of several chunks may repeat k-mers of another of its chunks
         kmers = df.where(F.length("text") + k > chunk).mapInArrow(_piece_kmers(k, key, chunk), T.StructType([df.schema[key], T.StructField("tag", T.LongType()), T.StructField("kmer", T.LongType())]))
         # a chunk names a k-mer it repeats itself twice
         again = kmers.groupBy("kmer", key).agg(F.count("*").alias("n"), F.collect_set("tag").alias("tags")).where("n > 1")
@@ -84,6 +86,8 @@ def homology_free_regions(
         runs = pieces.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(run, schema)
     else:
         runs = pieces.groupBy("block").applyInArrow(lambda table: run(table, None), schema)
+    if not several:
+        return runs.select(key, F.col("first").alias("start"), (F.col("last") + k).alias("end"))
     # runs of window starts; those at edges go on where the next begins right behind
     order = Window.partitionBy(key).orderBy("first")
     goes_on = F.col("edge") & F.lag("edge").over(order) & (F.lag("last").over(order) == F.col("first") - 1)

@@ -75,7 +75,10 @@ def anti_background(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def region_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return regions.runs(_free(spark, sf_dir), K, THRESHOLD)
+    """All runs of windows that ``anti_background`` counts, the long enough ones chosen from them afterwards."""
+    known = kmers.window_set(_sequences(spark, sf_dir, "background"), K)
+    found = regions.homology_free_regions(_sequences(spark, sf_dir, "query"), known, K, K)
+    return found.where(F.col("end") - F.col("start") >= THRESHOLD)
 
 
 def homology_free_regions(spark: SparkSession, sf_dir: str) -> DataFrame:

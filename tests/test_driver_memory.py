@@ -16,3 +16,12 @@ def test_free_positions_are_counted_without_a_row_for_each(spark):
     single = queries._free(spark, folder).groupBy("rec_id").count()
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, single.collect()))
     assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_region_runs_are_found_without_a_row_for_each_window(spark):
+    folder = "/root/testdata/sf0.001"
+    got = entry.queries()["region_runs"](spark, folder)
+    single = queries.regions.runs(queries._free(spark, folder), queries.K, queries.THRESHOLD)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, single.collect()))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Window" not in plan
